@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import flow_mixing, fst_tokens, hilbert_shards, url_rules, wav_prints
+from . import flow_mixing, fm_quality, fst_tokens, hilbert_shards, noisy_toxicity, url_rules, wav_prints
 
-QUERIES = {f.__name__: f for f in (url_rules.op4_url_rules, fst_tokens.op5_fst_token_counts, flow_mixing.op7_flow_mixing, hilbert_shards.op8_hilbert_shards, wav_prints.op9_wav_fingerprints)}
+QUERIES = {f.__name__: f for f in (fm_quality.op1_fm_quality, url_rules.op4_url_rules, fst_tokens.op5_fst_token_counts, flow_mixing.op7_flow_mixing, hilbert_shards.op8_hilbert_shards, wav_prints.op9_wav_fingerprints, noisy_toxicity.op10_noisy_channel_toxicity)}
 ORACLE = {"op4_url_rules": url_rules.ORACLE_SQL, "op7_flow_mixing": flow_mixing.ORACLE_SQL}
