@@ -17,10 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import ALNUM, LOWER, NON_SPACE, hashes, passes, spans, text_column, word_rows
+from .words import ALNUM, LOWER, NON_SPACE, carried_text, carrying, hashes, passes, spans, text_column, word_rows
 
 WORD_BITS, BINS, FACTORS = 16, 10, 8
 
@@ -149,8 +150,8 @@ def fit(dense: np.ndarray, docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndar
     return m
 
 
-def _columns(docs: DataFrame, text_col: str, meta_cols: tuple[str, ...]) -> list[Column]:
-    return [F.col(text_col).alias("t"), F.array(*(F.col(c).cast("double") for c in meta_cols)).cast("array<double>").alias("m")]
+def _meta(meta_cols: tuple[str, ...]) -> Column:
+    return F.array(*(F.col(c).cast("double") for c in meta_cols)).cast("array<double>")
 
 
 def _dense(stats: np.ndarray, meta: pa.Array, width: int) -> np.ndarray:
@@ -173,29 +174,29 @@ def train_quality(docs: DataFrame, labels: DataFrame, held_out: Column, max_trai
                 cut = pa.array(np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(list(dense), pa.list_(pa.float64())), pa.ListArray.from_arrays(cut, pa.array(bucket, pa.int32())), pa.ListArray.from_arrays(cut, pa.array(weight, pa.float32()))], names=["k", "y", "d", "i", "x"])
 
-    rows = docs.join(F.broadcast(picked), id_col).select(draw.alias("k"), F.col(label_col).cast("int").alias("y"), *_columns(docs, text_col, meta_cols))
+    rows = docs.join(F.broadcast(picked), id_col).select(draw.alias("k"), F.col(label_col).cast("int").alias("y"), F.col(text_col).alias("t"), _meta(meta_cols).alias("m"))
     got = rows.mapInArrow(prepare, "k long, y int, d array<double>, i array<int>, x array<float>").toArrow().sort_by([("k", "ascending"), ("y", "ascending")])
     dense = np.array(got["d"].to_pylist(), dtype=float).reshape(-1, STATS + width)
     ragged = lambda name: [np.asarray(a.values) for a in got[name].combine_chunks()] if len(got) else []
     return fit(dense, list(zip(ragged("i"), ragged("x"), strict=True)), np.asarray(got["y"], dtype=float))
 
 
-def score_quality(docs: DataFrame, machine: Machine, text_col: str = "text", meta_cols: tuple[str, ...] = ()) -> DataFrame:
-    """All columns of ``docs`` and ``quality_score`` (a column of that name is replaced); one row per input row."""
+def score_quality(docs: DataFrame, machine: Machine, text_col: str = "text", meta_cols: tuple[str, ...] = (), keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (None: all) and ``quality_score`` (a column of that name is replaced); one row per input row."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size: 2^16 words and a few hundred bins
     width = len(meta_cols)
-    base = docs.drop("quality_score")
-    fed = base.select(F.struct(*(F.col(f"`{c}`") for c in base.columns)).alias("row"), *_columns(base, text_col, meta_cols))
+    keep = [c for c in keep or docs.columns if c != "quality_score"]
+    fed = carrying(docs.withColumn("_m", _meta(meta_cols)), [*keep, "_m"], text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col, meta = text_column(batch, "t"), batch.column(2)
+            col, meta = carried_text(batch, text_col), pc.struct_field(batch.column(0), "_m")
             for lo, hi, buf, offs in passes(col):
                 stats, row, bucket, weight = features(buf, offs)
                 score = shared.value.score(_dense(stats, meta.slice(lo, hi - lo), width), row, bucket, weight)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(score, pa.float64())], names=["row", "quality_score"])
 
-    return fed.mapInArrow(run, f"row {base.schema.simpleString()}, quality_score double").select("row.*", "quality_score")
+    return fed.mapInArrow(run, f"row {fed.schema['row'].dataType.simpleString()}, quality_score double").select("row.*", "quality_score").drop("_m")
 
 
 def quality_fold() -> Column:
@@ -206,5 +207,5 @@ def quality_fold() -> Column:
 def op1_fm_quality(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     machine = train_quality(docs, labels, quality_fold(), meta_cols=("n_chars",))
-    out = score_quality(docs.select("doc_id", "text", "n_chars"), machine, meta_cols=("n_chars",)).drop("text")
+    out = score_quality(docs, machine, meta_cols=("n_chars",), keep=["doc_id"])
     return out.select("doc_id", F.coalesce(quality_fold(), F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a longer document is a pass of its own.
 PASS_BYTES = 4 << 20
@@ -37,6 +39,20 @@ def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return pc.fill_null(col, "") if col.null_count else col
 
 
+def carrying(docs: DataFrame, keep: list[str] | None, text_col: str) -> DataFrame:
+    """``row``, a struct of the columns to keep (None: all), and the text as ``t`` where the row doesn't hold it."""
+    keep = docs.columns if keep is None else keep
+    row = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")
+    return docs.select(row) if text_col in keep else docs.select(row, F.col(f"`{text_col}`").alias("t"))
+
+
+def carried_text(batch: pa.RecordBatch, text_col: str) -> pa.Array:
+    if "t" in batch.schema.names:
+        return text_column(batch, "t")
+    col = pc.struct_field(batch.column(0), text_col)
+    return pc.fill_null(col, "") if col.null_count else col
+
+
 def passes(col: pa.Array, most: int = PASS_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) over consecutive rows of at most ``most`` bytes, or one longer row."""
     wide = pa.types.is_large_string(col.type)
