@@ -11,7 +11,7 @@ common order of slices, any two similar documents file an equal slice. The order
 so passages that many documents share bring few together. Documents with too few filled slices for the argument share one
 more key. Equal slices are candidates, and verified on whole sets:
 
-1. each document against the first and last document of its slice (two per slice, not all pairs);
+1. each document against the centre of its slice (one pair a document, not all pairs);
 2. what links leave apart inside a slice, by Hamming distance of one-bit-a-shingle parity sketches, in blocks, then on sets.
 
 So every link is found but those between documents that are joined already: components are exact. Exact copies are one
@@ -225,10 +225,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, id_col: str = "doc_id", t
 
     filed = _sets_of(fed, size, "key long, c long", file)
     shared = filed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
-    members = settle(filed.join(shared, "key").distinct(), "jaccard-members")
-
-    ends = members.select(F.explode(F.array(F.struct(F.least("c", "lo").alias("a"), F.greatest("c", "lo").alias("b")), F.struct(F.least("c", "hi").alias("a"), F.greatest("c", "hi").alias("b")))).alias("p")).select("p.*")
-    pairs = settle(ends.filter("a < b").distinct(), "jaccard-pairs")
+    members = settle(filed.join(shared, "key").select("key", "c").distinct(), "jaccard-members")
+    # a slice's centre is its member that shares most slices: in a group of copies, one with few changes of its own
+    ranked = members.join(members.groupBy("c").agg(F.count("*").alias("shares")), "c")
+    centre = ranked.groupBy("key").agg(F.max_by("c", F.struct("shares", "c")).alias("centre"))
+    members = settle(members.join(centre, "key"), "jaccard-centred")
+    ends = members.filter("c <> centre").select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b"))
+    pairs = settle(ends.distinct(), "jaccard-pairs")
     wanted = members.select("c").distinct().join(marked.groupBy("c").agg(F.min("id").alias("id")), "c")
 
     def whole(ids, row, code, n):
@@ -241,12 +244,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, id_col: str = "doc_id", t
     links = settle(_verified(pairs, sets, percent), "jaccard-links")
 
     roots = settle(components(links, "a", "b"), "jaccard-roots")
-    placed = members.join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "lo", "hi", F.coalesce("root", "c").alias("comp"))
-    apart = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows")).filter("x < y and rows > 3").select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "centre", F.coalesce("root", "c").alias("comp"))
+    apart = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows")).filter("x < y and rows > 2").select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     open_ = placed.join(apart, "key").join(sets.select("c", "n", "sketch"), "c")
     open_ = open_.withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = open_.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("own", "c", "n", "comp", F.col("c").isin(F.col("lo"), F.col("hi")).alias("pivot"), "sketch")).alias("m"))  # at most two blocks
+    cells = open_.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("own", "c", "n", "comp", (F.col("c") == F.col("centre")).alias("pivot"), "sketch")).alias("m"))  # at most two blocks
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
