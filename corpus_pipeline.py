@@ -16,6 +16,7 @@ from panelwright.llm.fm_quality import quality_fold, score_quality, train_qualit
 from panelwright.llm.hilbert_shards import hilbert_shards
 from panelwright.llm.parity_join import jaccard_components
 from panelwright.llm.store import settle
+from panelwright.llm.words import free_name
 
 #: Documents that score below are rejected.
 QUALITY = 0.5
@@ -44,9 +45,10 @@ def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them: none, one or two rows."""
-    taken = mix_sources(docs, F.array("source")).filter("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("_times")).dropDuplicates(["doc_id"])
-    out = docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return out.select(docs.columns)
+    times = free_name(docs, "_times")
+    taken = mix_sources(docs, F.array("source")).filter("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias(times)).dropDuplicates(["doc_id"])
+    out = docs.join(taken, "doc_id")
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
 
 
 def shards(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import ALNUM, LOWER, NON_SPACE, carried_text, carrying, hashes, passes, spans, text_column, word_rows
+from .words import ALNUM, LOWER, NON_SPACE, carried_text, carrying, free_name, hashes, passes, spans, text_column, word_rows
 
 WORD_BITS, BINS, FACTORS = 16, 10, 8
 
@@ -111,7 +111,7 @@ class Machine:
 
 def fit(dense: np.ndarray, docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 15, rate: float = 0.15, decay: float = 2e-4, seed: int = 7) -> Machine:
     """Adagrad on the logistic loss over minibatches."""
-    dims = dense.shape[1] if len(dense) else STATS
+    dims = dense.shape[1]
     rng = np.random.default_rng(seed)
     edges = np.stack([np.nanquantile(np.where(np.isnan(x).all(), 0.0, x), np.linspace(0, 1, BINS + 1)[1:-1]) if len(x) else np.zeros(BINS - 1) for x in dense.T]) if len(dense) else np.zeros((dims, BINS - 1))
     total = (1 << WORD_BITS) + dims * (BINS + 1)
@@ -186,17 +186,18 @@ def score_quality(docs: DataFrame, machine: Machine, text_col: str = "text", met
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size: 2^16 words and a few hundred bins
     width = len(meta_cols)
     keep = [c for c in keep or docs.columns if c != "quality_score"]
-    fed = carrying(docs.withColumn("_m", _meta(meta_cols)), [*keep, "_m"], text_col)
+    meta_col = free_name(docs, "_meta")
+    fed = carrying(docs.withColumn(meta_col, _meta(meta_cols)), [*keep, meta_col], text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col, meta = carried_text(batch, text_col), pc.struct_field(batch.column(0), "_m")
+            col, meta = carried_text(batch, text_col), pc.struct_field(batch.column(0), meta_col)
             for lo, hi, buf, offs in passes(col):
                 stats, row, bucket, weight = features(buf, offs)
                 score = shared.value.score(_dense(stats, meta.slice(lo, hi - lo), width), row, bucket, weight)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(score, pa.float64())], names=["row", "quality_score"])
 
-    return fed.mapInArrow(run, f"row {fed.schema['row'].dataType.simpleString()}, quality_score double").select("row.*", "quality_score").drop("_m")
+    return fed.mapInArrow(run, f"row {fed.schema['row'].dataType.simpleString()}, quality_score double").select("row.*", "quality_score").drop(meta_col)
 
 
 def quality_fold() -> Column:

@@ -39,6 +39,13 @@ def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return pc.fill_null(col, "") if col.null_count else col
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column has it."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def carrying(docs: DataFrame, keep: list[str] | None, text_col: str) -> DataFrame:
     """``row``, a struct of the columns to keep (None: all), and the text as ``t`` where the row doesn't hold it."""
     keep = docs.columns if keep is None else keep
