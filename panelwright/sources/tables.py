@@ -86,7 +86,7 @@ def read_csv(spark: SparkSession, path: str, schema: Schema, columns: Sequence[s
     raw = spark.read.csv(path, header=True, sep=options.delimiter, encoding=options.encoding, inferSchema=False, nullValue=None, emptyValue="")
     named = [k for k in (schema.entity, schema.date) if k]
     wanted = list(raw.columns) if columns is None else [*named, *(c for c in columns if c not in named)]
-    if missing := [c for c in {*wanted, *schema.dtypes, *schema.dates, *schema.categorical} if c not in raw.columns]:
+    if missing := [c for c in {*wanted, *named, *schema.dtypes, *schema.dates, *schema.categorical} if c not in raw.columns]:
         raise MissingColumns(f"{path} has no columns {sorted(missing)}; it has {raw.columns}")
     absent = [*options.na_values, *(DEFAULT_NA if options.keep_default_na else ())]
     clear = lambda c: F.when(~F.col(f"`{c}`").isin(absent), F.col(f"`{c}`")) if absent else F.col(f"`{c}`")
