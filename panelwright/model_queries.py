@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .feature_queries import PRICES_SQL, E, div, ewm_sql, lag, roll
-from .operators.factor_model import Network, Training, cross_sections, dot, factor_diagnostics, factor_forecast, fit_folds, managed_portfolios, per_period_errors, pooled_r_squared, score_rows
+from .operators.factor_model import Network, Training, cross_sections, dot, factor_diagnostics, factor_forecast, fit_folds, importance_summary, managed_portfolios, per_period_errors, pooled_r_squared, score_rows
 from .operators.residuals import gather, windows_of
-from .operators.tuning import aggregate_spread, compare, noise_floor
+from .operators.tuning import aggregate_convergence, aggregate_spread, compare, failed_gates, noise_floor
 from .panel import Panel
 from .plans.config import Adapter
 from .plans.feature_plan import Feature, FeaturePipeline, add_features
@@ -226,6 +226,27 @@ def _compare(spark, sf) -> DataFrame:
     return out.select("folds_compared", D("delta").alias("delta"), D("delta_sd").alias("delta_sd"), "fold_wins", D("se_corrected").alias("se_corrected"), D("t_corrected").alias("t_corrected"))
 
 
+@query(
+    "sweep_convergence",
+    SCORES + ", f AS (SELECT *, fold % 3 <> 0 AS done, run % 2 = 0 AS early, abs(hash_free) AS secs FROM (SELECT *, CAST(fold % 7 AS DOUBLE) AS hash_free FROM s)) SELECT count(*) FILTER (done) AS completed, count(*) FILTER (NOT done) AS failed, count(*) FILTER (done AND early) AS stopped_early, count(*) FILTER (done AND NOT early) AS hit_cap, sum(secs) FILTER (done) AS seconds, quantile_cont(fold % 11, 0.5) FILTER (done) AS median_epochs FROM f",
+)
+def _convergence(spark, sf) -> DataFrame:
+    done, early = F.col("fold") % 3 != 0, F.col("run") % 2 == 0
+    folds = _scores(spark, sf).select(F.when(done, "completed").otherwise("failed").alias("status"), early.alias("stopped_early"), (~early).alias("hit_cap"), (F.col("fold") % 7).cast("double").alias("seconds"), (F.col("fold") % 11).cast("double").alias("epochs"))
+    return aggregate_convergence(folds)
+
+
+@query("tuning_gates", SCORES + ", r AS (SELECT run, count(*) FILTER (fold = 1997) AS broken, count(DISTINCT fold) AS folds, count(*) FILTER (score IS NULL) AS holes FROM s GROUP BY run), g AS (SELECT 'failed folds' AS gate, CAST(sum(broken) AS BIGINT) AS failed FROM r UNION ALL SELECT 'runs with other fold counts', count(*) FILTER (folds <> 4) FROM r UNION ALL SELECT 'missing scores', CAST(sum(holes) AS BIGINT) FROM r) SELECT * FROM g WHERE failed > 0")
+def _gates(spark, sf) -> DataFrame:
+    return failed_gates(_scores(spark, sf).withColumn("status", F.when(F.col("fold") == 1997, "failed").otherwise("completed")), 4, "score")
+
+
+@query("importance_summary", SCORES + f"SELECT CAST(run AS VARCHAR) AS \"column\", {d('median(score)')} AS median, {d('avg(score)')} AS mean, {d('stddev_samp(score)')} AS std, {d('min(score)')} AS min, {d('max(score)')} AS max, count(score) AS folds, count(*) FILTER (score > 0) AS folds_positive FROM s GROUP BY run")
+def _importances(spark, sf) -> DataFrame:
+    out = importance_summary(_scores(spark, sf).select(F.col("run").cast("string").alias("column"), F.col("score").alias("importance")))
+    return out.select("column", *(D(c).alias(c) for c in ("median", "mean", "std", "min", "max")), "folds", "folds_positive")
+
+
 # sources, pipeline options, configuration
 
 

@@ -174,6 +174,29 @@ def _link_fixed(spark, d) -> DataFrame:
     return relink(_customers(spark, d), link, ["cust"], "nation", on_collision="sum").df.select("date", "nation", "n", "total")
 
 
+_LINKED = f"WITH {_CUST}, j AS (SELECT c.date, c.cust, n, total, k.c_nationkey AS nation FROM c LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) k ON k.c_custkey = c.cust) "
+
+
+def _relinked(spark, d, unmatched: str, collision: str) -> DataFrame:
+    link = LinkTable.fixed(table(spark, d, "customer").filter("c_custkey % 3 <> 0"), ["c_custkey"], "c_nationkey")
+    return relink(_customers(spark, d), link, ["cust"], "nation", unmatched, collision).df.select("date", "nation", "n", D4("total"))
+
+
+@query("link_collision_first", _LINKED + f"SELECT date, nation, n, {d4('total')} FROM j WHERE nation IS NOT NULL QUALIFY row_number() OVER (PARTITION BY date, nation ORDER BY cust) = 1")
+def _first(spark, d) -> DataFrame:
+    return _relinked(spark, d, "drop", "first")
+
+
+@query("link_collision_last", _LINKED + f"SELECT date, nation, n, {d4('total')} FROM j WHERE nation IS NOT NULL QUALIFY row_number() OVER (PARTITION BY date, nation ORDER BY cust DESC) = 1")
+def _last(spark, d) -> DataFrame:
+    return _relinked(spark, d, "drop", "last")
+
+
+@query("link_keep_unmatched_mean", _LINKED + f"SELECT date, nation, n, {d4('total')} FROM (SELECT date, nation, avg(n) AS n, avg(total) AS total FROM j WHERE nation IS NOT NULL GROUP BY ALL UNION ALL SELECT date, nation, n, total FROM j WHERE nation IS NULL)")
+def _kept(spark, d) -> DataFrame:
+    return _relinked(spark, d, "keep", "mean")
+
+
 def _moves(spark, d) -> DataFrame:
     """Customers' nations over time: from each January of 1993 to 1997 on, shifting by the year."""
     years = F.explode(F.sequence(F.lit(1993), F.lit(1997))).alias("y")

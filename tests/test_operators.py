@@ -271,3 +271,29 @@ def test_residual_windows(spark):
 
 def test_t_quantile():
     assert t_quantile(3) == pytest.approx(3.182446, abs=1e-5) and t_quantile(30) == pytest.approx(2.042272, abs=1e-5)
+
+
+def test_sweep_records_or_raises(spark):
+    from panelwright.operators.sweep import SweepError, run_sweep
+
+    folds = [Bounds(k, (0, 1), (1, 2), (2, 3)) for k in range(3)]
+
+    def body(f, seed):
+        if f.fold == 1:
+            raise ValueError("boom")
+        return spark.createDataFrame([(DAY(f.fold), 1.0 + f.fold, 4.0, 0.0, 0.0)], "date timestamp_ntz, sse_total double, sst_total double, sse_pred double, sst_pred double")
+
+    with pytest.raises(ValueError, match="boom"):
+        run_sweep(spark, folds, body, lambda df, k: df)
+    out = run_sweep(spark, folds, body, lambda df, k: df, "skip")
+    assert sorted((r.fold, r.status) for r in out.summary.collect()) == [(0, "completed"), (1, "failed"), (2, "completed")]
+    assert out.pooled().first().total_r2 == pytest.approx(1 - 4 / 8)
+    with pytest.raises(SweepError):
+        run_sweep(spark, folds[1:2], body, lambda df, k: df, "skip")
+
+
+def test_command_line_checks_configs(tmp_path, capsys):
+    from panelwright.__main__ import main
+
+    (tmp_path / "c.yaml").write_text("ingestion: {panels: {p: {path: x, schema: {date: d, entity: e}}}}\nfeatures: {featurizers: [{type: nope}]}\n")
+    assert main(["check", str(tmp_path / "c.yaml")]) == 1 and "nope" in capsys.readouterr().out
