@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -24,7 +25,17 @@ class Ewm:
         return cls(column, 2.0 / (span + 1.0), adjust, least)
 
 
+#: Shorter series cost less in a plain loop than in setting pandas up.
+SHORT = 256
+
+
 def means(x: np.ndarray, alpha: float, adjust: bool, least: int) -> np.ndarray:
+    if len(x) < SHORT:
+        return _loop(x, alpha, adjust, least)
+    return pd.Series(x).ewm(alpha=alpha, adjust=adjust, ignore_na=False, min_periods=least).mean().to_numpy()
+
+
+def _loop(x: np.ndarray, alpha: float, adjust: bool, least: int) -> np.ndarray:
     out = np.full(len(x), np.nan)
     y, weight, seen = 0.0, 0.0, 0
     for i, v in enumerate(x.tolist()):

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from panelwright.feature_queries import CASES
-from panelwright.functions.ewm import means
+from panelwright.functions.ewm import _loop, means
 from panelwright.operators.features import REGISTRY, Feature, FeatureError
 from panelwright.panel import Panel
 from panelwright.plans.feature_plan import FeaturePipeline, Selection, add_features
@@ -74,11 +74,12 @@ def test_skew_and_kurt_match_pandas(spark, frame):
 @pytest.mark.parametrize("adjust", [True, False])
 def test_ewm_matches_pandas(adjust):
     rng = np.random.default_rng(3)
-    for n in (0, 1, 5, 60):
+    for n in (0, 1, 5, 60, 300):
         x = np.where(rng.random(n) < 0.3, np.nan, rng.normal(size=n))
         for least in (1, 4):
             want = pd.Series(x, dtype=float).ewm(alpha=0.3, adjust=adjust, ignore_na=False, min_periods=least).mean()
             np.testing.assert_allclose(means(x, 0.3, adjust, least), want, rtol=1e-12)
+            np.testing.assert_allclose(_loop(x, 0.3, adjust, least), want, rtol=1e-12)
 
 
 def test_cross_sections_match_pandas(spark, frame):
