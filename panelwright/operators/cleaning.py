@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.sessions import sessions as xnys_sessions
 from ..panel import Grain, Panel
 
 
@@ -58,11 +59,18 @@ def weekday_sessions(panel: Panel, holidays: DataFrame | None = None) -> DataFra
 
 
 @transform("trading_calendar", Grain.PANEL, Grain.TIME_SERIES)
-def trading_calendar(panel: Panel, calendar: str | DataFrame = "weekdays") -> Panel:
-    """Rows on sessions of the calendar: ``weekdays`` or a table with a ``session`` column. One row a day bounds its size."""
-    if isinstance(calendar, str) and calendar != "weekdays":
+def trading_calendar(panel: Panel, calendar: str | DataFrame = "XNYS") -> Panel:
+    """Rows on sessions of the calendar: ``XNYS``, ``weekdays``, or a table with a ``session`` column (a row a day)."""
+    if not isinstance(calendar, str):
+        sessions = calendar.select(F.col("session").cast("date").alias("session"))
+    elif calendar == "weekdays":
+        sessions = weekday_sessions(panel)
+    elif calendar == "XNYS":
+        span = panel.df.agg(F.min(panel.date).cast("date"), F.max(panel.date).cast("date")).first()
+        days = xnys_sessions(*span) if span[0] else []
+        sessions = panel.df.sparkSession.createDataFrame([(d,) for d in days], "session date")
+    else:
         raise CleaningError(f"calendar {calendar!r} isn't built in; give its sessions as a table")
-    sessions = weekday_sessions(panel) if isinstance(calendar, str) else calendar.select(F.col("session").cast("date").alias("session"))
     day = F.col(panel.date).cast("date")
     return panel.with_df(panel.df.withColumn("session", day).join(sessions.distinct(), "session", "left_semi").select(panel.df.columns))
 
@@ -81,9 +89,10 @@ def deduplicate(panel: Panel, keys: Sequence[str] = ()) -> Panel:
     def merged(c: str):
         if c in panel.keys:
             return F.min(c).alias(c)
+        if isinstance(panel.kind(c), T.DoubleType | T.FloatType):
+            return F.avg(F.when(~F.isnan(c), F.col(c))).alias(c)
         if isinstance(panel.kind(c), T.NumericType):
-            mean = F.avg(c)
-            return F.when(F.count("*") == 1, F.min(c).cast("double")).otherwise(mean).alias(c) if not isinstance(panel.kind(c), T.DecimalType) else mean.alias(c)
+            return F.avg(c).alias(c)
         return F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
 
     return panel.with_df(panel.df.groupBy(*keys).agg(*map(merged, rest)).select(panel.df.columns))

@@ -36,6 +36,11 @@ def _calendar(spark, d) -> DataFrame:
     return clean(activity(spark, d), [("trading_calendar", {"calendar": "weekdays"})]).df
 
 
+@query("clean_trading_calendar_xnys", f"WITH {ACTIVITY_SQL} SELECT date, entity, total, n FROM ev WHERE isodow(date) < 6 AND strftime(date, '%Y-%m-%d') NOT IN ('2024-01-01', '2024-01-15')")
+def _xnys(spark, d) -> DataFrame:
+    return clean(activity(spark, d), [("trading_calendar", {"calendar": "XNYS"})]).df
+
+
 @query(
     "clean_deduplicate",
     "WITH l AS (SELECT CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS date, l_suppkey AS entity, l_quantity AS quantity, l_returnflag AS flag FROM lineitem) "

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..panel import Panel, PanelError
 from .filters import RowSelection, apply_filters
@@ -128,5 +129,7 @@ class PanelSpec:
             raise PanelError(f"unknown source format {self.format!r}; there are {sorted(SOURCES)}")
         df = SOURCES[self.format](spark, self.path, self.schema, self.columns, self.options)
         panel = self.rows.apply(Panel(df, self.schema.date, self.schema.entity))
+        real = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType | T.FloatType) and f.name not in panel.keys]
+        panel = panel.with_df(panel.df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in real}) if real else panel.df)  # missing is NULL
         panel = apply_filters(panel, list(self.filters))
         return panel.with_df(panel.df.drop(*(c for c in self.exclude if c not in panel.keys)))

@@ -297,3 +297,16 @@ def test_command_line_checks_configs(tmp_path, capsys):
 
     (tmp_path / "c.yaml").write_text("ingestion: {panels: {p: {path: x, schema: {date: d, entity: e}}}}\nfeatures: {featurizers: [{type: nope}]}\n")
     assert main(["check", str(tmp_path / "c.yaml")]) == 1 and "nope" in capsys.readouterr().out
+
+
+def test_exchange_sessions():
+    from panelwright.functions.sessions import easter, sessions
+
+    known = {1999: 252, 2001: 248, 2004: 252, 2007: 251, 2011: 252, 2012: 250, 2018: 251, 2019: 252, 2020: 253, 2021: 252, 2022: 251, 2023: 250, 2024: 252}
+    assert {y: len(sessions(dt.date(y, 1, 1), dt.date(y, 12, 31))) for y in known} == known
+    assert easter(2024) == dt.date(2024, 3, 31) and easter(2000) == dt.date(2000, 4, 23)
+
+
+def test_duplicates_skip_nan(spark):
+    p = panel(spark, [(0, 1, 1.0), (0, 1, float("nan")), (1, 1, float("nan"))])
+    assert rows_of(clean(p, [("deduplicate", {})]), "x") == sorted([(1.0,), (None,)], key=repr)
