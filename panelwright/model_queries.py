@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from .feature_queries import PRICES_SQL, E, div, ewm_sql, lag, roll
 from .operators.factor_model import Network, Training, cross_sections, dot, factor_diagnostics, factor_forecast, fit_folds, importance_summary, managed_portfolios, per_period_errors, pooled_r_squared, score_rows
-from .operators.residuals import gather, windows_of
+from .operators.residuals import gather, per_date_loss, pooled_loss, window_ends, windows_of
 from .operators.tuning import aggregate_convergence, aggregate_spread, compare, failed_gates, noise_floor
 from .panel import Panel
 from .plans.config import Adapter
 from .plans.feature_plan import Feature, FeaturePipeline, add_features
-from .plans.schedule import Split, WalkForward, fold_members, panel_dates
+from .plans.schedule import Bounds, Split, WalkForward, fold_members, panel_dates
 from .sources.derived import prices, table
 from .sources.tables import Schema, read_csv
 
@@ -178,20 +178,24 @@ def _residuals(spark, sf) -> DataFrame:
     "SELECT k.fold, k.part, e.entity, e.date, t.u AS target FROM e JOIN k ON e.pos >= k.a AND e.pos < k.b JOIN n t ON t.entity = e.entity AND t.pos = e.pos + 1 WHERE e.len >= 4 AND e.pos % 2 = 0 AND e.pos + 1 < k.b",
 )
 def _windows(spark, sf) -> DataFrame:
-    from .plans.schedule import Bounds
-
     u = _residuals(spark, sf).filter("u is not null")
     return windows_of(u, [Bounds(0, (0, 49), (49, 66), (66, 1000))], 4, 2, 1).drop("pos")
 
 
 @query("residual_sequences", RESIDUALS + f"SELECT entity, date, {d('a[1]')} AS s0, {d('a[4]')} AS s3, len(a) AS size FROM (SELECT entity, date, len, list(u) OVER (PARTITION BY entity ORDER BY pos ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS a FROM e) WHERE len >= 4")
 def _sequences(spark, sf) -> DataFrame:
-    from .operators.residuals import window_ends
-
     u = _residuals(spark, sf).filter("u is not null")
     return gather(u, window_ends(u, 4).select("entity", "date", "pos"), 4).select("entity", "date", D(F.col("seq")[0]).alias("s0"), D(F.col("seq")[3]).alias("s3"), F.size("seq").cast("long").alias("size"))
 
 
+@query("residual_pooled_loss", RESIDUALS + f", s AS (SELECT n.date, n.u AS score, t.u AS target FROM n JOIN n t ON t.entity = n.entity AND t.pos = n.pos + 1), g AS (SELECT date, sum((score - target) ** 2) AS loss, count(*) AS n FROM s GROUP BY date) SELECT {d('sum(loss) / sum(n)', 2)} AS loss, count(*) AS dates FROM g")
+def _loss(spark, sf) -> DataFrame:
+    """Of the forecast that the next residual equals this one."""
+    u = _residuals(spark, sf).filter("u is not null")
+    pairs = windows_of(u, [Bounds(0, (0, 10_000), (0, 0), (0, 0))], 1, 1, 1).join(u, ["date", "entity"]).withColumnRenamed("u", "score")
+    return pooled_loss(per_date_loss(pairs)).select(D("loss", 2).alias("loss"), "dates")
+
+
 # sweep and tuning statistics over fold scores drawn from the price panel
 
 SCORES = PX + f", v AS (SELECT date, entity, {div('gappy', lag('gappy'))} - 1 AS ret FROM px), s AS (SELECT CAST(entity % 4 AS INTEGER) AS run, year(date) AS fold, avg(ret) AS score FROM v GROUP BY ALL HAVING avg(ret) IS NOT NULL) "

@@ -49,3 +49,14 @@ def gather(residuals: DataFrame, ends: DataFrame, seq_len: int) -> DataFrame:
     rows = with_positions(residuals.filter("u is not null and not isnan(u)"))
     w = Window.partitionBy("entity").orderBy("pos").rowsBetween(-(seq_len - 1), 0)
     return ends.join(rows.select("entity", "pos", F.collect_list("u").over(w).alias("seq")), ["entity", "pos"])
+
+
+def per_date_loss(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, date, loss, n): squared errors of rows (by, date, score, target) summed by date, missing targets left out."""
+    some = scored.filter("score is not null and target is not null")
+    return some.groupBy(*by, "date").agg(F.sum(F.pow(F.col("score") - F.col("target"), 2)).alias("loss"), F.count("*").alias("n"))
+
+
+def pooled_loss(dates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A ratio of sums over dates and not a mean of daily means."""
+    return dates.groupBy(*by).agg((F.sum("loss") / F.sum("n")).alias("loss"), F.count("*").alias("dates"))

@@ -250,6 +250,12 @@ def test_autoencoder_gradient_and_fit(spark):
         step = theta.copy()
         step[i] += 1e-6
         assert (net.gradient(step, z, x, r)[1] - base) / 1e-6 == pytest.approx(g[i], abs=1e-3)
+    slopes = net.sensitivity(theta, z, x)
+    fitted = lambda v: (lambda b, f, _: (b * f).sum(axis=1))(*net.forward(theta, v, x))
+    for k in range(3):
+        moved = z.copy()
+        moved[:, k] += 1e-6
+        np.testing.assert_allclose((fitted(moved) - fitted(z)) / 1e-6, slopes[:, k], atol=1e-4)
     rows = []
     for k in range(40):
         f = float(rng.normal())
