@@ -184,6 +184,22 @@ def _common_shingles(docs: DataFrame, size: int) -> np.ndarray:
     return np.sort(got.view(np.uint64))
 
 
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A hashed bitmap of the keys, about sixteen bits a key and 32 MB at most; a fuller one lets more other keys pass."""
+    width = 1 << min(28, max(15, (16 * keys.count()).bit_length()))
+    at = F.col("key").bitwiseAND(F.lit(width - 1))
+    blocks = keys.groupBy(F.shiftright(at, 15).alias("block")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("bits"))
+    out = np.zeros(width // 8, dtype=np.uint8)
+    for r in blocks.toLocalIterator():  # of fixed size
+        out[r["block"] * 4096 : (r["block"] + 1) * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
+def _in_bitmap(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = (key & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
+    return bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of classes whose sets are similar enough."""
 
@@ -218,14 +234,21 @@ def jaccard_components(docs: DataFrame, size: int = 5, id_col: str = "doc_id", t
     marked = settle(_sets_of(fed, size, f"id {kind}, n long, c long, c2 long", prints), "jaccard-classes")
     common = spark.sparkContext.broadcast(_common_shingles(fed, size))
 
-    def file(ids, row, code, n):
-        c, _ = fingerprints(row, code, n)
-        r, key = filed_slices(row, code, n, common.value)
-        return [_signed(key), _signed(c[r])]
-
-    filed = _sets_of(fed, size, "key long, c long", file)
-    shared = filed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
-    members = settle(filed.join(shared, "key").select("key", "c").distinct(), "jaccard-members")
+    def filing(wanted):
+        def file(ids, row, code, n):
+            c, _ = fingerprints(row, code, n)
+            r, key = filed_slices(row, code, n, common.value)
+            if wanted is not None:
+                r, key = (x[_in_bitmap(wanted.value, key)] for x in (r, key))
+            return [_signed(key), _signed(c[r])]
+
+        return _sets_of(fed, size, "key long, c long", file)
+
+    shared = filing(None).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+    shared = settle(shared, "jaccard-shared")
+    # most slices are one document's alone and need not be dealt out again
+    wanted = spark.sparkContext.broadcast(_bitmap(shared))
+    members = settle(filing(wanted).join(shared, "key").distinct(), "jaccard-members")
     # a slice's centre is its member that shares most slices: in a group of copies, one with few changes of its own
     ranked = members.join(members.groupBy("c").agg(F.count("*").alias("shares")), "c")
     centre = ranked.groupBy("key").agg(F.max_by("c", F.struct("shares", "c")).alias("centre"))
