@@ -133,25 +133,30 @@ def folded(sketches: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def near(a: list[dict], b: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of members of different components that the bounds leave possible."""
-    n = [np.array([x["n"] for x in side]) for side in (a, b)]
-    comp = [np.array([x["comp"] for x in side]) for side in (a, b)]
-    pivot = [np.array([x["pivot"] for x in side]) for side in (a, b)]
-    width = min(min(len(x["sketch"]) for x in a), min(len(x["sketch"]) for x in b))
-    bits = [folded([x["sketch"] for x in side], width) for side in (a, b)]
-    found = [], []
-    step = max(1, (1 << 22) // max(1, len(b) * width // 8))
-    for lo in range(0, len(a), step):
-        s = slice(lo, lo + step)
-        both = n[0][s, None] + n[1][None]
-        ok = (comp[0][s, None] != comp[1][None]) & ~(pivot[0][s, None] | pivot[1][None]) & (9 * np.abs(n[0][s, None] - n[1][None]) <= both)
+def near(cell: pa.StructArray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of classes, of blocks i and j, that are in different components and that the bounds leave possible."""
+    own, c, n, comp = (np.asarray(cell.field(f)) for f in ("own", "c", "n", "comp"))
+    pivot = np.asarray(cell.field("pivot").to_numpy(zero_copy_only=False))
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    none = np.zeros(0, dtype=np.int64)
+    if not len(left) or not len(right):
+        return none, none
+    sketches = cell.field("sketch").to_pylist()
+    width = min(map(len, sketches))
+    bits = folded(sketches, width)
+    found = [none], [none]
+    step = max(1, (1 << 21) // max(1, len(right) * width // 8))
+    for lo in range(0, len(left), step):
+        s = left[lo : lo + step]
+        both = n[s, None] + n[None, right]
+        ok = (comp[s, None] != comp[None, right]) & ~(pivot[s, None] | pivot[None, right]) & (9 * np.abs(n[s, None] - n[None, right]) <= both)
         if ok.any():
-            far = np.bitwise_count(bits[0][s, None, :] ^ bits[1][None]).sum(axis=2, dtype=np.int32)
-            i, j = np.nonzero(ok & (9 * far <= both))
-            found[0].append(lo + i)
-            found[1].append(j)
-    return (np.concatenate(found[0]), np.concatenate(found[1])) if found[0] else (np.zeros(0, dtype=np.int64),) * 2
+            far = np.bitwise_count(bits[s, None, :] ^ bits[None, right]).sum(axis=2, dtype=np.int32)
+            x, y = np.nonzero(ok & (9 * far <= both))
+            found[0].append(c[s[x]])
+            found[1].append(c[right[y]])
+    x, y = (np.concatenate(f) for f in found)
+    return np.minimum(x, y), np.maximum(x, y)
 
 
 def _sets_of(docs: DataFrame, size: int, schema: str, make) -> DataFrame:
@@ -277,26 +282,20 @@ def jaccard_components(docs: DataFrame, size: int = 5, id_col: str = "doc_id", t
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(len(batch)):
-                cell = batch.column(2)[r].as_py()
-                i, j = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-                a, b = [x for x in cell if x["own"] == i], [x for x in cell if x["own"] == j]
-                if not a or not b:
-                    continue
-                x, y = near(a, b)
-                ca, cb = (np.array([v["c"] for v in side], dtype=np.int64) for side in (a, b))
-                got = np.unique(np.stack([np.minimum(ca[x], cb[y]), np.maximum(ca[x], cb[y])]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
+                got = np.unique(np.stack(near(batch.column(2)[r].values, batch.column(0)[r].as_py(), batch.column(1)[r].as_py())), axis=1)
+                if got.size:
+                    yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
 
     rest = settle(cells.select("i", "j", "m").mapInArrow(compare, "a long, b long").distinct(), "jaccard-rest")
     more = settle(_verified(rest, sets, percent), "jaccard-more")
     if not more.isEmpty():
         roots = settle(components(links.unionByName(more), "a", "b"), "jaccard-roots")
 
-    known = marked.join(roots.withColumnRenamed("node", "c"), "c", "left")
+    known = settle(marked.join(roots.withColumnRenamed("node", "c"), "c", "left"), "jaccard-known")
     known = known.withColumn("of", F.struct(F.coalesce("root", "c").alias("root"), F.when(F.col("root").isNull(), F.col("c2")).alias("c2")))
     known = known.withColumns({"r1": F.col("of.root"), "r2": F.coalesce("of.c2", F.lit(0)), "linked": F.col("root").isNotNull()})
     full = known.filter("n > 0")
-    least = full.groupBy("r1", "r2", "linked").agg(F.min("id").alias("component_id"))
+    least = settle(full.groupBy("r1", "r2", "linked").agg(F.min("id").alias("component_id")), "jaccard-least")
     out = full.join(least, ["r1", "r2", "linked"]).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(known.filter("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
 
