@@ -5,10 +5,10 @@ one letter may stand for one or two of it, and marks or blanks between single le
 under a character 4-gram language model picks the likeliest clean word; the restored words are then scored with the
 words of the text.
 
-Words, language model and score are learned from at most ``max_train`` labelled rows, picked by a hash of the id: the
-lexicon are words far more frequent in toxic texts, the language model counts the words of that sample (lexicon words
-weighted up), and a logistic model of lexicon evidence gives the score. Only words that look disguised are decoded, each
-distinct one once a pass.
+Lexicon and score are learned from at most ``max_train`` labelled rows, picked by a hash of the id: the lexicon are words
+far more frequent in toxic texts, and a logistic model of lexicon evidence gives the score. The language model counts the
+words of all texts, without labels, in a hashed table of fixed size (lexicon words weighted up). Only words that look
+disguised are decoded, each distinct one once a pass.
 
 Null and empty texts have no evidence and get the score of a text without lexicon words. Rows are scored one by one, so
 repeated rows get equal scores; without any label all scores are 0.
@@ -19,7 +19,6 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import ALNUM, LOWER, NON_SPACE, hashes, passes, spans, text_column, word_rows
+from .words import ALNUM, LOWER, NON_SPACE, hashes, mix, passes, spans, text_column, word_rows
 
 #: Letters that a digit or symbol may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e"}
@@ -42,6 +41,11 @@ JOINT = np.zeros(256, dtype=bool)
 JOINT[[ord(c) for c in ".-_*~'`,:;^=/\\"]] = True
 #: Bytes of the longest word that is learned. A hidden word keeps a letter of each run, so more runs hide none of them.
 LONGEST = 24
+#: Cells of each of the two rows of the language model's table, and parts of its whole-number weights.
+CELLS, PARTS = 1 << 21, 1024
+GOLD, MASK = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
+#: Distinct words, and their bytes, that a task counts before it sends them on.
+WORDS, WORD_BYTES = 1 << 18, 32 << 20
 
 
 def bag(words) -> np.ndarray:
@@ -52,26 +56,61 @@ def bag(words) -> np.ndarray:
     return hashes(buf, ends - np.array([len(r) for r in raw], dtype=np.int64), ends)
 
 
+def _step(h, c):
+    """The next hash of a chain of characters, on arrays."""
+    return mix((h + GOLD) ^ c)
+
+
+def _step1(h: int, c: int) -> int:
+    """The same on plain numbers."""
+    x = (h + int(GOLD) & MASK) ^ c
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
+
+
+def add_grams(table: np.ndarray, words: list[str], weights: np.ndarray) -> None:
+    """Add each word's characters after their last 0 to 3, and those contexts, to the two rows of a flat table."""
+    codes = np.frombuffer("".join(f"^^^{w}$" for w in words).encode("utf-32-le", "replace"), dtype="<u4").astype(np.uint64)
+    sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
+    at = np.arange(sizes.sum()) + 3 * (np.repeat(np.arange(len(words)), sizes) + 1)
+    n = np.repeat(weights, sizes).astype(table.dtype)
+    for k in range(4):
+        h = np.full(len(at), k + 1, dtype=np.uint64)
+        for j in range(k, 0, -1):
+            h = _step(h, codes[at - j])
+        for key in (_step(h, codes[at] + np.uint64(1 << 32)), _step(h, np.uint64(1 << 33))):
+            np.add.at(table, (key & np.uint64(CELLS - 1)).astype(np.int64), n)
+            np.add.at(table, (key >> np.uint64(32) & np.uint64(CELLS - 1)).astype(np.int64) + CELLS, n)
+
+
 class CharModel:
-    """Interpolated character 4-grams over words with their ends marked."""
-
-    def __init__(self, counts: dict[str, float]):
-        self.grams: list[dict[str, dict[str, float]]] = [defaultdict(lambda: defaultdict(float)) for _ in range(4)]
-        for word, n in counts.items():
-            s = "^^^" + word + "$"
-            for i in range(3, len(s)):
-                for k in range(4):
-                    self.grams[k][s[i - k : i]][s[i]] += n
-        self.sums = [{c: sum(t.values()) for c, t in g.items()} for g in self.grams]
+    """Interpolated character 4-grams over words with their ends marked; counts are the lesser of two hashed cells."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = memoryview(np.ascontiguousarray(table, dtype=np.float32))
+        self.after = functools.lru_cache(1 << 16)(self._after)
         self.at = functools.lru_cache(1 << 18)(self._at)
 
+    def _count(self, key: int) -> float:
+        return min(self.table[key & CELLS - 1], self.table[(key >> 32 & CELLS - 1) + CELLS])
+
+    def _after(self, context: str) -> list[tuple[int, float]]:
+        """Hash and count of the context's last 0 to 3 characters, as far as they were seen."""
+        out = []
+        for k in range(4):
+            h = k + 1
+            for x in context[len(context) - k :]:
+                h = _step1(h, ord(x))
+            if total := self._count(_step1(h, 1 << 33)):
+                out.append((h, total))
+        return out
+
     def _at(self, context: str, c: str) -> float:
         p = 1e-4
-        for k in range(4):
-            ctx = context[len(context) - k :]
-            if total := self.sums[k].get(ctx):
-                trust = total / (total + 3.0)
-                p = (1 - trust) * p + trust * self.grams[k][ctx].get(c, 0.0) / total
+        for h, total in self.after(context):
+            trust = total / (total + 3.0)
+            p = (1 - trust) * p + trust * min(1.0, self._count(_step1(h, ord(c) + (1 << 32))) / total)
         return math.log(p)
 
     def decode(self, token: str) -> str:
@@ -139,7 +178,7 @@ class Machine:
     lexicon: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.uint64))  # sorted hashes
     odds: np.ndarray = field(default_factory=lambda: np.zeros(0))
     model: CharModel | None = None
-    counts: dict[str, float] = field(default_factory=dict)
+    table: np.ndarray = field(default_factory=lambda: np.zeros(2 * CELLS, dtype=np.float32))
     beta: np.ndarray = field(default_factory=lambda: np.array([-50.0, 0.0, 0.0, 0.0]))
 
     def __getstate__(self):
@@ -147,7 +186,7 @@ class Machine:
 
     def restored(self, words: list[str]) -> list[str]:
         if self.model is None:
-            self.model = CharModel(self.counts)
+            self.model = CharModel(self.table)
         return [self.model.decode(w.strip(".,;:?")) for w in words]
 
     def evidence(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -195,8 +234,61 @@ def _word_sets(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("t"), "y").mapInArrow(run, "y int, w string")
 
 
+def weigh(n):
+    """What a word of ``n`` texts counts in the language model."""
+    return np.log1p(n)
+
+
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """(w, n): the texts that have each word of letters, each task's words added up before they are dealt out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
+        held = 0
+
+        def flushed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["w", "n"])
+
+        for batch in batches:
+            for _, _, buf, offs in passes(text_column(batch, "t")):
+                low = LOWER[buf]
+                starts, ends, before = spans(low, offs, LETTER)
+                h = hashes(low, starts, ends)
+                _, some = np.unique(mix(h ^ mix(word_rows(before).astype(np.uint64) + GOLD)), return_index=True)
+                _, first, n = np.unique(h[some], return_index=True, return_counts=True)
+                raw, some = low.tobytes(), some[first]
+                for lo, hi, k in zip(starts[some].tolist(), ends[some].tolist(), n.tolist(), strict=True):
+                    w = raw[lo:hi]
+                    if w not in seen:
+                        held += hi - lo
+                    seen[w] = seen.get(w, 0) + k
+                if len(seen) > WORDS or held > WORD_BYTES:
+                    yield flushed()
+                    seen, held = {}, 0
+        yield flushed()
+
+    return docs.mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def language_table(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Character 4-grams of all words of all texts, as the table of a CharModel in whole parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(2 * CELLS, dtype=np.int64)
+        for batch in batches:
+            words = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
+            add_grams(table, words, np.rint(PARTS * weigh(batch.column(1).to_numpy())))
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], names=["cell", "n"])
+
+    got = _word_counts(docs.select(F.col(text_col).alias("t"))).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2 * CELLS rows
+    table = np.zeros(2 * CELLS)
+    table[got["cell"].to_numpy()] = got["n"].to_numpy() / PARTS
+    return table
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, max_train: int = 8000, id_col: str = "doc_id", label_col: str = "toxic", text_col: str = "text") -> Machine:
-    """``held_out`` is a condition on the id; its rows are never learned from."""
+    """``held_out`` is a condition on the id; labels of its rows are never learned from."""
     draw = F.xxhash64(F.lit("nc"), F.col(id_col))
     known = labels.select(id_col, label_col).dropna().filter(~held_out).distinct()
     # at most max_train rows, half of them toxic where there are so many
@@ -215,8 +307,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, max_tra
     names = table["w"].to_numpy()[strong].tolist()
     h = bag(names)
     order = np.argsort(h)
-    counts = dict(zip(table["w"], np.log1p(p + q), strict=True)) | {w: 20.0 + 20 * math.log1p(n) for w, n in zip(names, p[strong], strict=True)}
-    m = Machine([names[i] for i in order], h[order], odds[strong][order], None, counts)
+    grams = language_table(docs, text_col)
+    # the lexicon's share of the language model is what it would be among the words of the sample
+    key = _step1(1, 1 << 33)
+    share = min(grams[key & CELLS - 1], grams[(key >> 32 & CELLS - 1) + CELLS]) / max(1.0, float(weigh(p + q) @ (table["w"].str.len().to_numpy() + 1)))
+    add_grams(grams, names, max(1.0, share) * (20.0 + 20 * np.log1p(p[strong])))
+    m = Machine([names[i] for i in order], h[order], odds[strong][order], None, grams.astype(np.float32))
 
     shared = docs.sparkSession.sparkContext.broadcast(m)
 
@@ -239,7 +335,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, max_tra
 
 def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and toxic_score for every input row."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # bounded by the training sample
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size: 2 * CELLS numbers, and a lexicon bounded by the training sample
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

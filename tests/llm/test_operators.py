@@ -423,6 +423,31 @@ def test_toxicity_sees_through_disguise(spark):
     assert all(got[100 + i] < 0.1 for i in range(len(clean))), got
 
 
+def insulted(rng: random.Random, bad: list[str]) -> list[tuple[int, str, int]]:
+    texts = []
+    for i in range(600):
+        w = prose(rng, 60).split()
+        for b in rng.sample(bad, 2) if i % 3 == 0 else []:
+            w.insert(rng.randrange(len(w)), b)
+        texts.append((i, " ".join(w), int(i % 3 == 0)))
+    return texts
+
+
+@pytest.mark.parametrize("word", ["vwlxk", "vwixk"])
+def test_toxicity_language_model_counts_unlabelled_texts(spark, word):
+    rng = random.Random(4)
+    texts = insulted(rng, ["stupid", "moron", "trash", "disgusting"])
+    marks = spark.createDataFrame([(t[0], t[2]) for t in texts], "doc_id long, toxic int")
+    docs = spark.createDataFrame([t[:2] for t in texts] + [(1000 + i, f"{prose(rng, 5)} {word}") for i in range(40)] + [(2000, None)], "doc_id long, text string").repartition(5)
+    m = noisy_toxicity.train_toxicity(docs, marks, noisy_toxicity.toxic_fold())
+    model = noisy_toxicity.CharModel(m.table)
+    assert "".join(model.decode("vw1xk")) == word
+    words = Counter(w for r in docs.collect() for w in set(re.findall("[a-z]+", (r.text or "").lower())))
+    want = np.zeros(2 * noisy_toxicity.CELLS)
+    noisy_toxicity.add_grams(want, list(words), np.rint(noisy_toxicity.PARTS * noisy_toxicity.weigh(np.array(list(words.values())))))
+    assert np.array_equal(noisy_toxicity.language_table(docs) * noisy_toxicity.PARTS, want)
+
+
 def test_settled_tables_keep_rows(spark):
     df = spark.range(10).select("id", F.lit(None).cast("string").alias("x"))
     assert store.settle(df, "t").orderBy("id").collect() == df.orderBy("id").collect()
