@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import math
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,7 +40,9 @@ LEET = np.zeros(256, dtype=bool)
 LEET[[ord(c) for c in LOOKS if ord(c) < 128]] = True
 JOINT = np.zeros(256, dtype=bool)
 JOINT[[ord(c) for c in ".-_*~'`,:;^=/\\"]] = True
-#: Bytes of the longest word that is learned. A hidden word keeps a letter of each run, so more runs hide none of them.
+#: What may be nothing inside a word or stand between two.
+JOINTS = ".-_*~'`,:;^=/\\ "
+#: Bytes of the longest word that the lexicon learns.
 LONGEST = 24
 #: Cells of each of the two rows of the language model's table, and parts of its whole-number weights.
 CELLS, PARTS = 1 << 21, 1024
@@ -113,10 +116,12 @@ class CharModel:
             p = (1 - trust) * p + trust * min(1.0, self._count(_step1(h, ord(c) + (1 << 32))) / total)
         return math.log(p)
 
-    def decode(self, token: str) -> str:
-        """The likeliest clean word behind ``token`` (Viterbi over the last three clean characters)."""
+    def decode(self, token: str) -> list[str]:
+        """The likeliest clean words behind ``token`` (Viterbi over the last three clean characters); blanks and joining
+        marks are nothing or end a word. What all paths share is set down as decoding goes, so time and memory are linear."""
         beam: dict[str, tuple[float, str]] = {"^^^": (0.0, "")}
-        for c, run in ((m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", token, re.DOTALL)):
+        done: list[str] = []
+        for i, (c, run) in enumerate((m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", token, re.DOTALL)):
             ways: list[tuple[str, float]] = []
             for k in range(min(run, 2), 0, -1):
                 cost = 0.0 if k == run else RUN_COST
@@ -124,7 +129,7 @@ class CharModel:
                     ways.append((c * k, cost))
                 ways += [(x * k, cost + LOOK_COST) for x in LOOKS.get(c, "")]
             if not c.isalpha():
-                ways.append(("", DROP_COST * (1 if c in ".-_*~'`,:;^=/\\ " else 8)))
+                ways.append(("", DROP_COST * (1 if c in JOINTS else 8)))
             after: dict[str, tuple[float, str]] = {}
             for context, (score, word) in beam.items():
                 for add, cost in ways:
@@ -134,8 +139,16 @@ class CharModel:
                         ctx = ctx[1:] + x
                     if ctx not in after or s > after[ctx][0]:
                         after[ctx] = (s, word + add)
+                if c in JOINTS and context != "^^^":
+                    s = score + self.at(context, "$")
+                    if "^^^" not in after or s > after["^^^"][0]:
+                        after["^^^"] = (s, word + " ")
             beam = after
-        return max((s + self.at(c, "$"), w) for c, (s, w) in beam.items())[1]
+            if i % 32 == 31:
+                done.append(os.path.commonprefix([w for _, w in beam.values()]))
+                beam = {x: (s, w[len(done[-1]) :]) for x, (s, w) in beam.items()}
+        last = max((s + (self.at(c, "$") if c != "^^^" else 0.0), w) for c, (s, w) in beam.items())[1]
+        return ("".join(done) + last).split()
 
 
 def disguised(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,10 +167,7 @@ def disguised(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     runs = upto(run)
     mixed = (n_letters >= 1) & (n_odd >= 1) & (n_odd <= 2 * n_letters + 1)
     dotted = (n_marks >= 2) & (n_letters + n_odd <= n_marks + 2)
-    fresh = plain.copy()
-    fresh[1:] &= low[1:] != low[:-1]
-    fresh = upto(fresh)
-    take = (size >= 3) & (fresh[ends] - fresh[starts] <= LONGEST) & (mixed | dotted | ((runs[ends] > runs[starts]) & (n_letters >= 3)))
+    take = (size >= 3) & (mixed | dotted | ((runs[ends] > runs[starts]) & (n_letters >= 3)))
     single = (size == 1) & (plain[starts] | LEET[low[starts]]) if len(starts) else take
     edge = np.diff(np.concatenate([[0], (single).astype(np.int8), [0]]))
     a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -167,7 +177,7 @@ def disguised(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
         stop = b[np.searchsorted(b, cut, "right")]
         nxt = np.append(cut[1:], len(single))
         a, b = cut, np.minimum(stop, nxt)
-        keep = (b - a >= 3) & (fresh[ends[b - 1]] - fresh[starts[a]] <= LONGEST)
+        keep = b - a >= 3
         a, b = a[keep], b[keep]
     return np.concatenate([rows[take], rows[a]]), np.concatenate([starts[take], starts[a]]), np.concatenate([ends[take], ends[b - 1] if len(b) else b])
 
@@ -184,7 +194,7 @@ class Machine:
     def __getstate__(self):
         return {**self.__dict__, "model": None}
 
-    def restored(self, words: list[str]) -> list[str]:
+    def restored(self, words: list[str]) -> list[list[str]]:
         if self.model is None:
             self.model = CharModel(self.table)
         return [self.model.decode(w.strip(".,;:?")) for w in words]
@@ -199,7 +209,10 @@ class Machine:
         if len(row):
             _, some, which = np.unique(hashes(low, start, end), return_index=True, return_inverse=True)
             clean = self.restored([low[start[i] : end[i]].tobytes().decode("utf-8", "replace") for i in some])
-            rows, h = np.concatenate([rows, row]), np.concatenate([h, bag(clean)[which]])
+            size = np.array([len(c) for c in clean], dtype=np.int64)
+            first, many = (np.cumsum(size) - size)[which], size[which]
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - first, many)
+            rows, h = np.concatenate([rows, np.repeat(row, many)]), np.concatenate([h, bag([w for c in clean for w in c])[at]])
         if not len(self.lexicon):
             return np.zeros((n, 3))
         at = np.minimum(np.searchsorted(self.lexicon, h), len(self.lexicon) - 1)

@@ -448,6 +448,22 @@ def test_toxicity_language_model_counts_unlabelled_texts(spark, word):
     assert np.array_equal(noisy_toxicity.language_table(docs) * noisy_toxicity.PARTS, want)
 
 
+def test_toxicity_finds_several_words_in_one_disguise(spark):
+    rng = random.Random(4)
+    texts = insulted(rng, ["stupid", "idiot", "trash", "disgusting"])
+    texts = [(i, f"a {t} you are such and the world of", y) for i, t, y in texts]
+    docs, marks = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string"), spark.createDataFrame([(t[0], t[2]) for t in texts], "doc_id long, toxic int")
+    m = noisy_toxicity.train_toxicity(docs, marks, noisy_toxicity.toxic_fold())
+    pairs = [("a i d i o t", "a idiot"), ("stup1d,1d10t", "stupid idiot"), ("y o u a r e s u c h a s t u p i d i d i o t o f t h e w o r l d", "stupid idiot"), ("d1sgusting-1diot/and-the-tr@sh-of-the-w0rld-and-such", "disgusting idiot trash")]
+    around = prose(rng, 20), prose(rng, 20)
+    rows = [(2 * i + k, f"{around[0]} {x} {around[1]}") for i, p in enumerate(pairs) for k, x in enumerate(p)]
+    got = {r.doc_id: r.toxic_score for r in noisy_toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), m).collect()}
+    for i, p in enumerate(pairs):
+        assert abs(got[2 * i] - got[2 * i + 1]) < 0.1 and got[2 * i] > 0.3, (p, got)
+    long = " ".join("stupid" * 2000)
+    assert noisy_toxicity.CharModel(m.table).decode(long).count("stupid") > 1900
+
+
 def test_settled_tables_keep_rows(spark):
     df = spark.range(10).select("id", F.lit(None).cast("string").alias("x"))
     assert store.settle(df, "t").orderBy("id").collect() == df.orderBy("id").collect()
