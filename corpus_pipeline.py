@@ -2,7 +2,8 @@
 and read again as the next one's ``docs``. All but the last return the columns of ``docs``.
 
 Empty tables pass through every stage; null and empty texts are scored, kept and sharded like others; columns beside
-doc_id, text and source are carried along whatever their names. Stages that decide by doc_id drop rows without one.
+doc_id, text and source are carried along whatever their names. Stages decide by a row's doc_id,
+text and source together, so rows whose doc_id is null or repeated are judged by their texts.
 """
 
 from __future__ import annotations
@@ -28,13 +29,25 @@ def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_quality(docs, machine).filter(F.col("quality_score") >= QUALITY).drop("quality_score")
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key that rows share only where doc_id, text and source are equal, ordered by doc_id, nulls last."""
+    name = free_name(docs, "_key")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text", "source").alias("a"), F.xxhash64(F.lit(1), "source", "text").alias("b"))
+    return docs.withColumn(name, key), name
+
+
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group that similarity >= 0.8 links; one of repeated rows."""
-    groups = jaccard_components(docs)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    out = docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
-    again = groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1)
-    return out if again.isEmpty() else out.dropDuplicates(["doc_id"])
+    """One document, that of the smallest doc_id, of each group that similarity >= 0.8 links; one of repeated rows. Rows
+    without words or doc_id repeat nothing."""
+    fed, key = keyed(docs)
+    groups = jaccard_components(fed, id_col=key)
+    kept = groups.filter(F.col(key) == F.col("component_id")).select(key)
+    out = fed.join(kept.distinct(), key, "left_semi")
+    again = groups.groupBy(key).count().filter("count > 1").limit(1)
+    if not again.isEmpty():
+        alone = F.col("doc_id").isNull() & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        out = out.filter(~alone).dropDuplicates([key]).unionByName(out.filter(alone))
+    return out.select(docs.columns)
 
 
 def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +59,9 @@ def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them: none, one or two rows."""
     times = free_name(docs, "_times")
-    taken = mix_sources(docs, F.array("source")).filter("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias(times)).dropDuplicates(["doc_id"])
-    out = docs.join(taken, "doc_id")
+    fed, key = keyed(docs)
+    taken = mix_sources(fed, F.array("source"), key_col=key).filter("taken > 0").groupBy(key).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias(times))
+    out = fed.join(taken, key)
     return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
 
 

@@ -79,9 +79,12 @@ def min_cost_flow(supply: dict[tuple[int, ...], int], quota: list[int], copies:
     return given
 
 
-def mix_sources(docs: DataFrame, memberships: Column, weigh=lambda i: (3, 1, 2)[i % 3], share: Fraction = Fraction(3, 2), copies: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: str = "mix", slices: int = 4096) -> DataFrame:
-    """(id, size, members, taken) for every input row; ``memberships`` is an array of source names, null elements allowed."""
-    meta = settle(docs.select(F.col(id_col).alias("id"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.array_sort(F.array_distinct(memberships)).alias("members"), F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"))).alias("draw")), "mix-meta")
+def mix_sources(docs: DataFrame, memberships: Column, weigh=lambda i: (3, 1, 2)[i % 3], share: Fraction = Fraction(3, 2), copies: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: str = "mix", slices: int = 4096, key_col: str | None = None) -> DataFrame:
+    """(id, size, members, taken) for every input row; ``memberships`` is an array of source names, null elements allowed.
+    A ``key_col`` tells rows of equal or null ids apart: it breaks ties, draws for null ids and is part of the result."""
+    keys = [F.col(key_col).alias("key")] if key_col else []
+    drawn = F.coalesce(*(c.cast("string") for c in (F.col(id_col), *([F.col(key_col)] if key_col else []))))
+    meta = settle(docs.select(F.col(id_col).alias("id"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.array_sort(F.array_distinct(memberships)).alias("members"), F.md5(F.concat_ws(":", F.lit(seed), drawn)).alias("draw"), *keys), "mix-meta")
     meta = meta.withColumn("slice", F.expr(f"cast(conv(substr(draw, 1, 8), 16, 10) as bigint) % {slices}").cast("int"))
     totals = meta.groupBy("members").agg(F.sum("size").alias("size")).collect()  # one row a membership pattern
     names = sorted({m for r in totals for m in r["members"]}, key=lambda m: (m is None, m or ""))
@@ -98,11 +101,11 @@ def mix_sources(docs: DataFrame, memberships: Column, weigh=lambda i: (3, 1, 2)[
     # at most `slices` rows a pattern: words before each slice of the seeded order
     parts = meta.groupBy("pattern", "slice").agg(F.sum("size").alias("words"))
     parts = parts.withColumn("before", F.sum("words").over(Window.partitionBy("pattern").orderBy("slice")) - F.col("words")).drop("words").join(plan, "pattern")
-    inside = Window.partitionBy("pattern", "slice").orderBy("draw", "id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("pattern", "slice").orderBy("draw", "id", *(["key"] if keys else [])).rowsBetween(Window.unboundedPreceding, 0)
     mixed = meta.join(parts, ["pattern", "slice"]).withColumn("start", F.col("before") + F.sum("size").over(inside) - F.col("size"))
     extra = F.when(F.col("start") + F.col("size") / 2 <= F.col("rest"), F.col("size")).otherwise(F.lit(0))
     taken = F.col("rounds") * F.col("size") + F.when(F.col("rounds") < copies, extra).otherwise(F.lit(0))
-    return mixed.select(F.col("id").alias(id_col), "size", "members", "source_sizes", "targets", taken.cast("long").alias("taken"), "draw")
+    return mixed.select(F.col("id").alias(id_col), "size", "members", "source_sizes", "targets", taken.cast("long").alias("taken"), "draw", *([F.col("key").alias(key_col)] if keys else []))
 
 
 def op7_flow_mixing(spark, sf_dir: str) -> DataFrame:

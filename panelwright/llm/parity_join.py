@@ -18,7 +18,9 @@ So every link is found but those between documents that are joined already: comp
 class throughout (128-bit fingerprints of the set; 64-bit ids of classes in the search).
 
 Null texts, empty texts and texts without words have no shingles and link with nothing; texts of fewer words than
-``size`` have their whole sequence as only shingle. Repeated rows are copies. An empty table gives an empty result.
+``size`` have their whole sequence as only shingle. Repeated rows are copies. Links depend on texts alone: rows whose ids are
+null or repeated are compared like others (a component's id is the smallest that isn't null, null where all are). An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -260,15 +262,30 @@ def jaccard_components(docs: DataFrame, size: int = 5, id_col: str = "doc_id", t
     members = settle(members.join(centre, "key"), "jaccard-centred")
     ends = members.filter("c <> centre").select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b"))
     pairs = settle(ends.distinct(), "jaccard-pairs")
-    wanted = members.select("c").distinct().join(marked.groupBy("c").agg(F.min("id").alias("id")), "c")
+    # sets are fetched by their own fingerprints, whatever the ids; the bitmap lets a few more classes pass
+    sought = spark.sparkContext.broadcast(_bitmap(settle(members.select(F.col("c").alias("key")).distinct(), "jaccard-sought")))
 
-    def whole(ids, row, code, n):
-        cut = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
-        bits = [parity_bits(code[i:j]) if j > i else b"\0" * 8 for i, j in zip(cut[:-1].to_pylist(), cut[1:].to_pylist(), strict=True)]
-        return [ids, pa.array(np.diff(cut).astype(np.int64)), pa.ListArray.from_arrays(cut, _signed(code)), pa.array(bits, pa.binary())]
-
-    texts = fed.join(wanted, "id").select("c", "t")
-    sets = settle(_sets_of(texts, size, "c long, n long, shingles array<long>, sketch binary", whole).dropDuplicates(["c"]), "jaccard-sets")
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # each class once a task
+        for batch in batches:
+            for lo, hi, buf, offs in passes(text_column(batch, "t")):
+                row, code = shingle_sets(buf, offs, size)
+                c, _ = fingerprints(row, code, hi - lo)
+                cut = np.searchsorted(row, np.arange(hi - lo + 1))
+                at = []
+                for i in np.flatnonzero(_in_bitmap(sought.value, c) & (np.diff(cut) > 0)).tolist():
+                    if (x := int(c[i])) not in seen:
+                        seen.add(x)
+                        at.append(i)
+                at = np.array(at, dtype=np.int64)
+                on = np.zeros(hi - lo, dtype=bool)
+                on[at] = True
+                n = np.diff(cut)[at].astype(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), _signed(code[on[row]]))
+                bits = [parity_bits(code[cut[i] : cut[i + 1]]) for i in at]
+                yield pa.RecordBatch.from_arrays([_signed(c[at]), pa.array(n), lists, pa.array(bits, pa.binary())], names=["c", "n", "shingles", "sketch"])
+
+    sets = settle(fed.select("t").mapInArrow(whole, "c long, n long, shingles array<long>, sketch binary").dropDuplicates(["c"]), "jaccard-sets")
     links = settle(_verified(pairs, sets, percent), "jaccard-links")
 
     roots = settle(components(links, "a", "b"), "jaccard-roots")

@@ -180,6 +180,30 @@ def test_jaccard_components_match_brute_force(spark, monkeypatch):
         assert got == want
 
 
+def test_jaccard_links_depend_on_texts_and_not_on_ids(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(30):
+        words = prose(rng, 60).split()
+        texts += [" ".join(words), " ".join([*words[:59], "changed"])]
+    want = collections_of(brute_groups(texts))
+    for ids in ([None] * 60, [7] * 60, [None if i % 3 == 0 else 7 if i % 3 == 1 else i for i in range(60)]):
+        docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(5)
+        keyed = docs.withColumn("key", F.struct("doc_id", "text"))
+        got = {r.key.text: r.component_id.text for r in parity_join.jaccard_components(keyed, id_col="key").collect()}
+        assert collections_of([(0, got[t]) for t in texts]) == want
+        rows = parity_join.jaccard_components(docs).collect()
+        groups = [{ids[i] for i in g} - {None} for g in want]
+        assert Counter(r.component_id for r in rows) == Counter(min(s, default=None) for g, s in zip(want, groups, strict=True) for _ in g)
+
+
+def collections_of(groups):
+    out = {}
+    for i, (_, g) in enumerate(groups):
+        out.setdefault(g, []).append(i)
+    return sorted(out.values())
+
+
 def test_slices_of_similar_sets_meet():
     rng = np.random.default_rng(8)
     for n in (1, 2, 4, 5, 9, 14, 40, 128, 700):

@@ -1,8 +1,12 @@
 """The corpus pipeline, stage by stage and as a whole."""
 
+import random
+from collections import Counter
+
 import corpus_pipeline as cp
 from panelwright.llm import queries
 
+from .conftest import prose
 from .test_operators import alnum, brute_groups, brute_hits
 
 SF = "/root/testdata/sf0.001"
@@ -40,6 +44,22 @@ def test_odd_and_empty_rows_pass(spark, odd_docs, no_docs):
         assert cp.STAGES[-1][1](spark, docs, SF).count() == docs.count()
 
 
+def test_rows_of_null_and_repeated_ids_are_judged_by_their_texts(spark):
+    rng = random.Random(3)
+    texts = [prose(rng, 50) for _ in range(12)]
+    rows = [(None, t, "a", 1) for t in texts[:4]] + [(7, t, "a", 1) for t in texts[4:8]] + [(20 + i, t, "b", 1) for i, t in enumerate(texts[8:])]
+    rows += [(None, texts[0], "a", 1), (7, texts[8], "b", 1), (None, None, "a", 1), (None, None, "a", 1), (7, texts[5], "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int").repartition(3)
+    got = cp.near_duplicates(spark, docs, SF).collect()
+    assert Counter(r.text for r in got) == Counter([*texts, None, None])
+    assert {r.text: r.doc_id for r in got}[texts[8]] == 7
+    out = cp.mixture(spark, docs.filter("text is not null"), SF)
+    assert out.columns == docs.columns
+    taken = {(r.doc_id, r.text) for r in out.collect()}
+    assert {t for i, t in taken if i is None} and len({t for i, t in taken if i == 7}) > 1
+    assert not (taken - {r[:2] for r in rows})
+
+
 def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE) <= set(queries.QUERIES)
