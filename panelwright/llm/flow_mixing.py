@@ -1,13 +1,14 @@
 """Mixing sources to target weights by min-cost flow over membership patterns.
 
-Documents are aggregated by membership pattern (the set of sources that list them); patterns are few, so the flow network
-(patterns -> sources) is solved in the driver. A pattern offers its words once at no cost and again at convex costs, one
+Documents are aggregated by membership pattern (the set of sources that list them); patterns are few (PATTERNS at most, or
+an error), so the flow network (patterns -> sources) is solved in the driver. A pattern offers its words once at no cost and again at convex costs, one
 unit more for each further copy. The flow that fills every source's quota at least cost says how many words each pattern
 gives; inside a pattern whole rounds go to every document and the rest goes to a seeded prefix of its documents, the last
 of them where that comes nearer to the amount.
 
-Null text has size 0, a null source is a source of its own (last in order). Documents of size 0 take 0. Repeated rows are
-separate documents with equal rank keys. An empty table gives an empty result.
+Null text has size 0, a null source is a source of its own (last in order). Documents of size 0 take 0. Rows of equal
+ids are separate documents, ordered by size and checksum of the text, so reruns agree whatever the partitioning (rows equal
+in all of these may change places). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,11 +22,14 @@ from pyspark.sql.window import Window
 from .store import settle
 
 WORDS = r"[^\x20\x09-\x0D]++"
+#: Membership patterns that the flow is solved for in the driver; each is a row of a few numbers.
+PATTERNS = 200_000
 
 
-def capped_targets(sizes: list[int], weights: list[int], share: Fraction, most: int) -> list[Fraction]:
-    """``share`` of all words dealt by weight, none above ``most`` times its source's size, the excess dealt again."""
-    left, open_, out = share * sum(sizes), set(range(len(sizes))), [Fraction(0)] * len(sizes)
+def capped_targets(sizes: list[int], weights: list[int], share: Fraction, most: int, total: int | None = None) -> list[Fraction]:
+    """``share`` of all words (``total``, or the sum of the sizes where sources don't overlap) dealt by weight, none above
+    ``most`` times its source's size, the excess dealt again."""
+    left, open_, out = share * (sum(sizes) if total is None else total), set(range(len(sizes))), [Fraction(0)] * len(sizes)
     while open_ and left > 0:
         unit = Fraction(left) / sum(weights[i] for i in open_)
         full = {i for i in open_ if unit * weights[i] > most * sizes[i]}
@@ -39,73 +43,113 @@ def capped_targets(sizes: list[int], weights: list[int], share: Fraction, most:
 def min_cost_flow(supply: dict[tuple[int, ...], int], quota: list[int], copies: int) -> dict[tuple[int, ...], int]:
     """Words that each pattern (a tuple of source numbers) gives, filling the quotas at least convex repetition cost.
 
-    Successive shortest paths on the residual network start -> pattern (one arc a copy, cost = copies before it) ->
-    source -> end; patterns and sources are a handful, so Bellman-Ford is enough."""
+    Network: start -> pattern (an arc a copy, cost = copies before it) -> source -> end. Only the first arc of a path
+    costs anything, so the cheapest augmenting paths of successive shortest paths are those of the cheapest open copy:
+    one maximum flow (by blocking flows on level graphs) for each copy, kept while the next copy is opened, is the
+    least-cost flow. A pattern of one source needs no search beyond its own arc."""
     patterns = sorted(supply)
-    start, end = 0, 1 + len(patterns) + len(quota)
-    arcs: list[list[int]] = []  # from, to, room, cost; the arc at i ^ 1 runs back
+    n, end = len(patterns), 1 + len(patterns) + len(quota)
+    to: list[int] = []
+    room: list[int] = []
+    out: list[list[int]] = [[] for _ in range(end + 1)]  # arcs of each node; the arc at i ^ 1 runs back
 
-    def arc(a: int, b: int, room: int, cost: int) -> None:
-        arcs.extend(([a, b, room, cost], [b, a, 0, -cost]))
+    def arc(a: int, b: int, most: int) -> None:
+        out[a].append(len(to))
+        out[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((most, 0))
 
     for k, p in enumerate(patterns):
-        for c in range(copies):
-            arc(start, 1 + k, supply[p], c)
+        arc(0, 1 + k, 0)  # arc 2k of the open copies
+        out[1 + k].pop()  # nothing flows back to the start
+    for k, p in enumerate(patterns):
         for s in p:
-            arc(1 + k, 1 + len(patterns) + s, copies * supply[p], 0)
+            arc(1 + k, 1 + n + s, copies * supply[p])
     for s, q in enumerate(quota):
-        arc(1 + len(patterns) + s, end, q, 0)
-    while True:
-        dist, via, changed = {start: 0}, {}, True
-        while changed:
-            changed = False
-            for i, (a, b, room, cost) in enumerate(arcs):
-                if room and a in dist and dist[a] + cost < dist.get(b, 1 << 60):
-                    dist[b], via[b], changed = dist[a] + cost, i, True
-        if end not in dist:
-            break
-        path, at = [], end
-        while at != start:
-            path.append(via[at])
-            at = arcs[via[at]][0]
-        push = min(arcs[i][2] for i in path)
-        for i in path:
-            arcs[i][2] -= push
-            arcs[i ^ 1][2] += push
-    given = dict.fromkeys(patterns, 0)
-    for a, b, room, _ in arcs[1::2]:
-        if b == start:
-            given[patterns[a - 1]] += room
-    return given
+        arc(1 + n + s, end, q)
+    given = [0] * n
+    for _ in range(copies):
+        for k, p in enumerate(patterns):
+            room[2 * k] += supply[p]
+        while True:
+            level, queue = {0: 0}, [0]
+            for a in queue:
+                for i in out[a]:
+                    if room[i] and to[i] not in level:
+                        level[to[i]] = level[a] + 1
+                        queue.append(to[i])
+            if end not in level:
+                break
+            tried = [0] * (end + 1)
+            path: list[int] = []
+            while True:
+                a = to[path[-1]] if path else 0
+                if a == end:
+                    push = min(room[i] for i in path)
+                    for i in path:
+                        room[i] -= push
+                        room[i ^ 1] += push
+                    given[to[path[0]] - 1] += push
+                    path = []
+                elif tried[a] < len(out[a]):
+                    i = out[a][tried[a]]
+                    if room[i] and level.get(to[i]) == level[a] + 1:
+                        path.append(i)
+                    else:
+                        tried[a] += 1
+                elif path:
+                    tried[to[path.pop() ^ 1]] += 1
+                else:
+                    break
+    return dict(zip(patterns, given, strict=True))
+
+
+def _drawn(seed: str, id_col: str, key_col: str | None) -> Column:
+    ids = [F.col(c).cast("string") for c in (id_col, key_col) if c]
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(*ids)))
 
 
 def mix_sources(docs: DataFrame, memberships: Column, weigh=lambda i: (3, 1, 2)[i % 3], share: Fraction = Fraction(3, 2), copies: int = 2, id_col: str = "doc_id", text_col: str = "text", seed: str = "mix", slices: int = 4096, key_col: str | None = None) -> DataFrame:
-    """(id, size, members, taken) for every input row; ``memberships`` is an array of source names, null elements allowed.
-    A ``key_col`` tells rows of equal or null ids apart: it breaks ties, draws for null ids and is part of the result."""
+    """(id, size, members, source_sizes, targets, taken, draw) for every input row; ``memberships`` is an array of source
+    names, null elements allowed. A ``key_col`` tells rows of equal or null ids apart: it breaks ties, draws for null ids
+    and is part of the result.
+
+    More than PATTERNS membership patterns are refused: group rare sources first."""
     keys = [F.col(key_col).alias("key")] if key_col else []
-    drawn = F.coalesce(*(c.cast("string") for c in (F.col(id_col), *([F.col(key_col)] if key_col else []))))
-    meta = settle(docs.select(F.col(id_col).alias("id"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.array_sort(F.array_distinct(memberships)).alias("members"), F.md5(F.concat_ws(":", F.lit(seed), drawn)).alias("draw"), *keys), "mix-meta")
-    meta = meta.withColumn("slice", F.expr(f"cast(conv(substr(draw, 1, 8), 16, 10) as bigint) % {slices}").cast("int"))
-    totals = meta.groupBy("members").agg(F.sum("size").alias("size")).collect()  # one row a membership pattern
+    text = F.col(text_col)
+    size = F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long").alias("size")
+    members = F.array_sort(F.array_distinct(memberships)).alias("members")
+    meta = docs.select(F.col(id_col).alias("id"), size, members, _drawn(seed, id_col, key_col).alias("draw"), F.crc32(F.encode(text, "utf-8")).alias("crc"), *keys)
+    slice_ = F.expr(f"cast(conv(substr(draw, 1, 8), 16, 10) as bigint) % {slices}").cast("int")
+    meta = settle(meta, "mix-meta").withColumns({"slice": slice_, "pattern": F.to_json("members")})
+    totals = meta.groupBy("members").agg(F.sum("size").alias("size")).limit(PATTERNS + 1).collect()  # a row a pattern
+    if len(totals) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} membership patterns; group sources that few documents have")
     names = sorted({m for r in totals for m in r["members"]}, key=lambda m: (m is None, m or ""))
     number = {m: i for i, m in enumerate(names)}
-    sizes = [sum(r["size"] for r in totals if m in r["members"]) for m in names]
-    targets = capped_targets(sizes, [weigh(i) for i in range(len(names))], share, copies)
-    supply = {tuple(sorted(number[m] for m in r["members"])): r["size"] for r in totals}
-    given = min_cost_flow(supply, [round(t) for t in targets], copies)
-
-    spark = docs.sparkSession
-    plan = spark.createDataFrame([(list(r["members"]), r["size"], given[k := tuple(sorted(number[m] for m in r["members"]))], [float(targets[i]) for i in k], [sizes[i] for i in k]) for r in totals], "members array<string>, offered long, given long, targets array<double>, source_sizes array<long>")
-    plan = plan.withColumn("pattern", F.to_json("members")).drop("members").withColumns({"rounds": F.expr("if(offered > 0, given div offered, 0)"), "rest": F.expr("if(offered > 0, given % offered, 0)")})
-    meta = meta.withColumn("pattern", F.to_json("members"))
+    sizes = [0] * len(names)
+    for r in totals:
+        for m in r["members"]:
+            sizes[number[m]] += r["size"]
+    targets = capped_targets(sizes, [weigh(i) for i in range(len(names))], share, copies, sum(r["size"] for r in totals))
+    pattern = lambda r: tuple(sorted(number[m] for m in r["members"]))
+    given = min_cost_flow({pattern(r): r["size"] for r in totals}, [round(t) for t in targets], copies)
+
+    rows = [(list(r["members"]), r["size"], given[k], [float(targets[i]) for i in k], [sizes[i] for i in k]) for r in totals for k in [pattern(r)]]
+    plan = docs.sparkSession.createDataFrame(rows, "members array<string>, offered long, given long, targets array<double>, source_sizes array<long>")
+    plan = plan.withColumn("pattern", F.to_json("members")).drop("members")
+    plan = plan.withColumns({"rounds": F.expr("if(offered > 0, given div offered, 0)"), "rest": F.expr("if(offered > 0, given % offered, 0)")})
     # at most `slices` rows a pattern: words before each slice of the seeded order
     parts = meta.groupBy("pattern", "slice").agg(F.sum("size").alias("words"))
-    parts = parts.withColumn("before", F.sum("words").over(Window.partitionBy("pattern").orderBy("slice")) - F.col("words")).drop("words").join(plan, "pattern")
-    inside = Window.partitionBy("pattern", "slice").orderBy("draw", "id", *(["key"] if keys else [])).rowsBetween(Window.unboundedPreceding, 0)
+    before = F.sum("words").over(Window.partitionBy("pattern").orderBy("slice")) - F.col("words")
+    parts = parts.withColumn("before", before).drop("words").join(plan, "pattern")
+    order = ["draw", "id", *(["key"] if keys else []), "size", "crc"]
+    inside = Window.partitionBy("pattern", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     mixed = meta.join(parts, ["pattern", "slice"]).withColumn("start", F.col("before") + F.sum("size").over(inside) - F.col("size"))
     extra = F.when(F.col("start") + F.col("size") / 2 <= F.col("rest"), F.col("size")).otherwise(F.lit(0))
     taken = F.col("rounds") * F.col("size") + F.when(F.col("rounds") < copies, extra).otherwise(F.lit(0))
-    return mixed.select(F.col("id").alias(id_col), "size", "members", "source_sizes", "targets", taken.cast("long").alias("taken"), "draw", *([F.col("key").alias(key_col)] if keys else []))
+    shown = [F.col("key").alias(key_col)] if keys else []
+    return mixed.select(F.col("id").alias(id_col), "size", "members", "source_sizes", "targets", taken.cast("long").alias("taken"), "draw", *shown)
 
 
 def op7_flow_mixing(spark, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ linear in the features. Features of a text: its distinct lower-cased words, hash
 length; one bin for each structure statistic (shares of character kinds, of symbol-tailed and upper-case words, of
 distinct words and word triples, lengths); one bin for each numeric metadata column given.
 
-The model is fitted in the driver on at most ``max_train`` labelled rows, picked by a hash of the id; scoring passes over
-whole texts. A null or empty text has only its (empty) structure bins, null metadata a bin of its own, so each row gets a
+The model is fitted in the driver on at most ``max_train`` labelled rows (one an id), picked by a hash of the id; scoring
+passes over whole texts. A null or empty text has only its (empty) structure bins, null metadata a bin of its own, so each row gets a
 score. Rows are scored one by one: repeated rows get equal scores; without any label all scores are 0.5.
 """
 
@@ -160,10 +160,11 @@ def _dense(stats: np.ndarray, meta: pa.Array, width: int) -> np.ndarray:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, held_out: Column, max_train: int = 6000, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", meta_cols: tuple[str, ...] = ()) -> Machine:
-    """``held_out`` is a condition on the id; its rows are never learned from."""
+    """``held_out`` is a condition on the id; its rows are never learned from. Of several texts of one id the smallest is."""
     width = len(meta_cols)
     draw = F.xxhash64(F.lit("fm"), F.col(id_col))
-    picked = labels.select(id_col, label_col).dropna().filter(~held_out).distinct().orderBy(draw, label_col).limit(max_train)
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), draw.alias("k"), held_out.alias("held")).dropna()
+    picked = known.filter("not held").select("id", "k", "y").distinct().orderBy("k", "y").limit(max_train)
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,18 +175,20 @@ def train_quality(docs: DataFrame, labels: DataFrame, held_out: Column, max_trai
                 cut = pa.array(np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(list(dense), pa.list_(pa.float64())), pa.ListArray.from_arrays(cut, pa.array(bucket, pa.int32())), pa.ListArray.from_arrays(cut, pa.array(weight, pa.float32()))], names=["k", "y", "d", "i", "x"])
 
-    rows = docs.join(F.broadcast(picked), id_col).select(draw.alias("k"), F.col(label_col).cast("int").alias("y"), F.col(text_col).alias("t"), _meta(meta_cols).alias("m"))
+    fed = docs.select(F.col(id_col).alias("id"), F.struct(F.col(text_col).alias("t"), _meta(meta_cols).alias("m")).alias("of"))
+    one = fed.join(F.broadcast(picked), "id").groupBy("id", "k", "y").agg(F.min("of").alias("of"))  # max_train rows at most
+    rows = one.select("k", "y", "of.t", "of.m")
     got = rows.mapInArrow(prepare, "k long, y int, d array<double>, i array<int>, x array<float>").toArrow().sort_by([("k", "ascending"), ("y", "ascending")])
     dense = np.array(got["d"].to_pylist(), dtype=float).reshape(-1, STATS + width)
     ragged = lambda name: [np.asarray(a.values) for a in got[name].combine_chunks()] if len(got) else []
     return fit(dense, list(zip(ragged("i"), ragged("x"), strict=True)), np.asarray(got["y"], dtype=float))
 
 
-def score_quality(docs: DataFrame, machine: Machine, text_col: str = "text", meta_cols: tuple[str, ...] = (), keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (None: all) and ``quality_score`` (a column of that name is replaced); one row per input row."""
+def score_quality(docs: DataFrame, machine: Machine, text_col: str = "text", meta_cols: tuple[str, ...] = (), keep: list[str] | None = None, score_col: str = "quality_score") -> DataFrame:
+    """The columns ``keep`` of ``docs`` (None: all) and ``score_col`` (a column of that name is replaced); one row per input row."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size: 2^16 words and a few hundred bins
     width = len(meta_cols)
-    keep = [c for c in keep or docs.columns if c != "quality_score"]
+    keep = [c for c in keep or docs.columns if c != score_col]
     meta_col = free_name(docs, "_meta")
     fed = carrying(docs.withColumn(meta_col, _meta(meta_cols)), [*keep, meta_col], text_col)
 
@@ -195,9 +198,10 @@ def score_quality(docs: DataFrame, machine: Machine, text_col: str = "text", met
             for lo, hi, buf, offs in passes(col):
                 stats, row, bucket, weight = features(buf, offs)
                 score = shared.value.score(_dense(stats, meta.slice(lo, hi - lo), width), row, bucket, weight)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(score, pa.float64())], names=["row", "quality_score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(score, pa.float64())], names=["row", "score"])
 
-    return fed.mapInArrow(run, f"row {fed.schema['row'].dataType.simpleString()}, quality_score double").select("row.*", "quality_score").drop(meta_col)
+    out = fed.mapInArrow(run, f"row {fed.schema['row'].dataType.simpleString()}, score double")
+    return out.select(*(F.col("row").getField(c).alias(c) for c in keep), F.col("score").alias(score_col))
 
 
 def quality_fold() -> Column:
@@ -208,5 +212,6 @@ def quality_fold() -> Column:
 def op1_fm_quality(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     machine = train_quality(docs, labels, quality_fold(), meta_cols=("n_chars",))
-    out = score_quality(docs, machine, meta_cols=("n_chars",), keep=["doc_id"])
-    return out.select("doc_id", F.coalesce(quality_fold(), F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
+    out = score_quality(docs, machine, meta_cols=("n_chars",), keep=["doc_id"], score_col="score")
+    held = F.coalesce(quality_fold(), F.lit(False)).alias("held_out")
+    return out.select("doc_id", held, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

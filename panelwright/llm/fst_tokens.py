@@ -7,9 +7,11 @@ has a final output instead. That the state is enough rests on a property of BPE:
 text exactly when each pair of neighbours is (Berglund and van der Merwe, "Formalizing BPE tokenization", 2023).
 
 The machine is built where texts first need a transition, in each Python worker, and forgotten beyond ``MAX_STATES``.
-Words are cut into chunks; all chunks step through the machine side by side, each from a guessed entry state; the chunk
-maps compose by a scan that hands exit states on and runs again only the chunks whose entry changed. Per-document counts
-are differences of a prefix sum over words.
+Words are cut into chunks, and all chunks step through the machine side by side. A chunk's map takes an entry state to its
+exit state and emitted count. It is tabulated for the start state and for every state at which the map of the chunk before
+may leave, until the tables are closed; then maps are composed pairwise, doubling their reach each time (a parallel prefix
+scan), so a word of n chunks takes log2(n) compositions. States forget what lies more than a token back, so few chunks
+have more than two entries. Per-document counts are differences of a prefix sum over words.
 
 Null text counts as empty (0 tokens). Special strings inside a text count as one token, as the library does by default.
 """
@@ -147,6 +149,37 @@ class Transducer:
             state[:n] = to
         return state, count
 
+    def _maps(self, buf: np.ndarray, at: np.ndarray, size: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The chunks' maps as one table of rows (chunk, entry state): exit state, emitted count, and the row of the next
+        chunk at that state (itself for the last of a word). The first rows are those of the start state, in order."""
+
+        def run(chunk: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            order = np.argsort(-size[chunk], kind="stable")
+            leave, made = np.empty(len(chunk), dtype=np.int32), np.empty(len(chunk), dtype=np.int64)
+            leave[order], made[order] = self._run(buf, at[chunk[order]], size[chunk[order]], entry[order])
+            return leave, made
+
+        chunk, entry = np.arange(len(at)), np.zeros(len(at), dtype=np.int32)
+        leave, made = run(chunk, entry)
+        key = lambda chunk, state: chunk.astype(np.int64) << 32 | state
+        known = key(chunk, entry)
+        new = np.arange(len(at))
+        while True:
+            on = new[~last[chunk[new]]]
+            want = np.setdiff1d(key(chunk[on] + 1, leave[on]), known)
+            if not len(want):
+                break
+            new = len(chunk) + np.arange(len(want))
+            more, state = want >> 32, (want & 0xFFFFFFFF).astype(np.int32)
+            parts = run(more, state)
+            chunk, leave, made = (np.concatenate(x) for x in ((chunk, more), (leave, parts[0]), (made, parts[1])))
+            known = np.concatenate([known, want])
+        order = np.argsort(known)
+        on = np.flatnonzero(~last[chunk])
+        follow = np.arange(len(chunk))
+        follow[on] = order[np.searchsorted(known, key(chunk[on] + 1, leave[on]), sorter=order)]
+        return leave, made, follow
+
     def count(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Tokens of each word (its bytes from start to end, none empty)."""
         if not len(starts):
@@ -156,28 +189,33 @@ class Transducer:
         self.columns(np.unique(buf))
         body = ends - starts - 1  # all bytes but the last
         pieces = np.maximum(1, -(-body // CHUNK))
+        head = np.cumsum(pieces) - pieces
         word = np.repeat(np.arange(len(starts)), pieces)
-        nth = np.arange(len(word)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        nth = np.arange(len(word)) - head[word]
         at, size = starts[word] + nth * CHUNK, np.minimum(CHUNK, body[word] - nth * CHUNK)
-        order = np.argsort(-size, kind="stable")
-        leave, made = np.zeros(len(word), dtype=np.int32), np.zeros(len(word), dtype=np.int64)
-        leave[order], made[order] = self._run(buf, at[order], size[order], np.zeros(len(word), dtype=np.int32))
-        later = np.flatnonzero(nth > 0)
-        enter = np.zeros(len(word), dtype=np.int32)
-        while (wrong := later[enter[later] != leave[later - 1]]).size:
-            enter[wrong] = leave[wrong - 1]
-            wrong = wrong[np.argsort(-size[wrong], kind="stable")]
-            leave[wrong], made[wrong] = self._run(buf, at[wrong], size[wrong], enter[wrong])
-        tail = np.cumsum(pieces) - 1
-        total = np.cumsum(made)[tail]
-        total[1:] -= total[:-1].copy()
-        s, b = leave[tail], buf[ends - 1]
+        leave, made, follow = self._maps(buf, at, size, nth == pieces[word] - 1)
+        tail, total = composed(follow, made, int(pieces.max()))
+        s, b = leave[tail[head]], buf[ends - 1]
         out = self.last[s, self.column[b]]
         if (holes := np.flatnonzero(out == UNSET)).size:
             for pair in np.unique(s[holes].astype(np.int64) << 8 | b[holes]):
                 self.finish(int(pair) >> 8, int(pair) & 255)
             out = self.last[s, self.column[b]]
-        return total + out
+        return total[head] + out
+
+
+def compose(first: tuple[np.ndarray, np.ndarray], then: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """``then`` after ``first``; maps are (row to go on from, tokens emitted on the way there). Associative."""
+    return then[0][first[0]], first[1] + then[1][first[0]]
+
+
+def composed(follow: np.ndarray, made: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """From every row to the end of its word, of ``most`` chunks or fewer: the last row, and the tokens of all chunks."""
+    stays = follow == np.arange(len(follow))
+    reach = follow, np.where(stays, 0, made)
+    for _ in range((most - 1).bit_length()):
+        reach = compose(reach, reach)
+    return reach[0], reach[1] + made[reach[0]]
 
 
 def word_spans(cps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,10 +1,11 @@
 """Media columns: texts as WAV audio, short-time Fourier transforms and spectral-peak pair fingerprints.
 
 The UTF-8 bytes of a text, padded with blanks to a positive multiple of 192, are the 8-bit samples of a mono WAV made by
-the wave module. The samples are read back from the stored bytes; frames of ``FRAME`` samples, ``HOP`` apart, under a Hann
-window give spectra; the strongest bin of each band that stands above its frame's mean is a peak; each peak is paired
-with the next ``FAN`` peaks and a pair is one 64-bit code ``bin << 40 | bin' << 24 | frames between << 16`` beside the
-time of its first peak.
+the wave module. The samples are read back from the stored bytes; frames of ``FRAME`` samples, ``HOP`` apart (half a
+frame, so what the Hann window fades at the edge of one frame is in the middle of the next) give spectra; the strongest
+bin of each band that is over twice its frame's mean is a peak; each peak, in order of time and bin, is paired with the
+next ``FAN`` peaks that are fewer than 256 frames away. A pair is one 64-bit code ``bin << 40 | bin' << 24 | frames
+between << 16``, stored beside the time (in frames) of its first peak; ``feature`` sums both arrays up.
 
 A null text is the empty text: 192 blanks. Equal texts give equal values. Work goes text by text in blocks of frames, so
 memory is bounded by the longest text and not by a batch. An empty table gives an empty result.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .words import text_column
 
-RATE, FRAME, HOP, FAN = 8000, 256, 256, 3
+RATE, FRAME, HOP, FAN = 8000, 256, 128, 3
 #: Frequency bands of the 129 bins, from the first bin to the one after the last.
 BANDS = ((4, 20), (20, 52), (52, 129))
 BLOCK_FRAMES = 4096
@@ -81,29 +82,39 @@ def peak_pairs(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media binary, media_bytes long, media_sha256 string, times array<int>, codes array<long>, feature string"
 
 
+def feature_of(times: np.ndarray, codes: np.ndarray) -> str:
+    """Geometry, pairs, a checksum of both arrays and the first code."""
+    mark = zlib.crc32(codes.astype("<i8").tobytes(), zlib.crc32(times.astype("<i8").tobytes()))
+    return f"stft{FRAME}/{HOP}:{len(codes)}:{mark:08x}:{codes[0] if len(codes) else 0:x}"
+
+
+KINDS = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.string()]
+
+
+def _row(raw: bytes, keep_media: bool) -> tuple:
+    payload = raw + b" " * ((-len(raw)) % 192 if raw else 192)
+    media = to_wav(payload)
+    back = from_wav(media)
+    t, c = peak_pairs(back)
+    return (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), media if keep_media else None, len(media), hashlib.sha256(media).hexdigest(), t, c, feature_of(t, c))
+
+
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
     """Id, digests, the fingerprint arrays and, with ``keep_media``, the WAV itself. ``id_col`` must be an integer."""
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), text_column(batch, text_col)
             for lo in range(0, len(batch), 256):
-                rows = []
-                for i in range(lo, min(lo + 256, len(batch))):
-                    raw = texts[i].as_buffer().to_pybytes() if texts[i].is_valid else b""
-                    payload = raw + b" " * ((-len(raw)) % 192 if raw else 192)
-                    media = to_wav(payload)
-                    back = from_wav(media)
-                    t, c = peak_pairs(back)
-                    mark = zlib.crc32(c.astype("<i8").tobytes(), zlib.crc32(t.astype("<i8").tobytes()))
-                    rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), media if keep_media else None, len(media), hashlib.sha256(media).hexdigest(), t, c, f"stft{FRAME}/{HOP}:{len(c)}:{mark:08x}:{c[0] if len(c) else 0:x}"))
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.string()]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, len(rows)).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[x.split()[0] for x in SCHEMA.split(", ")])
+                some = texts.slice(lo, 256)
+                rows = [_row(t.as_buffer().to_pybytes(), keep_media) for t in some]
+                cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, len(rows)).cast(pa.int64()), *cols], names=names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias(text_col)).mapInArrow(encode, SCHEMA)
 
 
 def op9_wav_fingerprints(spark, sf_dir: str) -> DataFrame:
-    out = media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_media=False)
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    """The media itself stays out of the result; it is rebuilt from the text at will."""
+    return media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_media=False).drop("media")

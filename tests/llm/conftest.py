@@ -18,6 +18,8 @@ def odd_rows() -> list[tuple]:
     near = " ".join([*words[:50], "changed", *words[51:]])
     texts = [base, base, near, None, "", "  \t\n ", "one two", prose(rng, 60_000), "ÀÉÎ çà et là ñandú straße", "<|endoftext|> it's 'll 1234", "x" * 5000, base.upper(), prose(rng, 300), prose(rng, 7), "a b c d e", "a b c d"]
     rows = [(i, t, ["en", "fr", None][i % 3], ["s0", "s1", None, "s0"][i % 4], None if t is None else len(t), *EXTRA) for i, t in enumerate(texts)]
+    # ids that stand for several texts, and near copies of which some have no id
+    rows += [(i, t, "en", "s0", 1, *EXTRA) for i, t in ((2, prose(rng, 30)), (2, prose(rng, 50)), (0, near + " more"), (None, near), (None, base + " once more"))]
     rows += [rows[0], rows[0], (None, prose(rng, 40), None, None, None, *([None] * len(EXTRA)))]
     return rows
 

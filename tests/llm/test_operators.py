@@ -57,6 +57,35 @@ def test_factorisation_identity():
     assert got[0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
 
 
+def test_quality_features_match_brute_force():
+    rng = random.Random(3)
+    texts = ["", "  ", "One two, TWO two?! ##", "A\nB\nC9 é", *(" ".join(rng.choice(["the", "The", "THE", "x!", "?", "a1!!", "ß", "ab-cd"]) for _ in range(rng.randint(1, 60))) for _ in range(20))]
+    raw = [t.encode() for t in texts]
+    offs = np.cumsum([0, *map(len, raw)])
+    stats, row, bucket, weight = fm_quality.features(np.frombuffer(b"".join(raw), dtype=np.uint8), offs)
+    marks = "!?,.:;#$%&*+<=>@\\^_`{|}~"
+    for i, t in enumerate(texts):
+        words, low, size = re.findall(r"[^\x20\x09-\x0D]+", t), spaced(t), len(raw[i])
+        share = lambda n, of: n / max(of, 1)
+        bytes_of = lambda f: share(sum(len(c.encode()) for c in t if f(c)), size)
+        want = [bytes_of(lambda c: "A" <= c <= "Z"), bytes_of(lambda c: "0" <= c <= "9"), bytes_of(lambda c: c == "\n"), bytes_of(lambda c: c in "!?,.:;"), bytes_of(lambda c: c in marks[6:]), bytes_of(lambda c: ord(c) > 127)]
+        want += [share(sum(len(w) > 1 and w[-1] in marks and w[-2] in marks for w in words), len(words)), share(sum(bool(re.match("[A-Z]{2}", w)) for w in words), len(words))]
+        want += [share(sum(w in marks for w in words), len(words)), share(len(set(zip(low, low[1:], low[2:], strict=False))), max(len(low) - 2, 1))]
+        want += [min(share(sum(len(w.encode()) for w in words), len(words)), 40) / 40, np.log2(size + 1) / 32, share(len(set(alnum(t))), len(alnum(t)))]
+        assert stats[i] == pytest.approx(want), t
+        counts = Counter(alnum(t))
+        length = np.sqrt(sum(np.log1p(n) ** 2 for n in counts.values()))
+        assert sorted(weight[row == i]) == pytest.approx(sorted(np.log1p(n) / length for n in counts.values()))
+
+
+def test_quality_learns_one_row_an_id(spark):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 30)) for i in range(40) for _ in range(1 + 20 * (i == 1))]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    a, b = (fm_quality.train_quality(spark.createDataFrame(r, "doc_id long, text string").repartition(n), marks, fm_quality.quality_fold()) for r, n in ((rows, 2), (rows[::-1], 5)))
+    assert a.bias == b.bias and np.array_equal(a.w, b.w) and np.array_equal(a.v, b.v)
+
+
 def test_quality_learns_junk(spark):
     rng = random.Random(2)
     texts = [(i, prose(rng, 80) if i % 2 else " ".join(w + "***" for w in prose(rng, 80).split()), i % 2) for i in range(400)]
@@ -303,6 +332,30 @@ def test_token_counts_of_random_texts():
     assert ours.counts(texts[:50]).tolist() == [len(e.ids) for e in library.encode_batch(texts[:50], add_special_tokens=False)]
 
 
+def test_token_maps_compose():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(8)
+    library, ours = Tokenizer.from_file(path), fst_tokens.Counter(path)
+    for text in ("ab" * 50_000, "a" * 100_001, "".join(rng.choice("theinganrs") for _ in range(100_000)), "é" * 30_000, "!?" * 20_000):
+        assert ours.counts([text])[0] == len(library.encode(text, add_special_tokens=False).ids)
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        at = np.arange(0, len(raw), fst_tokens.CHUNK)
+        size = np.minimum(fst_tokens.CHUNK, len(raw) - at)
+        leave, made, follow = ours.machine._maps(raw, at, size, at + size == len(raw))
+        tail, total = fst_tokens.composed(follow, made, len(at))
+        state, count = np.zeros(1, dtype=np.int32), 0  # chunk after chunk
+        for a, n in zip(at, size, strict=True):
+            state, more = ours.machine._run(raw, np.array([a]), np.array([n]), state)
+            count += int(more[0])
+        assert leave[tail[0]] == state[0] and total[0] == count
+    gen = np.random.default_rng(1)
+    f, g, h = ((gen.integers(0, 50, 50), gen.integers(0, 9, 50)) for _ in range(3))
+    left, right = fst_tokens.compose(fst_tokens.compose(f, g), h), fst_tokens.compose(f, fst_tokens.compose(g, h))
+    assert all(np.array_equal(a, b) for a, b in zip(left, right, strict=True))
+
+
 # 6 preferences
 
 
@@ -327,6 +380,31 @@ def test_preferences(spark):
     assert preference_format.format_preferences(df.limit(0)).count() == 0
 
 
+def test_branches_part_where_their_texts_do(spark):
+    rng = random.Random(9)
+    rows = [(c, t, rng.choice(["user", "assistant", "assistant", None]), rng.choice(["a", "b", None, "ccc", "dd"])) for c in range(120) for t in range(rng.randint(1, 9))]
+    rows += [(7, 0, "assistant", "again"), (None, 1, "user", "x"), (500, None, "assistant", "x"), (500, None, "assistant", "y")]
+    turns = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn int, role string, text string, side int").repartition(4)
+    sides = {}
+    for r in preference_format.branched_pairs(turns).collect():
+        sides.setdefault(r.pair_id, {"chosen": [], "rejected": []})[r.side].append((r.pos, r.role or "user", r.text or ""))
+    got = {r.pair_id: r for r in preference_format.format_preferences(preference_format.branched_pairs(turns)).collect()}
+    assert set(got) == {r[0] for r in rows} - {None}
+    shown = lambda ts: "".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in ts)
+    lengths = set()
+    for c, r in got.items():
+        a, b = ([t[1:] for t in sorted(sides[c][s])] for s in ("chosen", "rejected"))
+        n = 0
+        while b and n < len(a) and a[n] == b[n]:
+            n += 1
+        lengths.add((n, len(a)))
+        assert (r.n_common, r.prompt, r.chosen, r.rejected) == (n, shown(a[:n]), shown(a[n:]), shown(b[n:]) if b else None)
+        assert (r.rejected is None) == (sum(x[0] == c and x[2] == "assistant" for x in rows) < 2)
+        for text, mask, rest in ((r.chosen, r.chosen_mask, a[n:]), (r.rejected, r.rejected_mask, b[n:])):
+            assert [text[m.lo : m.hi] for m in mask or []] == [f"{t}<|end|>\n" for role, t in rest if role == "assistant"]
+    assert len(lengths) > 20
+
+
 # 7 mixing
 
 
@@ -336,8 +414,8 @@ def test_mixing(spark, odd_docs, no_docs):
         assert len(rows) == docs.count()
         for r in rows:
             assert 0 <= r.taken <= 2 * r.size and (not r.size or r.taken % r.size == 0)
-    got = {r.doc_id: r.size for r in flow_mixing.mix_sources(odd_docs, F.array("source")).collect()}
-    assert got == {r[0]: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in odd_rows()}
+    got = Counter((r.doc_id, r["size"]) for r in flow_mixing.mix_sources(odd_docs, F.array("source")).collect())
+    assert got == Counter((r[0], len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))) for r in odd_rows())
 
 
 def test_mixing_meets_targets_and_repeats(spark):
@@ -362,6 +440,67 @@ def test_targets_and_flow():
     assert given == {(0,): 15, (1,): 8}
 
 
+def test_flow_is_cheapest_of_all():
+    rng = random.Random(1)
+
+    def deals(v, width):
+        if width == 1:
+            yield (v,)
+        else:
+            for a in range(v + 1):
+                yield from ((a, *rest) for rest in deals(v - a, width - 1))
+
+    def best(patterns, supply, left):
+        if not patterns:
+            return 0, 0
+        p, found = patterns[0], []
+        for v in range(2 * supply[p] + 1):
+            for part in deals(v, len(p)):
+                room = list(left)
+                for s, a in zip(p, part, strict=True):
+                    room[s] -= a
+                if min(room) >= 0:
+                    words, cost = best(patterns[1:], supply, room)
+                    found.append((words - v, cost + max(0, v - supply[p])))
+        return min(found)
+
+    for _ in range(150):
+        n = rng.randint(1, 3)
+        patterns = [p for k in range(1, n + 1) for p in itertools.combinations(range(n), k)]
+        supply = {p: rng.randint(0, 3) for p in rng.sample(patterns, rng.randint(1, min(3, len(patterns))))}
+        quota = [rng.randint(0, 6) for _ in range(n)]
+        given = flow_mixing.min_cost_flow(supply, quota, 2)
+        assert (-sum(given.values()), sum(max(0, v - supply[p]) for p, v in given.items())) == best(sorted(supply), supply, quota)
+
+
+def test_mixing_of_overlapping_sources(spark):
+    rng = random.Random(5)
+    docs = [(i, prose(rng, rng.randint(1, 40)), sorted({f"s{rng.randrange(4)}" for _ in range(rng.randint(1, 3))})) for i in range(2000)]
+    rows = flow_mixing.mix_sources(spark.createDataFrame(docs, "doc_id long, text string, of array<string>"), F.col("of")).collect()
+    assert len(rows) == 2000 and all(r.taken in (0, r["size"], 2 * r["size"]) for r in rows)
+    quota = {m: t for r in rows for m, t in zip(r.members, r.targets, strict=True)}
+    assert abs(sum(quota.values()) - 1.5 * sum(r["size"] for r in rows)) < 1
+    # as much as any cut between sources lets through
+    cuts = [sum(quota[s] for s in some) + sum(2 * r["size"] for r in rows if set(r.members) - set(some)) for k in range(5) for some in itertools.combinations(sorted(quota), k)]
+    assert abs(sum(r.taken for r in rows) - min(cuts)) <= 40 * len({tuple(r.members) for r in rows})
+
+
+def test_mixing_reruns_agree_on_repeated_ids(spark):
+    rng = random.Random(6)
+    rows = [(7 if i % 2 else None, prose(rng, rng.randint(0, 60)), "a" if i % 3 else "b") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a, b = (sorted(map(repr, flow_mixing.mix_sources(docs.repartition(n), F.array("source")).collect())) for n in (2, 9))
+    assert a == b
+
+
+def test_mixing_refuses_too_many_patterns(spark, monkeypatch):
+    monkeypatch.setattr(flow_mixing, "PATTERNS", 3)
+    docs = spark.createDataFrame([(i, "a b", f"s{i}") for i in range(4)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="patterns"):
+        flow_mixing.mix_sources(docs, F.array("source"))
+    assert flow_mixing.mix_sources(docs.limit(3), F.array("source")).count() == 3
+
+
 # 8 shards
 
 
@@ -380,6 +519,49 @@ def test_shards(odd_docs, no_docs, spark):
     assert {(r.doc_id, r["size"], r.text_crc32) for r in hilbert_shards.hilbert_shards(odd_docs).collect()} == {(r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in odd_rows()}
 
 
+def brute_shards(rows, shards=8, levels=16, cells=4096):
+    """Sorted (curve, salt, crc, id) with shard and slot; rows are (id, text, labels...)."""
+    table = [(len((t or "").encode()) + 1, *labels) for _, t, *labels in rows]
+    place = [0] * len(rows)
+    for d in range(len(table[0])):
+        upto, found = 0, {}
+        for v, n in sorted(Counter(x[d] for x in table).items(), key=lambda x: (x[0] is not None, x[0])):
+            upto += n
+            found[v] = (2 * upto - n) * levels // (2 * len(rows))
+        dense = {v: i for i, v in enumerate(sorted(set(found.values())))}
+        place = [p * levels + dense[found[x[d]]] for p, x in zip(place, table, strict=True)]
+    curve = [hilbert_shards.hilbert_index((p >> 8, p >> 4 & 15, p & 15), 4) for p in place]
+    share = Counter(curve)
+    keyed = []
+    for (i, t, *_), c in zip(rows, curve, strict=True):
+        crc = zlib.crc32((t or "").encode())
+        draw = hashlib.md5(":".join(str(x) for x in (i, crc) if x is not None).encode()).hexdigest()
+        keyed.append((c, int(draw[:8], 16) % -(-share[c] * cells // len(rows)), crc, -1 if i is None else i))
+    out, seen = [], Counter()
+    for k, (c, _, crc, i) in enumerate(sorted(keyed)):
+        shard = k * shards // len(rows)
+        out.append((None if i == -1 else i, crc, c, shard, seen[shard]))
+        seen[shard] += 1
+    return out
+
+
+def test_shards_match_brute_force(spark, odd_docs):
+    rng = random.Random(4)
+    many = [(rng.randrange(400), rng.choice([None, "", "copy " * 40, prose(rng, rng.randint(1, 50))]), rng.choice(["en", "fr", None]), f"https://site{rng.randrange(30)}.org") for _ in range(3000)]
+    for docs, rows in ((odd_docs, [(r[0], r[1], r[2], r[3]) for r in odd_rows()]), (spark.createDataFrame(many, "doc_id long, text string, lang string, source string").repartition(7), many)):
+        got = hilbert_shards.hilbert_shards(docs).collect()
+        assert Counter((r.doc_id, r.text_crc32, r.curve, r.shard, r.slot) for r in got) == Counter(brute_shards(rows))
+
+
+def test_shards_prune_on_labels_of_one_prefix(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("https://site"), F.col("id") % 8).alias("source"))
+    placed = hilbert_shards.hilbert_shards(docs).join(docs, "doc_id").groupBy("shard").agg(F.count_distinct("source").alias("n"))
+    assert max(r.n for r in placed.collect()) <= 2
+    with pytest.raises(ValueError, match="cells"):
+        hilbert_shards.curve_table(6, 4)
+    assert hilbert_shards.hilbert_shards(docs, label_dims=("lang", "source") * 3).count() == 4000
+
+
 def test_hilbert_curve_is_continuous():
     for dims, bits in ((2, 3), (3, 3)):
         at = {hilbert_shards.hilbert_index(p, bits): p for p in itertools.product(range(1 << bits), repeat=dims)}
@@ -412,6 +594,29 @@ def test_peak_pairs_find_a_tone():
     assert len(codes) and set(codes >> 40) == {32} and (np.diff(at) >= 0).all()
 
 
+def test_fingerprints_match_brute_force(spark):
+    rng = random.Random(11)
+    texts = [None, "", "x", prose(rng, 40), prose(rng, 900), "ab" * 3000, "é" * 500]
+    rows = wav_prints.media_columns(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(129), np.arange(256)) / 256)
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 255)
+    for r in rows:
+        x = np.frombuffer(wav_prints.from_wav(bytes(r.media)), dtype=np.uint8).astype(float) - 128
+        frames = 1 + max(0, -(-(len(x) - 256) // 128))
+        x = np.concatenate([x, np.zeros(frames * 128 + 256 - len(x))])
+        peaks = []
+        for f in range(frames):
+            power = np.abs(turn @ (x[128 * f : 128 * f + 256] * hann))
+            for a, b in ((4, 20), (20, 52), (52, 129)):
+                best = a + int(np.argmax(power[a:b]))
+                if power[best] > 2 * power.mean():
+                    peaks.append((f, best))
+        peaks.sort()
+        pairs = sorted((t, f << 40 | g << 24 | (u - t) << 16) for k in (1, 2, 3) for (t, f), (u, g) in zip(peaks, peaks[k:], strict=False) if u - t < 256)
+        assert list(zip(r.times, r.codes, strict=True)) == pairs
+        assert r.feature == wav_prints.feature_of(np.array([t for t, _ in pairs], dtype=np.int64), np.array([c for _, c in pairs], dtype=np.int64))
+
+
 # 10 toxicity
 
 
@@ -488,6 +693,14 @@ def test_toxicity_finds_several_words_in_one_disguise(spark):
     assert noisy_toxicity.CharModel(m.table).decode(long).count("stupid") > 1900
 
 
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    unset = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        store.shared_dir(unset)
+
+
 def test_settled_tables_keep_rows(spark):
     df = spark.range(10).select("id", F.lit(None).cast("string").alias("x"))
     assert store.settle(df, "t").orderBy("id").collect() == df.orderBy("id").collect()
