@@ -1,14 +1,19 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A disguised word is a path through a lattice of characters: a look-alike digit or symbol may stand for a letter, a run of
-one letter may stand for one or two of it, and marks or blanks between single letters may be nothing. Viterbi decoding
-under a character 4-gram language model picks the likeliest clean word; the restored words are then scored with the
-words of the text.
+A disguised word is a path through a lattice of characters: a look-alike digit, symbol or foreign letter may stand for a
+letter, a run of one letter may stand for one or two of it, and marks or blanks may be nothing or end a word. Viterbi
+decoding under a character 4-gram language model picks the likeliest clean words; the restored words are then scored with
+the words of the text. Compatibility forms (full-width, mathematical and circled letters) are folded and invisible
+characters dropped beforehand.
 
-Lexicon and score are learned from at most ``max_train`` labelled rows, picked by a hash of the id: the lexicon are words
-far more frequent in toxic texts, and a logistic model of lexicon evidence gives the score. The language model counts the
-words of all texts, without labels, in a hashed table of fixed size (lexicon words weighted up). Only words that look
-disguised are decoded, each distinct one once a pass.
+Decoded are tokens and stretches that look disguised (look-alikes or several marks among letters, long runs, stretches of
+single characters), and pieces of words with one mark or blank between them that spell a lexicon word if it is left out:
+there the decoder decides whether they are one word or several. Each distinct candidate is decoded once a pass.
+
+Lexicon and score are learned from at most ``max_train`` labelled rows, picked by a hash of the id, each distinct text
+once: the lexicon are words far more frequent in toxic texts, and a logistic model of lexicon evidence gives the score.
+The language model counts the words of all texts, without labels, in a hashed table of fixed size (lexicon words weighted
+up).
 
 Null and empty texts have no evidence and get the score of a text without lexicon words. Rows are scored one by one, so
 repeated rows get equal scores; without any label all scores are 0.
@@ -20,6 +25,7 @@ import functools
 import math
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,10 +34,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import settle
 from .words import ALNUM, LOWER, NON_SPACE, hashes, mix, passes, spans, text_column, word_rows
 
-#: Letters that a digit or symbol may stand for.
+#: Letters that a digit, a symbol or a letter of another script may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e"}
+LOOKS |= {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "і": "i", "ѕ": "s", "ј": "j", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u"}
+#: Bytes of full-width, mathematical and enclosed letters and of characters without width.
+FORMS = re.compile(rb"\xef[\xbc\xbd]|\xf0\x9d[\x90-\x9f]|\xe2[\x92\x93]|\xe2\x80[\x8b-\x8f]|\xe2\x81\xa0|\xef\xbb\xbf|\xc2\xad")
+NO_WIDTH = dict.fromkeys([0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF])
 #: Log costs: a look-alike, a dropped mark, a shortened run; an unlikely character keeps itself.
 LOOK_COST, DROP_COST, RUN_COST = -1.0, -0.3, -0.7
 LETTER = np.zeros(256, dtype=bool)
@@ -42,8 +53,17 @@ JOINT = np.zeros(256, dtype=bool)
 JOINT[[ord(c) for c in ".-_*~'`,:;^=/\\"]] = True
 #: What may be nothing inside a word or stand between two.
 JOINTS = ".-_*~'`,:;^=/\\ "
-#: Bytes of the longest word that the lexicon learns.
-LONGEST = 24
+GAP = JOINT.copy()
+GAP[[9, 10, 11, 12, 13, 32]] = True
+#: Marks that make one word of what stands around them.
+BINDING = np.zeros(256, dtype=bool)
+BINDING[[ord(c) for c in "-_'`*~^"]] = True
+BLANKS = str.maketrans("\t\n\v\f\r", "     ")
+#: First bytes of the scripts whose letters may be look-alikes.
+FOREIGN = np.zeros(256, dtype=bool)
+FOREIGN[[0xCE, 0xCF, 0xD0, 0xD1]] = True
+#: Bytes of the longest word that the lexicon learns, and most pieces that one is put together from.
+LONGEST, PIECES = 24, 4
 #: Cells of each of the two rows of the language model's table, and parts of its whole-number weights.
 CELLS, PARTS = 1 << 21, 1024
 GOLD, MASK = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
@@ -117,32 +137,18 @@ class CharModel:
         return math.log(p)
 
     def decode(self, token: str) -> list[str]:
-        """The likeliest clean words behind ``token`` (Viterbi over the last three clean characters); blanks and joining
-        marks are nothing or end a word. What all paths share is set down as decoding goes, so time and memory are linear."""
+        """The likeliest clean words behind ``token`` (Viterbi over the last three clean characters). What all paths share
+        is set down as decoding goes, so time and memory are linear."""
         beam: dict[str, tuple[float, str]] = {"^^^": (0.0, "")}
         done: list[str] = []
-        for i, (c, run) in enumerate((m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", token, re.DOTALL)):
-            ways: list[tuple[str, float]] = []
-            for k in range(min(run, 2), 0, -1):
-                cost = 0.0 if k == run else RUN_COST
-                if c.isalpha():
-                    ways.append((c * k, cost))
-                ways += [(x * k, cost + LOOK_COST) for x in LOOKS.get(c, "")]
-            if not c.isalpha():
-                ways.append(("", DROP_COST * (1 if c in JOINTS else 8)))
+        for i, ways in enumerate(lattice(token)):
             after: dict[str, tuple[float, str]] = {}
             for context, (score, word) in beam.items():
                 for add, cost in ways:
-                    s, ctx = score + cost, context
-                    for x in add:
-                        s += self.at(ctx, x)
-                        ctx = ctx[1:] + x
-                    if ctx not in after or s > after[ctx][0]:
+                    s, ctx = self.follow(context, add)
+                    s += score + cost
+                    if s > -math.inf and (ctx not in after or s > after[ctx][0]):
                         after[ctx] = (s, word + add)
-                if c in JOINTS and context != "^^^":
-                    s = score + self.at(context, "$")
-                    if "^^^" not in after or s > after["^^^"][0]:
-                        after["^^^"] = (s, word + " ")
             beam = after
             if i % 32 == 31:
                 done.append(os.path.commonprefix([w for _, w in beam.values()]))
@@ -150,6 +156,69 @@ class CharModel:
         last = max((s + (self.at(c, "$") if c != "^^^" else 0.0), w) for c, (s, w) in beam.items())[1]
         return ("".join(done) + last).split()
 
+    def follow(self, context: str, add: str) -> tuple[float, str]:
+        """Log probability of going on with ``add``, and the context after it; a word can't end before it begins."""
+        if add == " ":
+            return (self.at(context, "$") if context != "^^^" else -math.inf), "^^^"
+        s = 0.0
+        for x in add:
+            s += self.at(context, x)
+            context = context[1:] + x
+        return s, context
+
+
+def lattice(token: str) -> list[list[tuple[str, float]]]:
+    """For each run of one character what it may stand for, a blank being the end of a word, and the log cost of that."""
+    out = []
+    for m in re.finditer(r"(.)\1*", token.translate(BLANKS), re.DOTALL):
+        c, run = m[1], len(m[0])
+        ways: list[tuple[str, float]] = []
+        for k in range(min(run, 2), 0, -1):
+            cost = 0.0 if k == run else RUN_COST
+            if c.isalpha():
+                ways.append((c * k, cost))
+            ways += [(x * k, cost + LOOK_COST) for x in LOOKS.get(c, "")]
+        if not c.isalpha():
+            # a wide blank among narrow ones is rarely nothing
+            ways.append(("", DROP_COST * (run * run if c == " " else 1 if c in JOINTS else 8)))
+        if c in JOINTS:
+            ways.append((" ", 0.0))
+        out.append(ways)
+    return out
+
+
+def folded(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower case, compatibility forms as what they stand for, nothing without width."""
+    raw = buf.tobytes()
+    if FORMS.search(raw):
+        rows = [raw[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        rows = [unicodedata.normalize("NFKC", r.decode("utf-8", "replace").translate(NO_WIDTH)).encode() if FORMS.search(r) else r for r in rows]
+        buf, offs = np.frombuffer(b"".join(rows), dtype=np.uint8), np.cumsum([0, *map(len, rows)])
+    return LOWER[buf], offs
+
+
+def pieced(low: np.ndarray, offs: np.ndarray, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of up to PIECES runs of letters, one mark or blank between two, that spell a lexicon word and are
+    not bound to more letters by a mark."""
+    starts, ends, before = spans(low, offs, LETTER)
+    rows = word_rows(before)
+    none = np.zeros(0, dtype=np.int64)
+    if len(starts) < 2 or not len(lexicon):
+        return none, none, none
+    letters = low[LETTER[low]]
+    stop = np.cumsum(ends - starts)
+    begin = stop - (ends - starts)
+    near = (starts[1:] - ends[:-1] == 1) & GAP[low[ends[:-1]]] & (rows[1:] == rows[:-1])
+    bound = np.concatenate([[False], near & BINDING[low[ends[:-1]]], [False]])  # to the run before
+    first, found = np.flatnonzero(near & ~bound[:-2]), [(none, none, none)]
+    for k in range(1, PIECES):
+        first = first[first + k < len(starts)]
+        first = first[near[first + k - 1] & (stop[first + k] - begin[first] <= LONGEST)]
+        h = hashes(letters, begin[first], stop[first + k])
+        hit = first[~bound[first + k + 1] & (lexicon[np.minimum(np.searchsorted(lexicon, h), len(lexicon) - 1)] == h)]
+        found.append((rows[hit], starts[hit], ends[hit + k]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
 
 def disguised(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end) of what may hide a word: tokens with look-alikes or marks among letters or with long runs, and
@@ -159,16 +228,18 @@ def disguised(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     size = ends - starts
     plain = LETTER[low]
     upto = lambda mask: np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])
-    letters, odd, marks = upto(plain), upto(LEET[low]), upto(JOINT[low])
-    n_letters, n_odd, n_marks = (a[ends] - a[starts] for a in (letters, odd, marks))
+    tally = lambda mask: upto(mask)[ends] - upto(mask)[starts]
+    n_letters, n_odd, n_marks = tally(plain), tally(LEET[low]), tally(JOINT[low])
+    foreign = tally(FOREIGN[low])
+    foreign = (foreign > 0) & (n_letters > 2 * foreign)  # among Latin letters
     run = np.zeros(len(low), dtype=bool)
     if len(low) > 2:
         run[2:] = (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & plain[2:]
-    runs = upto(run)
     mixed = (n_letters >= 1) & (n_odd >= 1) & (n_odd <= 2 * n_letters + 1)
     dotted = (n_marks >= 2) & (n_letters + n_odd <= n_marks + 2)
-    take = (size >= 3) & (mixed | dotted | ((runs[ends] > runs[starts]) & (n_letters >= 3)))
-    single = (size == 1) & (plain[starts] | LEET[low[starts]]) if len(starts) else take
+    take = (size >= 3) & (mixed | dotted | foreign | ((tally(run) > 0) & (n_letters >= 3)))
+    chars = tally((low & 0xC0) != 0x80)
+    single = (chars == 1) & (plain[starts] | LEET[low[starts]]) if len(starts) else take
     edge = np.diff(np.concatenate([[0], (single).astype(np.int8), [0]]))
     a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if len(a):  # a stretch ends where its row does
@@ -201,11 +272,12 @@ class Machine:
 
     def evidence(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Per row: summed odds of its distinct lexicon words, log of their uses, uses a hundred words."""
-        n, low = len(offs) - 1, LOWER[buf]
+        n = len(offs) - 1
+        low, offs = folded(buf, offs)
         starts, ends, before = spans(low, offs, ALNUM)
         rows, words = word_rows(before), np.diff(before)
         h = hashes(low, starts, ends)
-        row, start, end = disguised(low, offs)
+        row, start, end = (np.concatenate(x) for x in zip(disguised(low, offs), pieced(low, offs, self.lexicon), strict=True))
         if len(row):
             _, some, which = np.unique(hashes(low, start, end), return_index=True, return_inverse=True)
             clean = self.restored([low[start[i] : end[i]].tobytes().decode("utf-8", "replace") for i in some])
@@ -234,7 +306,7 @@ def _word_sets(rows: DataFrame) -> DataFrame:
         for batch in batches:
             col, y = text_column(batch, "t"), batch.column(1)
             for lo, hi, buf, offs in passes(col):
-                low = LOWER[buf]
+                low, offs = folded(buf, offs)
                 starts, ends, before = spans(low, offs, LETTER)
                 row = word_rows(before)
                 short = ends - starts <= LONGEST
@@ -264,7 +336,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for _, _, buf, offs in passes(text_column(batch, "t")):
-                low = LOWER[buf]
+                low, offs = folded(buf, offs)
                 starts, ends, before = spans(low, offs, LETTER)
                 h = hashes(low, starts, ends)
                 _, some = np.unique(mix(h ^ mix(word_rows(before).astype(np.uint64) + GOLD)), return_index=True)
@@ -302,11 +374,13 @@ def language_table(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, max_train: int = 8000, id_col: str = "doc_id", label_col: str = "toxic", text_col: str = "text") -> Machine:
     """``held_out`` is a condition on the id; labels of its rows are never learned from."""
-    draw = F.xxhash64(F.lit("nc"), F.col(id_col))
-    known = labels.select(id_col, label_col).dropna().filter(~held_out).distinct()
+    draw = F.xxhash64(F.lit("nc"), F.col("id"))
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), held_out.alias("held")).dropna().filter("not held").select("id", "y").distinct()
     # at most max_train rows, half of them toxic where there are so many
-    half = known.filter(F.col(label_col) == 1).orderBy(draw).limit(max_train // 2).unionByName(known.filter(F.col(label_col) == 0).orderBy(draw).limit(max_train - max_train // 2))
-    rows = docs.join(F.broadcast(half), id_col).select(F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"))
+    half = known.filter("y = 1").orderBy(draw).limit(max_train // 2).unionByName(known.filter("y = 0").orderBy(draw).limit(max_train - max_train // 2))
+    # of several texts of one id the smallest; copies teach nothing more
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(half), "id")
+    rows = settle(rows.groupBy("id", "y").agg(F.min("t").alias("t")).groupBy("y", "t").agg(F.min("id").alias("id")).select("t", "y"), "toxic-sample")
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos:
@@ -368,4 +442,5 @@ def toxic_fold() -> Column:
 def op10_noisy_channel_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = score_toxicity(docs, train_toxicity(docs, labels, toxic_fold()))
-    return out.select("doc_id", F.coalesce(toxic_fold(), F.lit(False)).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+    held, score = F.coalesce(toxic_fold(), F.lit(False)).alias("held_out"), F.col("toxic_score").alias("score")
+    return out.select("doc_id", held, score, (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))

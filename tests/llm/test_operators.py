@@ -693,6 +693,58 @@ def test_toxicity_finds_several_words_in_one_disguise(spark):
     assert noisy_toxicity.CharModel(m.table).decode(long).count("stupid") > 1900
 
 
+def test_decoding_finds_the_best_path_of_all():
+    rng = random.Random(13)
+    words = [prose(rng, 1) for _ in range(60)] + ["idiot", "stupid", "a", "on"]
+    table = np.zeros(2 * noisy_toxicity.CELLS)
+    noisy_toxicity.add_grams(table, words, np.array([1.0 + i % 5 for i in range(len(words))]))
+    model = noisy_toxicity.CharModel(table)
+
+    def worth(path):
+        score, context = 0.0, "^^^"
+        for add, cost in path:
+            s, context = model.follow(context, add)
+            score += s + cost
+        return score + (model.at(context, "$") if context != "^^^" else 0.0)
+
+    for token in ("1d10t", "s t u p", "i-d.10t", "aa  b", "stuup1d", "th3.0n", "о-n a", "++", "$ a", *("".join(rng.choice("ao1 -te!") for _ in range(6)) for _ in range(40))):
+        paths = list(itertools.product(*noisy_toxicity.lattice(token)))
+        best = max(map(worth, paths))
+        top = {tuple("".join(add for add, _ in p).split()) for p in paths if worth(p) > best - 1e-9}
+        assert tuple(model.decode(token)) in top, token
+
+
+def test_toxicity_sees_through_every_disguise(spark):
+    rng = random.Random(4)
+    texts = [(i, f"a {t} you are such and the world of", y) for i, t, y in insulted(rng, ["pathetic", "moron", "loser", "stupid"])]
+    docs, marks = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string"), spark.createDataFrame([(t[0], t[2]) for t in texts], "doc_id long, toxic int")
+    m = noisy_toxicity.train_toxicity(docs, marks, noisy_toxicity.toxic_fold())
+    assert set(m.names) == {"pathetic", "moron", "loser", "stupid"}
+    hidden = ["p a t h e t i c", "y o u a r e p a t h e t i c", "a b c d e f g h i j k l m n o p q r s t u v w x y z p a t h e t i c", "pa.thetic", "path-etic", "pat he tic", "ｐａｔｈｅｔｉｃ", "p\u200ba\u200bthetic", "path\u00adetic", "pаthetic", "é p a t h e t i c", "𝐩𝐚𝐭𝐡𝐞𝐭𝐢𝐜"]
+    pairs = ["m o r o n  l o s e r", "m o r o n\nl o s e r", "mor-on/los-er"]
+    around = prose(rng, 20), prose(rng, 20)
+    clean = ["p a t h", "the mo-ron-da and lo serene", "а это по-русски", "straße é è"]
+    probe = [f"{around[0]} {x} {around[1]}" for x in [*hidden, *pairs, *clean, "pathetic", "moron loser", ""]]
+    got = [r.toxic_score for r in noisy_toxicity.score_toxicity(spark.createDataFrame(list(enumerate(probe)), "doc_id long, text string"), m).orderBy("doc_id").collect()]
+    for i, x in enumerate(hidden + pairs):
+        assert got[i] > 0.3 and abs(got[i] - got[-3 if i < len(hidden) else -2]) < 0.1, (x, got[i], got[-3:])
+    for i, x in enumerate(clean):
+        assert abs(got[len(hidden) + len(pairs) + i] - got[-1]) < 0.05, x
+
+
+def test_toxicity_learns_distinct_texts(spark):
+    rng = random.Random(4)
+    texts = [(i, t, y) for i, t, y in insulted(rng, ["stupid", "moron", "trash", "disgusting"])]
+    copies = [(1000 + i, "gargle " + texts[3][1], 1) for i in range(200)] + [(texts[0][0], "another text", None)]
+    for seed in (1, 2):
+        rows = [*texts, *copies]
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame([t[:2] for t in rows], "doc_id long, text string").repartition(seed + 2)
+        marks = spark.createDataFrame([(t[0], t[2]) for t in rows if t[2] is not None], "doc_id long, toxic int")
+        m = noisy_toxicity.train_toxicity(docs, marks, noisy_toxicity.toxic_fold())
+        assert set(m.names) == {"stupid", "moron", "trash", "disgusting"}
+
+
 def test_no_local_folder_on_a_cluster():
     from types import SimpleNamespace
 
