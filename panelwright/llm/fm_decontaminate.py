@@ -9,7 +9,8 @@ spans to remove.
 
 A window is ``width`` consecutive words of an item, or the whole item where it has fewer; an item without words has none.
 Words are runs of digits, lower-cased Latin letters and non-ASCII characters. Null and empty texts have no words. Null
-item ids read as the empty string. Repeated rows get equal results; items that share a window all count. An empty
+item ids read as the empty string. Repeated rows get equal results; items that share a window all count, rows of one item
+id are one item. An empty
 benchmark or corpus gives rows without hits or no rows.
 """
 
@@ -28,8 +29,9 @@ from .store import settle
 from .words import ALNUM, LOWER, carried_text, carrying, hashes, passes, spans, word_rows
 
 SHARD_BYTES, SAMPLE = 8 << 20, 8
-#: A benchmark of more text is searched in blocks of about this size.
-BLOCK_BYTES = 32 << 20
+#: A benchmark of more text is searched in blocks of about this size, each with a pass over the corpus. A block has at most
+#: BLOCK_BYTES / 2 words and windows, so about 20 bytes of broadcast for each byte pair, and longer items are cut into pieces.
+BLOCK_BYTES = 4 << 20
 #: Windows that walk through an index together.
 TOGETHER = 1 << 18
 SEPARATOR = 1
@@ -102,13 +104,14 @@ class FMIndex:
             symbol = symbol << 1 | bit
         return self.before[symbol] + at - self.origin[symbol]
 
-    def search(self, phrases: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(phrase, first row, row after the last) of those phrases (right-aligned rows of symbols) that occur."""
-        live = np.arange(len(phrases))
+    def search(self, symbols: np.ndarray, stop: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(phrase, first row, row after the last) of those phrases that occur; a phrase is the ``length`` symbols before
+        ``stop``."""
+        live = np.arange(len(stop))
         lo, hi = np.zeros(len(live), dtype=np.int64), np.full(len(live), self.before[-1])
-        for j in range(phrases.shape[1]):
+        for j in range(int(length.max()) if len(length) else 0):
             going = length[live] > j
-            c = phrases[live, -1 - j]
+            c = symbols[np.maximum(stop[live] - 1 - j, 0)]
             known = c < len(self.before) - 1
             go = np.flatnonzero(going & known)
             lo[go] = self.before[c[go]] + self.rank(c[go], lo[go])
@@ -130,11 +133,12 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """A block of the benchmark: distinct windows as rows of symbols, and the items that have each."""
+    """A block of the benchmark: distinct windows, as places in one text of symbols, and the items that have each."""
 
     items: list[str]
     words: np.ndarray  # sorted hashes; symbol = place + 2
-    windows: np.ndarray  # right-aligned
+    symbols: np.ndarray
+    stop: np.ndarray  # of each window, the place after its last symbol
     length: np.ndarray
     first: np.ndarray  # of each window's items in `owners`, one more at the end
     owners: np.ndarray
@@ -142,26 +146,32 @@ class Phrases:
     @classmethod
     def of(cls, rows: list[tuple[str, str]], width: int) -> Phrases:
         rows = sorted(rows)
-        col = pa.array([t for _, t in rows], pa.large_string())
-        seen: dict[tuple, set[int]] = {}
-        vocabulary: list[np.ndarray] = []
-        for lo, hi, buf, offs in passes(col):
+        items, hashed, counts = sorted({a for a, _ in rows}), [], []
+        for _, _, buf, offs in passes(pa.array([t for _, t in rows], pa.large_string())):
             low = LOWER[buf]
             starts, ends, before = spans(low, offs, ALNUM)
-            h = hashes(low, starts, ends)
-            vocabulary.append(np.unique(h))
-            for i in range(hi - lo):
-                words = h[before[i] : before[i + 1]].tolist()
-                for j in range(max(1, len(words) - width + 1) if words else 0):
-                    seen.setdefault(tuple(words[j : j + width]), set()).add(lo + i)
-        words = np.unique(np.concatenate(vocabulary)) if vocabulary else np.zeros(0, dtype=np.uint64)
-        keys = sorted(seen)
-        windows = np.zeros((len(keys), width), dtype=np.int64)
-        for i, k in enumerate(keys):
-            windows[i, width - len(k) :] = np.searchsorted(words, np.array(k, dtype=np.uint64)) + 2
-        owners = [sorted(seen[k]) for k in keys]
-        first = np.concatenate([[0], np.cumsum([len(o) for o in owners])]).astype(np.int64)
-        return cls([a for a, _ in rows], words, windows, np.array([len(k) for k in keys], dtype=np.int64), first, np.array([x for o in owners for x in o], dtype=np.int64))
+            hashed.append(hashes(low, starts, ends))
+            counts.append(np.diff(before))
+        h = np.concatenate([*hashed, np.zeros(0, dtype=np.uint64)])
+        count = np.concatenate([*counts, np.zeros(0, dtype=np.int64)])
+        words, symbols = np.unique(h, return_inverse=True)
+        symbols = symbols.astype(np.int32) + 2
+        windows = np.where(count > 0, np.maximum(count - width + 1, 1), 0)
+        row = np.repeat(np.arange(len(rows)), windows)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+        start = (np.cumsum(count) - count)[row] + nth
+        length = np.minimum(count, width)[row]
+        # right-aligned symbols tell windows apart
+        shown = np.zeros((len(row), width), dtype=np.int32)
+        for j in range(width):
+            on = length > j
+            shown[on, width - 1 - j] = symbols[(start + length)[on] - 1 - j]
+        _, some, which = np.unique(shown, axis=0, return_index=True, return_inverse=True)
+        number = {a: i for i, a in enumerate(items)}
+        owner = np.array([number[a] for a, _ in rows], dtype=np.int64)[row] if len(row) else row
+        pairs = np.unique(which.ravel() * np.int64(len(items) or 1) + owner)
+        first = np.searchsorted(pairs // (len(items) or 1), np.arange(len(some) + 1))
+        return cls(items, words, symbols, (start + length)[some].astype(np.int32), length[some].astype(np.int32), first.astype(np.int64), (pairs % (len(items) or 1)).astype(np.int32))
 
     def search(self, buf: np.ndarray, offs: np.ndarray):
         """Of one shard: words of each row, the (row, first word, word after the last) spans, and distinct (row, item)."""
@@ -192,7 +202,7 @@ class Phrases:
         index = FMIndex(text)
         found, at = [], []
         for lo in range(0, len(self.length), TOGETHER):
-            w, a, b = index.search(self.windows[lo : lo + TOGETHER], self.length[lo : lo + TOGETHER])
+            w, a, b = index.search(self.symbols, self.stop[lo : lo + TOGETHER], self.length[lo : lo + TOGETHER])
             times = b - a
             row = np.repeat(a - np.cumsum(times) + times, times) + np.arange(times.sum())
             found.append(np.repeat(lo + w, times))
@@ -236,29 +246,62 @@ def _search(docs: DataFrame, phrases: Phrases, text_col: str, keep: list[str] |
     return fed.mapInArrow(run, f"row {fed.schema['row'].dataType.simpleString()}, {HIT}")
 
 
+def _cut(items: DataFrame, width: int, most: int) -> DataFrame:
+    """Items of more than ``most`` bytes in pieces of about as many, which overlap so that each window lies in one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts, raw = [text], text.encode()
+                if len(raw) > most:
+                    starts, ends, _ = spans(LOWER[np.frombuffer(raw, dtype=np.uint8)], np.array([0, len(raw)]), ALNUM)
+                    last = max(len(starts) - width + 1, 1)  # windows
+                    heads = [0]
+                    while (to := int(np.searchsorted(starts, starts[heads[-1]] + most)) if len(starts) else last) < last:
+                        heads.append(max(to, heads[-1] + 1))
+                    parts = [raw[starts[a] : ends[min(b + width - 2, len(ends) - 1)]].decode() for a, b in zip(heads, [*heads[1:], last], strict=True) if len(starts)]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], names=["item", "piece", "text"])
+
+    return items.mapInArrow(run, "item string, piece int, text string")
+
+
+def _merged(found: list[DataFrame]) -> DataFrame:
+    """uid, spans and items over all blocks: one row a block at most comes together."""
+    some = found[0].filter(F.size("items") > 0)
+    for f in found[1:]:
+        some = some.unionByName(f.filter(F.size("items") > 0))
+    some = some.groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+
+    def touching(acc, s):
+        last = F.element_at(acc, -1)
+        wider = F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], s["hi"]).alias("hi"))
+        joins = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["hi"] >= s["lo"])
+        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(s)))
+
+    spans_ = F.aggregate(F.array_sort("spans"), F.array().cast("array<struct<lo:bigint,hi:bigint>>"), touching)
+    return some.select("uid", spans_.alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``row`` (the columns ``keep`` of ``docs``, or all), n_words, spans of hit words to remove, items whose windows occur (sorted)."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
-    parts = [items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) for b in range(blocks)]
-    phrases = (Phrases.of([(r["item"], r["text"]) for r in part.collect()], width) for part in parts)  # a block at a time
+    items = _cut(items, width, max(1, block_bytes // 4))
+    block = F.pmod(F.xxhash64("item", "piece", "text"), F.lit(blocks))
+    phrases = (Phrases.of([(r["item"], r["text"]) for r in items.filter(block == b).collect()], width) for b in range(blocks))  # a block at a time
     if blocks == 1:
         return _search(docs, next(phrases), text_col, keep).withColumn("items", F.array_sort(F.array_distinct("items")))
     whole = carrying(docs, keep, text_col)
     text = F.col("t") if "t" in whole.columns else F.col("row")[text_col]
     base = settle(whole.withColumns({"uid": F.monotonically_increasing_id(), "t": text}), "decontaminate-docs")
-    found = [settle(_search(base.select("uid", "t"), p, "t", ["uid"]).select("row.uid", "n_words", "spans", "items"), "decontaminate-hits") for p in phrases]
-    some = found[0].filter(F.size("items") > 0)
-    for f in found[1:]:
-        some = some.unionByName(f.filter(F.size("items") > 0))
-    some = some.groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))  # one row a block at most
-    touching = lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["hi"] >= s["lo"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["lo"].alias("lo"), F.greatest(F.element_at(acc, -1)["hi"], s["hi"]).alias("hi"))))).otherwise(F.concat(acc, F.array(s)))
-    kind = "array<struct<lo:bigint,hi:bigint>>"
-    some = some.select("uid", F.aggregate(F.array_sort("spans"), F.array().cast(kind), touching).alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
-    counts = found[0].select("uid", "n_words")
-    out = base.drop("t").join(counts, "uid").join(some, "uid", "left")
-    return out.select("row", "n_words", F.coalesce("spans", F.array().cast(kind)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    found = []
+    for p in phrases:
+        hits = _search(base.select("uid", "t"), p, "t", ["uid"]).select("row.uid", "n_words", "spans", "items")
+        found.append(settle(hits, "decontaminate-hits"))
+    out = base.drop("t").join(found[0].select("uid", "n_words"), "uid").join(_merged(found), "uid", "left")
+    none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
+    return out.select("row", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def cut_spans(text: str, spans_: list[tuple[int, int]]) -> str:

@@ -117,7 +117,7 @@ def brute_hits(texts, items, width=10):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 25, 300])
+@pytest.mark.parametrize("block_bytes", [1 << 25, 300, 2000])
 def test_decontamination(spark, odd_docs, block_bytes):
     rng = random.Random(3)
     items = [(str(i), prose(rng, rng.choice([3, 9, 10, 11, 40]))) for i in range(25)] + [("n", None), ("e", "..."), ("a", "one two"), ("b", "One, TWO!")]
@@ -148,6 +148,23 @@ def test_decontamination_of_empty_tables(spark, odd_docs, no_docs):
     assert len(rows) == odd_docs.count() and not any(r.spans for r in rows)
 
 
+def test_long_items_are_cut_and_lose_no_window(spark):
+    rng = random.Random(14)
+    texts = [prose(rng, n) for n in (0, 3, 9, 10, 11, 200, 900)] + ["x", "word" * 300, "... " * 400]
+    items = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "item string, text string")
+
+    def windows(t):
+        w = alnum(t)
+        return {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9) if w else 0)}
+
+    for most in (1, 40, 500, 10_000):
+        got = {}
+        for r in fm_decontaminate._cut(items, 10, most).collect():
+            assert len(r.text) <= 4 * most + 200 or len(alnum(r.text)) <= 11
+            got.setdefault(int(r["item"]), set()).update(windows(r.text))
+        assert {i: got.get(i, set()) for i in range(len(texts))} == {i: windows(t) for i, t in enumerate(texts)}
+
+
 def test_fm_index_counts_and_locates():
     rng = np.random.default_rng(4)
     for n, sigma in ((30, 2), (300, 3), (2000, 40), (500, 1)):
@@ -155,7 +172,7 @@ def test_fm_index_counts_and_locates():
         index = fm_decontaminate.FMIndex(text)
         for k in (1, 2, 5):
             phrase = text[7 : 7 + k]
-            live, lo, hi = index.search(phrase[None], np.array([k]))
+            live, lo, hi = index.search(text, np.array([7 + k]), np.array([k]))
             want = [i for i in range(n - k + 1) if (text[i : i + k] == phrase).all()]
             assert sorted(index.locate(np.arange(lo[0], hi[0]))) == want
 
