@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .words import ALNUM, LOWER, NON_SPACE, carried_text, carrying, free_name, hashes, passes, spans, text_column, word_rows
 
 WORD_BITS, BINS, FACTORS = 16, 10, 8
+#: Scores from here on are accepted.
+ACCEPT = 0.7
 
 KINDS = np.zeros((6, 256), dtype=bool)
 KINDS[0, 65:91] = True  # upper case
@@ -214,4 +216,4 @@ def op1_fm_quality(spark, sf_dir: str) -> DataFrame:
     machine = train_quality(docs, labels, quality_fold(), meta_cols=("n_chars",))
     out = score_quality(docs, machine, meta_cols=("n_chars",), keep=["doc_id"], score_col="score")
     held = F.coalesce(quality_fold(), F.lit(False)).alias("held_out")
-    return out.select("doc_id", held, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return out.select("doc_id", held, "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))

@@ -12,7 +12,9 @@ so passages that many documents share bring few together. Documents with too few
 more key. Equal slices are candidates, and verified on whole sets:
 
 1. each document against the centre of its slice (one pair a document, not all pairs);
-2. what links leave apart inside a slice, by Hamming distance of one-bit-a-shingle parity sketches, in blocks, then on sets.
+2. what links leave apart inside a slice, by Hamming distance of one-bit-a-shingle parity sketches, in blocks of bounded
+   size; of the documents that stay close to another, sets are fetched and compared until what is linked spans them: a
+   block of documents that are all alike gives one link a document and not one a pair.
 
 So every link is found but those between documents that are joined already: components are exact. Exact copies are one
 class throughout (128-bit fingerprints of the set; 64-bit ids of classes in the search).
@@ -43,8 +45,8 @@ while BANDS[-1] < 1 << 40:
 BANDS = np.array(BANDS, dtype=np.int64)
 #: Shingles in this share of a pass of documents are reported, and the commonest of them all rank last among slices.
 OFTEN, COMMON = 0.004, 1 << 16
-#: Documents of one slice that are compared in one block.
-BLOCK = 4096
+#: Documents of one slice that are compared in one block, and about how many shingles these have at most.
+BLOCK, SHINGLES = 4096, 1 << 20
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,30 +137,55 @@ def folded(sketches: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def near(cell: pa.StructArray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of classes, of blocks i and j, that are in different components and that the bounds leave possible."""
-    own, c, n, comp = (np.asarray(cell.field(f)) for f in ("own", "c", "n", "comp"))
-    pivot = np.asarray(cell.field("pivot").to_numpy(zero_copy_only=False))
-    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-    none = np.zeros(0, dtype=np.int64)
-    if not len(left) or not len(right):
-        return none, none
-    sketches = cell.field("sketch").to_pylist()
-    width = min(map(len, sketches))
-    bits = folded(sketches, width)
-    found = [none], [none]
-    step = max(1, (1 << 21) // max(1, len(right) * width // 8))
-    for lo in range(0, len(left), step):
+def _cell(cell: pa.StructArray, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a cell that are of block i and of block j, and all sketches at their common width."""
+    own, sketches = np.asarray(cell.field("own")), cell.field("sketch").to_pylist()
+    return np.flatnonzero(own == i), np.flatnonzero(own == j), folded(sketches, min(map(len, sketches), default=8))
+
+
+def close(cell: pa.StructArray, i: int, j: int) -> np.ndarray:
+    """Rows, of blocks i and j, to which the bounds leave a similar row of the other block in another component."""
+    n, comp = (np.asarray(cell.field(f)) for f in ("n", "comp"))
+    pivot = np.asarray(cell.field("pivot").to_numpy(zero_copy_only=False))  # compared with all rows already
+    left, right, bits = _cell(cell, i, j)
+    found = np.zeros(len(n), dtype=bool)
+    step = max(1, (1 << 21) // max(1, len(right) * bits.shape[1]))
+    for lo in range(0, len(left) if len(right) else 0, step):
         s = left[lo : lo + step]
         both = n[s, None] + n[None, right]
         ok = (comp[s, None] != comp[None, right]) & ~(pivot[s, None] | pivot[None, right]) & (9 * np.abs(n[s, None] - n[None, right]) <= both)
         if ok.any():
             far = np.bitwise_count(bits[s, None, :] ^ bits[None, right]).sum(axis=2, dtype=np.int32)
-            x, y = np.nonzero(ok & (9 * far <= both))
-            found[0].append(c[s[x]])
-            found[1].append(c[right[y]])
-    x, y = (np.concatenate(f) for f in found)
-    return np.minimum(x, y), np.maximum(x, y)
+            ok &= 9 * far <= both
+            found[s[ok.any(axis=1)]] = True
+            found[right[ok.any(axis=0)]] = True
+    return np.flatnonzero(found)
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def spanning_links(cell: pa.StructArray, i: int, j: int, percent: int) -> tuple[list[int], list[int]]:
+    """Links between rows of blocks i and j that join whatever similar rows join: fewer than there are rows.
+
+    A row tries the components near it, each until one of its rows is similar; rows that links join are one from then on."""
+    c, n = (np.asarray(cell.field(f)) for f in ("c", "n"))
+    label = np.unique(np.asarray(cell.field("comp")), return_inverse=True)[1]
+    left, right, bits = _cell(cell, i, j)
+    sets = cell.field("shingles")
+    out: tuple[list[int], list[int]] = [], []
+    for s in left.tolist():
+        right = right[right > s] if i == j else right
+        open_ = right[(label[right] != label[s]) & (9 * np.abs(n[right] - n[s]) <= n[right] + n[s])]
+        far = np.bitwise_count(bits[open_] ^ bits[s]).sum(axis=1, dtype=np.int64)
+        for r in open_[9 * far <= n[open_] + n[s]].tolist():
+            if label[r] != label[s] and similar(np.asarray(sets[s].values), np.asarray(sets[r].values), percent):
+                out[0].append(int(min(c[s], c[r])))
+                out[1].append(int(max(c[s], c[r])))
+                label[label == label[r]] = label[s]
+    return out
 
 
 def _sets_of(docs: DataFrame, size: int, schema: str, make) -> DataFrame:
@@ -213,11 +240,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column(2), batch.column(3)
-            ok = []
-            for i in range(len(batch)):
-                x, y = (np.asarray(side[i].values) for side in (left, right))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            ok = [similar(np.asarray(left[i].values), np.asarray(right[i].values), percent) for i in range(len(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     sized = sets.select("c", "n")
@@ -227,6 +250,39 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _links_left(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes that a slice leaves in several components; ``placed`` is (key, c, centre, comp)."""
+    sized = placed.join(sets.select("c", "n", "sketch"), "c")
+    apart = sized.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows"), F.sum("n").alias("all"))
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("all") / SHINGLES)).cast("int").alias("blocks")
+    open_ = sized.join(apart.filter("x < y and rows > 2").select("key", blocks), "key")
+    open_ = open_.withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    open_ = open_.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "pivot": F.col("c") == F.col("centre")})
+    cells = open_.groupBy("key", "i", "j").agg(F.collect_list(F.struct("own", "c", "n", "comp", "pivot", "sketch")).alias("m"))  # at most two blocks
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(len(batch)):
+                cell = batch.column(3)[r].values
+                at = close(cell, batch.column(1)[r].as_py(), batch.column(2)[r].as_py())
+                if len(at):
+                    where = [batch.column(f).slice(r, 1).take(pa.array(np.zeros(len(at), dtype=np.int64))) for f in range(3)]
+                    kept = cell.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([*where, *(kept.field(f) for f in ("own", "c", "comp"))], names=["key", "i", "j", "own", "c", "comp"])
+
+    near = settle(cells.mapInArrow(look, "key long, i int, j int, own int, c long, comp long"), "jaccard-near")
+    cells = near.join(sets, "c").groupBy("key", "i", "j").agg(F.collect_list(F.struct("own", "c", "n", "comp", "sketch", "shingles")).alias("m"))
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(len(batch)):
+                got = spanning_links(batch.column(2)[r].values, batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], names=["a", "b"])
+
+    return settle(cells.select("i", "j", "m").mapInArrow(link, "a long, b long").distinct(), "jaccard-more")
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every input row: the smallest id that links of similarity >= 0.8 reach."""
     percent = 80  # the bounds above are those of 0.8
@@ -290,21 +346,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, id_col: str = "doc_id", t
 
     roots = settle(components(links, "a", "b"), "jaccard-roots")
     placed = members.join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "centre", F.coalesce("root", "c").alias("comp"))
-    apart = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows")).filter("x < y and rows > 2").select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    open_ = placed.join(apart, "key").join(sets.select("c", "n", "sketch"), "c")
-    open_ = open_.withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = open_.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("own", "c", "n", "comp", (F.col("c") == F.col("centre")).alias("pivot"), "sketch")).alias("m"))  # at most two blocks
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(len(batch)):
-                got = np.unique(np.stack(near(batch.column(2)[r].values, batch.column(0)[r].as_py(), batch.column(1)[r].as_py())), axis=1)
-                if got.size:
-                    yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
-
-    rest = settle(cells.select("i", "j", "m").mapInArrow(compare, "a long, b long").distinct(), "jaccard-rest")
-    more = settle(_verified(rest, sets, percent), "jaccard-more")
+    more = _links_left(placed, sets, percent)
     if not more.isEmpty():
         roots = settle(components(links.unionByName(more), "a", "b"), "jaccard-roots")
 

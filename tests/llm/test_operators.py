@@ -9,6 +9,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,8 +221,9 @@ def test_jaccard_components_match_brute_force(spark, monkeypatch):
     texts += [" ".join(words[: 40 + k]) for k in range(20)]  # a chain of growing texts
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     want = {i: w for i, w in enumerate(brute_groups(texts))}
-    for block in (4096, 64):
+    for block, shingles in ((4096, 1 << 20), (64, 1 << 20), (4096, 500)):
         monkeypatch.setattr(parity_join, "BLOCK", block)
+        monkeypatch.setattr(parity_join, "SHINGLES", shingles)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in parity_join.jaccard_components(docs).collect()}
         assert got == want
 
@@ -250,6 +252,48 @@ def collections_of(groups):
     return sorted(out.values())
 
 
+def cell_of(sets, own, comp, pivot):
+    """A cell as the join collects it."""
+    fields = {"own": own, "c": list(range(len(sets))), "n": [len(x) for x in sets], "comp": comp, "pivot": pivot, "sketch": [parity_join.parity_bits(x) for x in sets], "shingles": [np.sort(x).view(np.int64) for x in sets]}
+    return pa.StructArray.from_arrays([pa.array(v) for v in fields.values()], names=list(fields))
+
+
+@pytest.mark.parametrize("own", [0, 2])
+def test_cells_of_like_documents_give_a_link_a_document(own):
+    rng = np.random.default_rng(3)
+    k = 20_000 if own == 0 else 4000
+    base = rng.integers(1, 1 << 62, 60).astype(np.uint64)
+    sets = [np.concatenate([base[2:], rng.integers(1, 1 << 62, 2).astype(np.uint64)]) for _ in range(k)] + [rng.integers(1, 1 << 62, 60).astype(np.uint64)]
+    cell = cell_of(sets, [i % own if own else 0 for i in range(k + 1)], list(range(k + 1)), [False] * k + [True])
+    at = parity_join.close(cell, 0, own and 1)
+    assert len(at) == k  # the odd one is near none
+    a, b = parity_join.spanning_links(cell.take(pa.array(at)), 0, own and 1, 80)
+    assert len(a) == k - 1 and {*a, *b} == set(range(k))
+
+
+def test_cells_keep_every_component():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        bases = rng.integers(1, 1 << 62, (4, 30)).astype(np.uint64)
+        sets = [np.concatenate([bases[rng.integers(4)][rng.integers(0, 6) :], rng.integers(1, 1 << 62, rng.integers(0, 5)).astype(np.uint64)]) for _ in range(60)]
+        cell = cell_of(sets, [i % 2 for i in range(60)], list(range(60)), [False] * 60)
+        links = set()
+        for i, j in ((0, 0), (0, 1), (1, 1)):
+            near = cell.take(pa.array(parity_join.close(cell, i, j)))
+            links.update(zip(*parity_join.spanning_links(near, i, j, 80), strict=True))
+        want = {(x, y) for x, y in itertools.combinations(range(60), 2) if 100 * len(np.intersect1d(sets[x], sets[y])) >= 80 * len(np.union1d(sets[x], sets[y]))}
+        assert links <= want
+        root = list(range(60))
+        for some in (links, want):
+            for _ in range(60):
+                for x, y in some:
+                    root[x] = root[y] = min(root[x], root[y])
+            joined, root = root, list(range(60))
+            if some is links:
+                first = joined
+        assert first == joined
+
+
 def test_slices_of_similar_sets_meet():
     rng = np.random.default_rng(8)
     for n in (1, 2, 4, 5, 9, 14, 40, 128, 700):
@@ -773,3 +817,14 @@ def test_no_local_folder_on_a_cluster():
 def test_settled_tables_keep_rows(spark):
     df = spark.range(10).select("id", F.lit(None).cast("string").alias("x"))
     assert store.settle(df, "t").orderBy("id").collect() == df.orderBy("id").collect()
+
+
+def test_settled_tables_of_a_scope_are_removed(spark):
+    import os
+
+    with store.cleared(spark):
+        t = store.settle(spark.range(5), "t")
+        assert t.count() == 5
+        path = t.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(os.path.dirname(path))

@@ -1,17 +1,54 @@
 """The corpus pipeline, stage by stage and as a whole."""
 
+import hashlib
 import random
 from collections import Counter
+from fractions import Fraction
+
+import numpy as np
 
 import corpus_pipeline as cp
-from panelwright.llm import queries
+from panelwright.llm import flow_mixing, fm_quality, queries
 
 from .conftest import prose
-from .test_operators import alnum, brute_groups, brute_hits
+from .test_operators import alnum, brute_groups, brute_hits, brute_shards, spaced
 
 SF = "/root/testdata/sf0.001"
 
 
+def brute_quality(machine, rows):
+    """Rows that the machine accepts, each pair of features multiplied out."""
+    kept = []
+    for r in rows:
+        raw = np.frombuffer((r.text or "").encode(), dtype=np.uint8)
+        stats, _, bucket, weight = fm_quality.features(raw, np.array([0, len(raw)]))
+        cells = machine.cells(np.concatenate([stats, [[np.nan if r.n_chars is None else np.log1p(r.n_chars)]]], axis=1))[0]
+        idx, x = np.concatenate([bucket, cells]), np.concatenate([weight, np.full(len(cells), 1 / np.sqrt(len(cells)))])
+        v = machine.v[idx].astype(float)
+        pairs = np.triu(np.outer(x, x) * (v @ v.T), 1).sum()
+        if 1 / (1 + np.exp(-(machine.bias + x @ machine.w[idx] + pairs))) >= 0.7:
+            kept.append(r)
+    return kept
+
+
+def brute_mixture(rows):
+    """How often each row is taken: whole rounds, then a prefix of the seeded order."""
+    names = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
+    mine = {s: [(len(spaced(r.text)), r) for r in rows if r.source == s] for s in names}
+    sizes = [sum(n for n, _ in mine[s]) for s in names]
+    targets = flow_mixing.capped_targets(sizes, [(3, 1, 2)[i % 3] for i in range(len(names))], Fraction(3, 2), 2)
+    times = Counter()
+    for s, size, target in zip(names, sizes, targets, strict=True):
+        rounds, rest = divmod(round(target), size) if size else (0, 0)
+        draw = lambda x: hashlib.md5(f"mix:{x[1].doc_id}".encode()).hexdigest()
+        at = 0
+        for n, r in sorted(mine[s], key=lambda x: (int(draw(x)[:8], 16) % 4096, draw(x))):
+            if n:
+                times[r.doc_id] = rounds + (rounds < 2 and at + n / 2 <= rest)
+            at += n
+    return +times
+
+
 def test_stages_keep_columns_and_take_effect(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -22,6 +59,9 @@ def test_stages_keep_columns_and_take_effect(spark):
         before, after = docs.collect(), out.collect()
         seen[name] = (before, after)
         docs = out
+    before, after = seen["quality"]
+    machine = fm_quality.train_quality(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"), fm_quality.quality_fold(), meta_cols=("n_chars",))
+    assert {r.doc_id for r in after} == {r.doc_id for r in brute_quality(machine, before)} and len(after) < len(before)
     before, after = seen["near_duplicates"]
     before = sorted(before, key=lambda r: r.doc_id)
     groups = brute_groups([r.text for r in before])
@@ -30,9 +70,10 @@ def test_stages_keep_columns_and_take_effect(spark):
     clean = {r.doc_id for r, (_, hit, _) in zip(before, brute_hits([r.text for r in before], items), strict=True) if not hit}
     assert {r.doc_id for r in after} == clean
     before, after = seen["mixture"]
-    assert {r.doc_id for r in after} <= {r.doc_id for r in before}
+    assert Counter(r.doc_id for r in after) == brute_mixture(before)
     shards = cp.STAGES[-1][1](spark, docs, SF).collect()
-    assert len(shards) == len(after)
+    got = Counter((r.doc_id, r.text_crc32, r.curve, r.shard, r.slot) for r in shards)
+    assert got == Counter(brute_shards([(r.doc_id, r.text, r.lang, r.source) for r in after]))
 
 
 def test_odd_and_empty_rows_pass(spark, odd_docs, no_docs):
