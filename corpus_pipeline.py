@@ -13,26 +13,30 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.flow_mixing import mix_sources
 from panelwright.llm.fm_decontaminate import find_contamination
-from panelwright.llm.fm_quality import quality_fold, score_quality, train_quality
+from panelwright.llm.fm_quality import ACCEPT, quality_fold, score_quality, train_quality
 from panelwright.llm.hilbert_shards import hilbert_shards
 from panelwright.llm.parity_join import jaccard_components
 from panelwright.llm.store import settle
 from panelwright.llm.words import free_name
 
-#: Documents that score below are rejected.
-QUALITY = 0.5
+#: A number column that the classifier reads where the documents have it.
+META = "n_chars"
 
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least QUALITY; labels are joined by doc_id for learning only."""
-    machine = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), quality_fold())
-    return score_quality(docs, machine).filter(F.col("quality_score") >= QUALITY).drop("quality_score")
+    """Documents that the classifier accepts (a score of ACCEPT or more); labels are joined by doc_id for learning only."""
+    meta = (META,) if META in docs.columns else ()
+    machine = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), quality_fold(), meta_cols=meta)
+    score = free_name(docs, "_score")
+    scored = score_quality(docs, machine, meta_cols=meta, score_col=score)
+    return scored.filter(F.col(score) >= ACCEPT).select(docs.columns)
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with a key that rows share only where doc_id, text and source are equal, ordered by doc_id, nulls last."""
     name = free_name(docs, "_key")
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text", "source").alias("a"), F.xxhash64(F.lit(1), "source", "text").alias("b"))
+    prints = F.xxhash64("text", "source").alias("a"), F.xxhash64(F.lit(1), "source", "text").alias("b")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *prints)
     return docs.withColumn(name, key), name
 
 
@@ -60,7 +64,8 @@ def mixture(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them: none, one or two rows."""
     times = free_name(docs, "_times")
     fed, key = keyed(docs)
-    taken = mix_sources(fed, F.array("source"), key_col=key).filter("taken > 0").groupBy(key).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias(times))
+    taken = mix_sources(fed, F.array("source"), key_col=key).filter("taken > 0")
+    taken = taken.groupBy(key).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias(times))
     out = fed.join(taken, key)
     return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
 
@@ -71,7 +76,7 @@ def shards(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mixture", mixture), ("shards", shards)]
-#: Stages 1 (a fitted model) and 2 (a search with its own order) are not SQL; tests/llm holds them against brute force.
+#: The first stage fits a model, which is not SQL; tests/llm holds each stage against brute force on its own input.
 ORACLE_SQL = None
 
 
