@@ -59,9 +59,6 @@ def test_stages_keep_columns_and_take_effect(spark):
         before, after = docs.collect(), out.collect()
         seen[name] = (before, after)
         docs = out
-    before, after = seen["quality"]
-    machine = fm_quality.train_quality(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"), fm_quality.quality_fold(), meta_cols=("n_chars",))
-    assert {r.doc_id for r in after} == {r.doc_id for r in brute_quality(machine, before)} and len(after) < len(before)
     before, after = seen["near_duplicates"]
     before = sorted(before, key=lambda r: r.doc_id)
     groups = brute_groups([r.text for r in before])
@@ -76,6 +73,14 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert got == Counter(brute_shards([(r.doc_id, r.text, r.lang, r.source) for r in after]))
 
 
+def test_quality_stage_matches_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    machine = fm_quality.train_quality(docs, labels, fm_quality.quality_fold(), meta_cols=("n_chars",))
+    before, after = docs.collect(), cp.quality(spark, docs, sf).collect()
+    assert {r.doc_id for r in after} == {r.doc_id for r in brute_quality(machine, before)} and len(after) < len(before)
+
+
 def test_odd_and_empty_rows_pass(spark, odd_docs, no_docs):
     for docs in (odd_docs, no_docs):
         for _, stage in cp.STAGES[:-1]:
