@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+FIRST = 1990
 #: Closures that follow no rule.
 CLOSED = ("1994-04-27", "2001-09-11", "2001-09-12", "2001-09-13", "2001-09-14", "2004-06-11", "2007-01-02", "2012-10-29", "2012-10-30", "2018-12-05", "2025-01-09")
 
@@ -43,6 +44,8 @@ def holidays(year: int) -> set[dt.date]:
 
 
 def sessions(first: dt.date, last: dt.date) -> list[dt.date]:
+    if first.year < FIRST:
+        raise ValueError(f"the rules hold from {FIRST} on, not for {first}; give earlier sessions as a table")
     closed = {d for y in range(first.year, last.year + 1) for d in holidays(y)}
     days = (first + dt.timedelta(k) for k in range((last - first).days + 1))
     return [d for d in days if d.weekday() < 5 and d not in closed]

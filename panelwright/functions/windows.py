@@ -11,6 +11,14 @@ from .nulls import sdiv, ssqrt
 REDUCERS = ("mean", "std", "var", "sum", "min", "max", "median", "skew", "kurt", "quantile")
 
 
+def between(ordered: Column, share: float) -> Column:
+    """The linearly interpolated quantile of a sorted array; NULL of an empty one."""
+    at = (F.size(ordered) - 1) * F.lit(float(share))
+    low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
+    some = F.when(F.size(ordered) > 0, F.get(ordered, low))
+    return F.when(low == high, some).otherwise((high - at) * some + (at - low) * F.get(ordered, high))
+
+
 class Frames:
     def __init__(self, date: str, entity: str):
         self.date, self.entity = date, entity
@@ -45,7 +53,7 @@ class Frames:
         elif how == "kurt":
             out = F.when(seen > 3, (seen - 1) / ((seen - 2) * (seen - 3)) * ((seen + 1) * F.kurtosis(x).over(w) + 6))
         elif how in ("median", "quantile"):
-            out = F.percentile(x, 0.5 if how == "median" else quantile).over(w)
+            out = between(F.array_sort(F.collect_list(x).over(w)), 0.5 if how == "median" else quantile)
         else:
             out = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max}[how](x).over(w)
         return F.when(seen >= min(least, n), out)
@@ -92,7 +100,8 @@ class Frames:
             rank = rank + (F.count(x).over(tied) - 1) / (2 if method == "average" else 1)
         seen = F.count(x).over(self.section)
         if by == "pct":
-            rank = rank / (F.size(F.collect_set(x).over(self.section)) if method == "dense" else seen)
+            back = Window.partitionBy(self.date, x.isNull()).orderBy(x.desc() if ascending else x)
+            rank = rank / (rank + F.dense_rank().over(back) - 1 if method == "dense" else seen)  # distinct values of the date
         elif by == "signed":
             rank = F.when(seen > 1, 2 * (rank - 1) / (seen - 1) - 1).otherwise(F.lit(0.0))
         return F.when(x.isNotNull(), rank.cast("double"))

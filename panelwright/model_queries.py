@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .feature_queries import PRICES_SQL, E, div, ewm_sql, lag, roll
-from .operators.factor_model import Network, Training, cross_sections, dot, factor_diagnostics, factor_forecast, fit_folds, importance_summary, managed_portfolios, per_period_errors, pooled_r_squared, score_rows
-from .operators.residuals import gather, per_date_loss, pooled_loss, window_ends, windows_of
+from .operators.factor_model import Network, Training, characteristic_importance, characteristic_sensitivity, cross_sections, dot, factor_diagnostics, factor_forecast, fit_folds, importance_summary, managed_portfolios, per_period_errors, pooled_r_squared, score_rows
+from .operators.residuals import gather, per_date_loss, pooled_loss, residual_panel, window_ends, windows_of
 from .operators.tuning import aggregate_convergence, aggregate_spread, compare, failed_gates, noise_floor
 from .panel import Panel
 from .plans.config import Adapter
@@ -152,15 +153,40 @@ def fold_rows(spark, sf, walk: WalkForward = WALK) -> DataFrame:
     return s.join(managed_portfolios(s), "date").join(members, "date").select("fold", "part", "date", "entity", "r", "z", "x")
 
 
+def _trained(spark, sf):
+    """All walk-forward folds of a conditional autoencoder, trained at once: rows, network, fit."""
+    rows, net = fold_rows(spark, sf).persist(), Network(3, 2, 2, (4,))
+    try:
+        return rows, net, fit_folds(rows.filter("part <> 'test'"), net, Training(epochs=12))
+    finally:
+        rows.unpersist()  # a pass an epoch is over
+
+
 @query("factor_autoencoder_sweep")
 def _sweep(spark, sf) -> DataFrame:
-    """Test R2 of every walk-forward fold of a conditional autoencoder trained on all folds at once."""
-    rows = fold_rows(spark, sf).persist()
-    net = Network(3, 2, 2, (4,))
-    fit = fit_folds(rows.filter("part <> 'test'"), net, Training(epochs=12))
-    scored = score_rows(rows.filter("part = 'test'"), net, fit)
-    scored = scored.withColumns({"fitted": dot(F.col("beta"), F.col("factor")), "predicted": F.lit(None).cast("double")})
-    return pooled_r_squared(per_period_errors(scored, ["fold"]), ["fold"]).select("fold", "total_r2", "periods")
+    """Total and predictive R2 of every fold's test dates; a date's forecast is the mean of the fold's factors before it."""
+    rows, net, fit = _trained(spark, sf)
+    scored = score_rows(rows, net, fit, ("fold", "part", "date", "entity", "r"))
+    level = factor_forecast(scored.groupBy("fold", "date").agg(F.first("factor").alias("factor")), by=["fold"])
+    scored = scored.filter("part = 'test'").join(level, ["fold", "date"])
+    scored = scored.withColumns({"fitted": dot(F.col("beta"), F.col("factor")), "predicted": F.when(F.col("level").isNotNull(), dot(F.col("beta"), F.col("level")))})
+    return pooled_r_squared(per_period_errors(scored, ["fold"]), ["fold"]).select("fold", "total_r2", "pred_r2", "periods")
+
+
+@query("factor_characteristic_importance")
+def _importance(spark, sf) -> DataFrame:
+    return characteristic_importance(*_trained(spark, sf), ("lp", "hl", "cp"))
+
+
+@query("factor_characteristic_sensitivity")
+def _sensitivity(spark, sf) -> DataFrame:
+    return characteristic_sensitivity(*_trained(spark, sf), ("lp", "hl", "cp"))
+
+
+@query("residual_panel", CS + f"SELECT cs.date, cs.entity, {d('r - (lp * x0 + hl * x1)')} AS u FROM cs JOIN x USING (date)")
+def _residual_panel(spark, sf) -> DataFrame:
+    """What the regression portfolios leave of each return."""
+    return residual_panel(_scored(spark, sf)).select("date", "entity", D("u").alias("u"))
 
 
 # residual windows
@@ -259,7 +285,12 @@ def _csv(spark, sf) -> DataFrame:
     """Suppliers written as CSV with decimal commas, blanks and day-first dates, and read with a declared schema."""
     from .sources.tables import CsvOptions
 
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/panelwright").rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    folder = folder.rstrip("/")
     path = f"{folder}/suppliers-{uuid.uuid4().hex}"
     s = table(spark, sf, "supplier")
     opened = F.date_format(F.expr("date'1995-01-01' + cast(s_suppkey % 1000 as int)"), "dd/MM/yyyy")

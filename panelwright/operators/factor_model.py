@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ewm import Ewm, add_ewms
 from ..functions.nulls import finite, sdiv
 from ..functions.windows import Frames
 from ..panel import Panel
@@ -259,20 +260,21 @@ def factor_forecast(factors: DataFrame, mode: str = "expanding_mean", alpha: flo
     """(by, date, level): the forecast of each date from the factors before it; NULL on the first.
 
     ``factors`` are (by, date, factor). One row a date; each factor runs along one window."""
-    w = Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    one = factors.select(*by, "date", F.posexplode("factor").alias("k", "f"))
     if mode == "expanding_mean":
-        one = factors.select(*by, "date", F.posexplode("factor").alias("k", "f"))
-        wk = Window.partitionBy(*by, "k").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-        level = one.withColumn("f", F.avg("f").over(wk))
+        before = Window.partitionBy(*by, "k").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+        level = one.withColumn("f", F.avg("f").over(before))
     elif mode == "ewma":
         if not 0 < alpha <= 1:
             raise ModelError("alpha must lie in (0, 1]")
-        past = factors.select(*by, "date", F.collect_list("factor").over(w).alias("past"))
-        fold = F.aggregate("past", F.col("past")[0], lambda a, f: F.zip_with(a, f, lambda x, y: x * (1 - alpha) + y * alpha))
-        return past.select(*by, "date", F.when(F.size("past") > 0, fold).alias("level"))
+        run = one.withColumn("_run", F.to_json(F.struct(*by, "k")))
+        run = add_ewms(run, {"_ewm": Ewm("f", alpha, False, 1)}, "date", "_run")
+        level = run.select(*by, "date", "k", F.lag("_ewm").over(Window.partitionBy("_run").orderBy("date")).alias("f"))
     else:
         raise ModelError(f"mode must be expanding_mean or ewma, not {mode!r}")
-    return level.groupBy(*by, "date").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "f"))), lambda s: s["f"]).alias("level")).withColumn("level", F.when(F.size(F.filter("level", lambda x: x.isNotNull())) > 0, F.col("level")))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("k", "f"))), lambda s: s["f"])
+    some = F.size(F.filter("level", lambda x: x.isNotNull())) > 0
+    return level.groupBy(*by, "date").agg(whole.alias("level")).withColumn("level", F.when(some, F.col("level")))
 
 
 def per_period_errors(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -327,17 +329,13 @@ def characteristic_sensitivity(rows: DataFrame, net: Network, fit: Fit, columns:
 
 def characteristic_importance(rows: DataFrame, net: Network, fit: Fit, columns: Sequence[str]) -> DataFrame:
     """(fold, column, importance): the R2 that each fold's test rows lose with one characteristic set to 0."""
-    test = rows.filter("part = 'test'")
-
-    def r2(df: DataFrame, name: str) -> DataFrame:
-        s = score_rows(df, net, fit, ("fold", "r"))
-        e = F.col("r") - dot(F.col("beta"), F.col("factor"))
-        return s.groupBy("fold").agg((1 - sdiv(F.sum(e * e), F.sum(F.col("r") * F.col("r")))).alias(name))
-
-    base = r2(test, "base")
-    out = None
-    for k, c in enumerate(columns):
-        zeroed = test.withColumn("z", F.concat(F.slice("z", 1, k), F.array(F.lit(0.0)), F.slice("z", k + 2, len(columns) - k - 1)))
-        part = base.join(r2(zeroed, "without"), "fold").select("fold", F.lit(c).alias("column"), (F.col("base") - F.col("without")).alias("importance"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    number = len(columns)
+    zeroed = lambda k: F.concat(F.slice("z", 1, k), F.array(F.lit(0.0)), F.slice("z", k + 2, number - k - 1))
+    copies = [F.struct(F.lit(None).cast("string").alias("column"), F.col("z").alias("z"))]
+    copies += [F.struct(F.lit(c).alias("column"), zeroed(k).alias("z")) for k, c in enumerate(columns)]
+    many = rows.filter("part = 'test'").select("fold", "r", "x", F.inline(F.array(*copies)))
+    scored = score_rows(many, net, fit, ("fold", "r", "column"))
+    e = F.col("r") - dot(F.col("beta"), F.col("factor"))
+    r2 = scored.groupBy("fold", "column").agg((1 - sdiv(F.sum(e * e), F.sum(F.col("r") * F.col("r")))).alias("r2"))
+    base = F.max(F.when(F.col("column").isNull(), F.col("r2"))).over(Window.partitionBy("fold"))
+    return r2.withColumn("importance", base - F.col("r2")).filter("column is not null").select("fold", "column", "importance")

@@ -7,11 +7,15 @@ import json
 import logging
 import os
 import platform
+import time
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, is_dataclass
 from typing import Any
 
 import pyspark
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 log = logging.getLogger(__name__)
@@ -58,33 +62,33 @@ class Stage:
 
 
 class StageCache:
-    """Artifacts below ``root``. A directory counts once its manifest is there, and the manifest is written last; what is
-    unreadable is a miss; a failed write is logged and the run goes on."""
+    """Artifacts below ``root``. Data go to a fresh folder that the manifest, written last, names: a run that dies halfway
+    leaves the artifact of before, or none. What is unreadable is a miss; a failed write is logged and the run goes on."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _paths(self, key: str) -> tuple[str, str]:
-        return f"{self.root}/{key[:2]}/{key}", f"{self.root}/{key[:2]}/{key}.manifest"
+    def _path(self, key: str) -> str:
+        return f"{self.root}/{key[:2]}/{key}"
 
     def load(self, key: str) -> DataFrame | None:
-        data, manifest = self._paths(key)
         try:
-            if self.spark.read.text(manifest).isEmpty():
+            notes = [json.loads(r.value) for r in self.spark.read.text(f"{self._path(key)}.manifests/*").collect()]  # a line a write
+            if not notes:
                 return None
-            return self.spark.read.parquet(data)
-        except Exception as e:  # noqa: BLE001  a miss, whatever is wrong with it
+            return self.spark.read.parquet(f"{self._path(key)}-{max(notes, key=lambda n: n['at'])['data']}")
+        except (PySparkException, Py4JError, OSError, ValueError, KeyError) as e:
             log.debug("no artifact %s: %s", key, e)
             return None
 
     def store(self, key: str, df: DataFrame, label: str) -> DataFrame:
-        data, manifest = self._paths(key)
+        name = uuid.uuid4().hex
+        note = json.dumps({"label": label, "key": key, "columns": df.columns, "data": name, "at": time.time()})
         try:
-            df.write.mode("overwrite").parquet(data)
-            note = json.dumps({"label": label, "key": key, "columns": df.columns})
-            self.spark.createDataFrame([(note,)], "value string").coalesce(1).write.mode("overwrite").text(manifest)
-            return self.spark.read.parquet(data)
-        except OSError as e:
+            df.write.parquet(f"{self._path(key)}-{name}")
+            self.spark.createDataFrame([(note,)], "value string").coalesce(1).write.text(f"{self._path(key)}.manifests/{name}")
+            return self.spark.read.parquet(f"{self._path(key)}-{name}")
+        except (PySparkException, Py4JError, OSError) as e:
             log.warning("stage %s isn't kept: %s", label, e)
             return df
 

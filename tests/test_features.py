@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from panelwright.feature_queries import CASES
-from panelwright.functions.ewm import _loop, means
+from panelwright.functions.ewm import Ewm, add_ewms
 from panelwright.operators.features import REGISTRY, Feature, FeatureError
 from panelwright.panel import Panel
 from panelwright.plans.feature_plan import FeaturePipeline, Selection, add_features
@@ -72,14 +72,21 @@ def test_skew_and_kurt_match_pandas(spark, frame):
 
 
 @pytest.mark.parametrize("adjust", [True, False])
-def test_ewm_matches_pandas(adjust):
+def test_ewm_matches_pandas(spark, adjust):
     rng = np.random.default_rng(3)
-    for n in (0, 1, 5, 60, 300):
-        x = np.where(rng.random(n) < 0.3, np.nan, rng.normal(size=n))
-        for least in (1, 4):
-            want = pd.Series(x, dtype=float).ewm(alpha=0.3, adjust=adjust, ignore_na=False, min_periods=least).mean()
-            np.testing.assert_allclose(means(x, 0.3, adjust, least), want, rtol=1e-12)
-            np.testing.assert_allclose(_loop(x, 0.3, adjust, least), want, rtol=1e-12)
+    # batches of 50 rows: entities go on over several of them, or share one
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        rows = [(e, k, None if rng.random() < 0.3 else float(rng.normal())) for e, n in enumerate((1, 5, 60, 300, 2, 3, 120)) for k in range(n)] + [(None, 0, 1.0), (None, 1, 3.0)]
+        specs = {f"{how}{least}": Ewm("x", 0.3, adjust, least, how) for how in ("mean", "var", "std") for least in (1, 4)}
+        got = add_ewms(spark.createDataFrame(rows, "e int, k int, x double").repartition(3), specs, "k", "e").toPandas().sort_values(["e", "k"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    for _, part in got.groupby("e", dropna=False):
+        for name, spec in specs.items():
+            ewm = part["x"].reset_index(drop=True).ewm(alpha=0.3, adjust=adjust, ignore_na=False, min_periods=spec.least)
+            np.testing.assert_allclose(part[name], getattr(ewm, spec.how)(), rtol=1e-9)
 
 
 def test_cross_sections_match_pandas(spark, frame):

@@ -216,6 +216,42 @@ def test_stage_cache_resumes_and_invalidates_downstream(spark, tmp_path):
         resolve(stages(0), cache)
 
 
+def test_importance_is_the_r2_lost(spark):
+    from panelwright.operators.factor_model import Fit, Network, characteristic_importance, score_rows
+
+    rng = np.random.default_rng(2)
+    net = Network(3, 2, 2, (4,))
+    size = sum(a * b for a, b in net.shapes)
+    fit = Fit({0: rng.normal(size=size), 1: rng.normal(size=size)})
+    rows = spark.createDataFrame([(int(k % 2), "test" if k % 5 else "val", float(rng.normal()), rng.normal(size=3).tolist(), rng.normal(size=2).tolist()) for k in range(60)], "fold int, part string, r double, z array<double>, x array<double>")
+    got = {(r.fold, r.column): r.importance for r in characteristic_importance(rows, net, fit, ("a", "b", "c")).collect()}
+
+    def r2(fold, zero):
+        some = [r for r in rows.collect() if r.part == "test" and r.fold == fold]
+        z = np.array([[0.0 if i == zero else v for i, v in enumerate(r.z)] for r in some])
+        beta, factor, _ = net.forward(fit.theta[fold], z, np.array([r.x for r in some]))
+        r = np.array([r.r for r in some])
+        return 1 - ((r - (beta * factor).sum(axis=1)) ** 2).sum() / (r * r).sum()
+
+    assert set(got) == {(f, c) for f in (0, 1) for c in "abc"}
+    for (f, c), v in got.items():
+        assert v == pytest.approx(r2(f, None) - r2(f, "abc".index(c)))
+    assert score_rows(rows, net, fit, ("fold",)).count() == 60
+
+
+def test_stage_cache_survives_failed_writes(spark, tmp_path):
+    blocked = tmp_path / "file"
+    blocked.write_text("no folder")
+    assert resolve([Stage("a", stage_key({"rows": 5}), lambda _: spark.range(5))], StageCache(spark, str(blocked))).count() == 5
+    cache, key = StageCache(spark, str(tmp_path / "kept")), stage_key({"rows": 6})
+    cache.store(key, spark.range(6), "a")
+    broken = spark.range(7).select(F.raise_error(F.lit("halfway")).alias("id"))
+    cache.store(key, broken, "a")
+    assert cache.load(key).count() == 6  # the failed write left the older artifact alone
+    cache.store(key, spark.range(8), "a")
+    assert cache.load(key).count() == 8
+
+
 def test_config_check():
     good = {"ingestion": {"panels": {"p": {"path": "x", "schema": {"date": "d", "entity": "e"}}}}, "features": {"featurizers": [{"type": "log_price", "params": {"input_column": "a", "output_name": "b"}}]}}
     assert check(good) == []

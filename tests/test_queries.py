@@ -20,7 +20,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", NAMES[::5])
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, con, name):
     df = entry.queries()[name](spark, SF)
     sql = con.sql(entry.oracle_sql()[name])
