@@ -45,8 +45,10 @@ def rule_tokens(pattern: str) -> list[str]:
 
 
 def rule_regex(pattern: str) -> str:
-    """Of host and path written together; a host holds no slash, so the first one starts the path."""
-    return r"(?s)^(?:[^/]*\.)?" + re.sub(r"([^A-Za-z0-9_/])", r"\\\1", pattern)
+    """Of host and path written together; a host holds no slash, so the first one starts the path. A pattern without a
+    slash is a whole host."""
+    end = "" if "/" in pattern else r"(?:/|\z)"
+    return r"(?s)^(?:[^/]*\.)?" + re.sub(r"([^A-Za-z0-9_/])", r"\\\1", pattern) + end
 
 
 def rule_table(spark, rules: list[tuple[str, str]]) -> DataFrame:

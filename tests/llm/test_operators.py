@@ -365,6 +365,12 @@ def test_url_rules(spark, literal):
     assert url_rules.judge_urls(pages.limit(0), url_rules.RULES).count() == 0
 
 
+def test_url_rules_of_whole_hosts(spark):
+    pages = spark.createDataFrame(list(enumerate(["x://organic.net/a", "x://a.org", "x://org/b", "x://b.org?q", "x://organic"])), "page_id long, url string")
+    got = {r.page_id: r.rule for r in url_rules.judge_urls(pages, [("block", "org")]).collect()}
+    assert got == {0: None, 1: "org", 2: "org", 3: "org", 4: None}
+
+
 # 5 token counts
 
 
