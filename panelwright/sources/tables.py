@@ -31,7 +31,8 @@ def java_pattern(strptime: str) -> str:
 
 @dataclass(frozen=True)
 class Schema:
-    """Declared, never inferred: every column that is read needs a type or is a date."""
+    """Declared, never inferred: every column that is read from text needs a type or is a date. Parquet files carry types of
+    their own, which declared ones must agree with."""
 
     date: str | None = None
     entity: str | None = None
@@ -71,6 +72,30 @@ class Schema:
             text = F.replace(text, F.lit(decimal), F.lit("."))
         return text.cast(kind)
 
+    def declares(self, column: str) -> bool:
+        return column in self.dates or column in self.categorical or column in self.dtypes
+
+    def typed(self, column: str, have: T.DataType) -> Column:
+        """A column of a typed file as its declared type. Text is parsed; numbers widen or narrow with a check of range, but
+        fractions never become whole numbers; other kinds must be the declared one."""
+        x = F.col(f"`{column}`")
+        if not self.declares(column):
+            return x
+        kind = self.kind(column)
+        if isinstance(have, T.StringType):
+            return self.parsed(column, x)
+        whole = isinstance(have, T.IntegralType)
+        fits = {
+            "timestamp_ntz": isinstance(have, T.TimestampNTZType | T.TimestampType | T.DateType),
+            "boolean": isinstance(have, T.BooleanType),
+            "string": False,
+            "double": isinstance(have, T.NumericType),
+            "float": isinstance(have, T.NumericType),
+        }.get(kind, whole)
+        if not fits:
+            raise PanelError(f"column {column!r} is {have.simpleString()} in the file but declared {kind}")
+        return x.cast(kind)
+
 
 @dataclass(frozen=True)
 class CsvOptions:
@@ -95,12 +120,13 @@ def read_csv(spark: SparkSession, path: str, schema: Schema, columns: Sequence[s
 
 
 def read_parquet(spark: SparkSession, path: str, schema: Schema, columns: Sequence[str] | None = None, options: CsvOptions | None = None) -> DataFrame:
+    """Declared columns as their declared types, or refused; others as the file has them."""
     df = spark.read.parquet(path)
     named = [k for k in (schema.entity, schema.date) if k]
     wanted = list(df.columns) if columns is None else [*named, *(c for c in columns if c not in named)]
-    if missing := [c for c in wanted if c not in df.columns]:
-        raise MissingColumns(f"{path} has no columns {missing}")
-    return df.select(*wanted)
+    if missing := sorted({*wanted, *named, *schema.dtypes, *schema.dates, *schema.categorical} - {*df.columns}):
+        raise MissingColumns(f"{path} has no columns {missing}; it has {df.columns}")
+    return df.select(*(schema.typed(c, df.schema[c].dataType).alias(c) for c in wanted))
 
 
 SOURCES: dict[str, Callable[..., DataFrame]] = {"csv": read_csv, "parquet": read_parquet}

@@ -239,6 +239,26 @@ def test_importance_is_the_r2_lost(spark):
     assert score_rows(rows, net, fit, ("fold",)).count() == 60
 
 
+def test_parquet_sources_hold_to_their_schema(spark, tmp_path):
+    from panelwright.panel import PanelError
+    from panelwright.sources.tables import MissingColumns, Schema, read_parquet
+
+    path = str(tmp_path / "p")
+    spark.createDataFrame([("2020-01-02", 1, 2.5, "7", True), (None, 2, None, "x", False)], "d string, e long, v double, w string, b boolean").write.parquet(path)
+    got = read_parquet(spark, path, Schema(date="d", entity="e", dtypes={"e": "int32", "v": "float32", "b": "bool"}))
+    assert [f.dataType.simpleString() for f in got.schema] == ["timestamp_ntz", "int", "float", "string", "boolean"]
+    assert [r.d and r.d.isoformat() for r in got.orderBy("e").collect()] == ["2020-01-02T00:00:00", None]
+    for bad in ({"v": "int64"}, {"e": "bool"}, {"b": "float64"}, {"e": "string"}):
+        with pytest.raises(PanelError, match="declared"):
+            read_parquet(spark, path, Schema(date="d", entity="e", dtypes=bad))
+    with pytest.raises(PanelError, match="declared"):
+        read_parquet(spark, path, Schema(date="v"))
+    with pytest.raises(MissingColumns):
+        read_parquet(spark, path, Schema(entity="e", dtypes={"nope": "int64"}))
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        read_parquet(spark, path, Schema(entity="e", dtypes={"w": "int64"})).collect()
+
+
 def test_stage_cache_survives_failed_writes(spark, tmp_path):
     blocked = tmp_path / "file"
     blocked.write_text("no folder")
