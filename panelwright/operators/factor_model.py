@@ -25,6 +25,21 @@ class ModelError(ValueError):
     pass
 
 
+def column_sets(panel: Panel, return_column: str, exclude: Sequence[str] = (), portfolio_columns: Sequence[str] = ()) -> tuple[list[str], list[str]]:
+    """Beta columns, which are all but keys, the return and ``exclude`` in the panel's order, and portfolio columns, which
+    are those named or all beta columns. The network's k-th input is the k-th beta column."""
+    columns = [c for c in panel.df.columns if c not in (panel.date, panel.entity)]
+    unknown = sorted({return_column, *exclude, *portfolio_columns} - set(columns))
+    if unknown:
+        raise ModelError(f"the panel has no columns {unknown}")
+    if return_column in portfolio_columns:
+        raise ModelError(f"the return {return_column!r} can't form portfolios of itself")
+    beta = [c for c in columns if c != return_column and c not in exclude]
+    if not beta:
+        raise ModelError("no beta columns remain")
+    return beta, list(portfolio_columns) or beta
+
+
 def cross_sections(panel: Panel, return_column: str, beta_columns: Sequence[str], portfolio_columns: Sequence[str] = (), standardize: bool = True, min_cross_section: int = 2) -> DataFrame:
     """(date, entity, r, z, p): returns, beta inputs and portfolio inputs of periods with enough returns.
 
@@ -157,6 +172,7 @@ class Training:
     epochs: int = 50
     rate: float = 0.02
     l1: float = 1e-4
+    l1_mode: str = "proximal"
     decay: float = 0.0
     gamma: float = 0.99
     patience: int = 10
@@ -175,9 +191,11 @@ class Fit:
 def fit_folds(rows: DataFrame, net: Network, how: Training = Training()) -> Fit:
     """Train all folds at once. ``rows`` are (fold, part, r, z, x) with part train or val; keep them persisted.
 
-    Each epoch is one pass: tasks sum gradients and errors of their rows by fold, Adam steps on the sums, the proximal L1
-    step shrinks weights, and a fold stops once its validation R2 has not gained for ``patience`` epochs; its best
-    parameters count."""
+    Each epoch is one pass: tasks sum gradients and errors of their rows by fold, Adam steps on the sums, L1 shrinks
+    weights after the step (``l1_mode`` proximal) or joins the gradient (subgradient), and a fold stops once its
+    validation R2 has not gained for ``patience`` epochs; its best parameters count."""
+    if how.l1_mode not in ("proximal", "subgradient"):
+        raise ModelError(f"l1_mode must be proximal or subgradient, not {how.l1_mode!r}")
     folds = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]
     theta = {f: net.start(how.seed + (f if how.seed_per_fold else 0)) for f in folds}
     best, best_at = {f: (-np.inf, theta[f]) for f in folds}, dict.fromkeys(folds, 0)
@@ -221,11 +239,13 @@ def fit_folds(rows: DataFrame, net: Network, how: Training = Training()) -> Fit:
                 open_.discard(f)
                 continue
             g = grad[:-3] / n
+            if how.l1_mode == "subgradient":
+                g = g + how.l1 * np.sign(theta[f]) * net.weights()
             m[f], v[f] = 0.9 * m[f] + 0.1 * g, 0.999 * v[f] + 0.001 * g * g
             rate = how.rate * how.gamma ** (epoch - 1)
             step = rate * (m[f] / (1 - 0.9**epoch)) / (np.sqrt(v[f] / (1 - 0.999**epoch)) + 1e-8)
             new = theta[f] * (1 - rate * how.decay) - step
-            if how.l1:
+            if how.l1_mode == "proximal" and how.l1:
                 new = np.where(net.weights(), np.sign(new) * np.maximum(np.abs(new) - rate * how.l1, 0), new)
             theta[f] = new
     fit.theta, fit.best_epoch = {f: best[f][1] for f in folds}, best_at

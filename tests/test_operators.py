@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators.alignment import AlignmentError, Join, merge_panels, microseconds
 from panelwright.operators.cleaning import CleaningError, clean
-from panelwright.operators.factor_model import ModelError, Network, Training, cross_sections, fit_folds, managed_portfolios
+from panelwright.operators.factor_model import ModelError, Network, Training, column_sets, cross_sections, fit_folds, managed_portfolios
 from panelwright.operators.linking import LinkError, LinkTable, Normalization, normalized, relink
 from panelwright.operators.residuals import gather, window_ends
 from panelwright.operators.tuning import t_quantile
@@ -323,6 +323,23 @@ def test_autoencoder_gradient_and_fit(spark):
     assert max(h["score"] for h in fit.history if h["fold"] == 0) > 0.95 and set(fit.theta) == {0, 1}
 
 
+    one = Network(1, 1, 1)
+    start, on = one.start(42), one.weights()
+    last = Training(epochs=2, rate=0.01, l1=1e6, l1_mode="subgradient", min_delta=-np.inf)
+    np.testing.assert_allclose(np.abs(start[on]) - np.abs(fit_folds(df, one, last).theta[0][on]), 0.01, atol=1e-5)
+    with pytest.raises(ModelError):
+        fit_folds(df, one, Training(l1_mode="other"))
+
+
+def test_column_sets(spark):
+    panel = Panel(spark.createDataFrame([], "date timestamp_ntz, entity long, b double, r double, a double, later double"), "date", "entity")
+    assert column_sets(panel, "r", ["later"]) == (["b", "a"], ["b", "a"])
+    assert column_sets(panel, "r", ["later"], ["a"]) == (["b", "a"], ["a"])
+    for bad in (("x",), ("r", ["x"]), ("r", [], ["x"]), ("r", [], ["r"]), ("r", ["a", "b", "later"])):
+        with pytest.raises(ModelError):
+            column_sets(panel, *bad)
+
+
 def test_residual_windows(spark):
     u = spark.createDataFrame([(DAY(k), e, float(k)) for e, ks in ((1, [0, 1, 2, 4, 5, 6, 7]), (2, [0, 1, 2, 3])) for k in ks], "date timestamp_ntz, entity long, u double")
     ends = window_ends(u, 3)
