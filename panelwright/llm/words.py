@@ -78,8 +78,12 @@ def passes(col: pa.Array, most: int = PASS_BYTES) -> Iterator[tuple[int, int, np
 
 def spans(buf: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of ``kind`` bytes inside rows, and the number of runs before each row's start."""
-    n = len(buf)
-    inside = kind[buf]
+    return mask_spans(kind[buf], offs)
+
+
+def mask_spans(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for a mask of bytes."""
+    n = len(inside)
     cut = np.zeros(n + 1, dtype=bool)
     cut[offs] = True
     first, last = inside.copy(), inside.copy()
