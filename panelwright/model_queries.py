@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -283,15 +280,10 @@ def _importances(spark, sf) -> DataFrame:
 @query("source_csv", "SELECT s_suppkey, s_name, CAST(s_nationkey AS INTEGER) AS s_nationkey, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END AS s_acctbal, CAST(TIMESTAMP '1995-01-01' + to_days(CAST(s_suppkey % 1000 AS INTEGER)) AS TIMESTAMP) AS opened FROM supplier")
 def _csv(spark, sf) -> DataFrame:
     """Suppliers written as CSV with decimal commas, blanks and day-first dates, and read with a declared schema."""
+    from .plans.shared import shared_path
     from .sources.tables import CsvOptions
 
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    folder = folder.rstrip("/")
-    path = f"{folder}/suppliers-{uuid.uuid4().hex}"
+    path = shared_path(spark, "suppliers")
     s = table(spark, sf, "supplier")
     opened = F.date_format(F.expr("date'1995-01-01' + cast(s_suppkey % 1000 as int)"), "dd/MM/yyyy")
     text = s.select("s_suppkey", "s_name", "s_nationkey", F.when(F.col("s_suppkey") % 7 == 0, F.lit("n/a")).otherwise(F.replace(F.col("s_acctbal").cast("string"), F.lit("."), F.lit(","))).alias("s_acctbal"), opened.alias("opened"))

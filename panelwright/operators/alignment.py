@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranges import carried_forward
 from ..panel import Grain, Panel, PanelError, PanelSet, as_moment, require_comparable, require_unique
 
 
@@ -83,16 +84,21 @@ def asof_entity(spine: Panel, source: Panel, take: dict[str, str], availability_
 
 @aligner("broadcast_time", Grain.TIME_SERIES)
 def broadcast_time(spine: Panel, source: Panel, take: dict[str, str], as_of: bool = False, tolerance: str | None = None) -> DataFrame:
-    """Each date's values for every entity of that date. As of: resolved on the distinct spine dates, then joined by date."""
+    """Each date's values for every entity of that date. As of: the distinct spine dates and the source run through one order
+    that is dealt by ranges of time, so any number of stamps may be resolved; then joined by date."""
     if tolerance and not as_of:
         raise AlignmentError("tolerance needs as_of")
     _same_kind(spine, source, (spine.date, source.date))
     require_unique(source.df, [source.date], "broadcast_time")
     side = source.df.dropna(subset=[source.date]).select(F.col(source.date).alias("_d"), *(F.col(c).alias(o) for c, o in take.items()))
     if as_of:
-        side = as_moment(side, "_d").withColumnRenamed("_d", "at").withColumn("_k", F.lit(0))
-        dates = as_moment(spine.df.select(F.col(spine.date).alias("at")).dropna().distinct(), "at").withColumns({"_k": F.lit(0), "_d": F.col("at")})
-        side = _as_of(dates, side, ["_k"], list(take.values()), True, [], microseconds(tolerance) if tolerance else None).drop("_k", "at")  # one row a date
+        kind = spine.df.schema[spine.date].dataType
+        given = as_moment(side, "_d").select(F.col("_d").alias("at"), F.lit(0).alias("side"), F.struct(F.col("_d").alias("since"), *take.values()).alias("hit"))
+        dates = as_moment(spine.df.select(F.col(spine.date).alias("at")).dropna().distinct(), "at")
+        asked = dates.select("at", F.lit(1).alias("side"), F.lit(None).cast(given.schema["hit"].dataType).alias("hit"))
+        found = carried_forward(given.unionByName(asked), ["at", "side"], "hit").filter("side = 1")
+        fresh = F.lit(True) if tolerance is None else F.timestamp_diff("MICROSECOND", F.col("hit.since"), F.col("at")) <= microseconds(tolerance)
+        side = found.select(F.col("at").cast(kind).alias("_d"), *(F.when(fresh, F.col(f"hit.{o}")).alias(o) for o in take.values()))
     return spine.df.join(side, spine.df[spine.date] == side["_d"], "left").drop("_d")
 
 

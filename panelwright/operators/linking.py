@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.ranges import numbered
 from ..panel import Panel, PanelError, require_comparable
 
 ALWAYS, OPEN = "1678-01-01", "9999-12-31"
@@ -115,7 +116,7 @@ class LinkTable:
         """The spine's own identifier columns as windows; a window ends where the pair skips a date that the spine has."""
         keys = list(keys)
         dates = spine.df.select(F.col(spine.date).cast("timestamp_ntz").alias("_d")).dropna().distinct()
-        place = dates.withColumn("_i", F.row_number().over(Window.orderBy("_d")))  # one row a date
+        place = numbered(dates, "_d", "_i")
         pairs = spine.df.select(*keys, F.col(spine.entity).alias("_t"), F.col(spine.date).cast("timestamp_ntz").alias("_d")).dropna().distinct().join(place, "_d")
         w = Window.partitionBy(*keys, "_t").orderBy("_i")
         runs = pairs.withColumn("_run", F.col("_i") - F.row_number().over(w)).groupBy(*keys, "_t", "_run").agg(F.min("_d").alias("_a"), F.max("_d").alias("_b"))

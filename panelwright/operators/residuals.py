@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranges import numbered
 from ..plans.schedule import Bounds, fold_table
 from .factor_model import dot
 
@@ -19,7 +20,7 @@ def residual_panel(scored: DataFrame) -> DataFrame:
 
 def with_positions(residuals: DataFrame) -> DataFrame:
     """``pos``: the place of the date among all dates of the panel."""
-    dates = residuals.select("date").distinct().withColumn("pos", (F.row_number().over(Window.orderBy("date")) - 1).cast("long"))  # one row a date
+    dates = numbered(residuals.select("date").dropna().distinct(), "date", "pos")
     return residuals.join(dates, "date")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ewm import Ewm, add_ewms
+from ..functions.ewm import Ewm, add_ewms, scan_ewms
 from ..functions.nulls import finite
 from ..functions.windows import Frames
 from ..operators.features import Feature, FeatureError
@@ -42,6 +42,7 @@ class FeaturePipeline:
     intermediate: frozenset[str] = frozenset()  # outputs that only feed later features
     output_dtype: str | None = None
     drop_warmup: bool = False
+    long_entities: bool = False  # exponential weights by a scan over ranges, so that an entity needn't meet in one task
     made: tuple[str, ...] = field(init=False, default=())
 
     def __post_init__(self) -> None:
@@ -98,7 +99,7 @@ class FeaturePipeline:
             if plain := {k: v for k, v in layer.items() if not isinstance(v, Ewm)}:
                 df = df.withColumns(plain)
             if ewms := {k: v for k, v in layer.items() if isinstance(v, Ewm)}:
-                df = add_ewms(df, ewms, frames.date, frames.entity)
+                df = (scan_ewms if self.long_entities else add_ewms)(df, ewms, frames.date, frames.entity)
         return df
 
     @staticmethod

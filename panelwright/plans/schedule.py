@@ -10,6 +10,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranges import numbered
 from ..panel import Panel
 
 log = logging.getLogger(__name__)
@@ -129,10 +130,7 @@ def panel_dates(panel: Panel) -> list[dt.datetime]:
 
 def positions(panel: Panel) -> DataFrame:
     """(date, pos) with pos counting the panel's dates from 0."""
-    from pyspark.sql.window import Window
-
-    dates = panel.df.select(F.col(panel.date).alias("date")).dropna().distinct()
-    return dates.withColumn("pos", (F.row_number().over(Window.orderBy("date")) - 1).cast("long"))  # one row a period
+    return numbered(panel.df.select(F.col(panel.date).alias("date")).dropna().distinct(), "date", "pos")
 
 
 def fold_table(spark, folds: Sequence[Bounds]) -> DataFrame:
