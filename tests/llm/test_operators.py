@@ -560,12 +560,47 @@ def test_mixing_reruns_agree_on_repeated_ids(spark):
     assert a == b
 
 
-def test_mixing_refuses_too_many_patterns(spark, monkeypatch):
+def test_mixing_refuses_too_many_overlaps(spark, monkeypatch):
     monkeypatch.setattr(flow_mixing, "PATTERNS", 3)
     docs = spark.createDataFrame([(i, "a b", f"s{i}") for i in range(4)], "doc_id long, text string, source string")
     with pytest.raises(ValueError, match="patterns"):
-        flow_mixing.mix_sources(docs, F.array("source"))
-    assert flow_mixing.mix_sources(docs.limit(3), F.array("source")).count() == 3
+        flow_mixing.mix_sources(docs, F.array("source", F.lit("x")))
+    assert flow_mixing.mix_sources(docs.limit(3), F.array("source", F.lit("x"))).count() == 3
+
+
+def test_rows_without_ids_are_drawn_like_others(spark):
+    rng = random.Random(11)
+    texts = [prose(rng, rng.randint(5, 30)) for _ in range(6000)]
+    docs = spark.createDataFrame([(None if i % 3 == 0 else i // 2 if i % 3 == 1 else i, t, "a" if i % 2 else "b") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    copies = spark.createDataFrame([(None, "same words again", "b")] * 3000, docs.schema)
+    rows = flow_mixing.mix_sources(docs.unionByName(copies).repartition(7), F.array("source")).collect()
+    assert len(rows) == 9000 and len({r.draw for r in rows}) == 9000
+    for s in "ab":
+        own = [r for r in rows if r.members == [s]]
+        share = lambda some: sum(r.taken for r in some) / sum(r["size"] for r in some)
+        whole = share(own)
+        assert abs(share([r for r in own if r.doc_id is None]) - whole) < 0.04 * whole
+        assert abs(share([r for r in own if r.doc_id is not None]) - whole) < 0.04 * whole
+        assert abs(sum(r.taken for r in own) - own[0].targets[0]) <= 30
+    same = Counter(r.taken for r in rows if r["size"] == 3)
+    assert len(same) == 2  # copies are drawn one by one
+
+
+def test_sources_without_number(spark):
+    """Far more sources than the flow may have patterns; targets as by the exact loop."""
+    rng = random.Random(4)
+    sizes = [rng.randint(0, 9) for _ in range(3000)]
+    docs = spark.createDataFrame([(i, "w " * n, f"{i:05d}") for i, n in enumerate(sizes)] + [(9000, "x y z", None)], "doc_id long, text string, source string")
+    old, flow_mixing.PATTERNS = flow_mixing.PATTERNS, 2
+    try:
+        got = {r.doc_id: (r["size"], r.targets[0]) for r in flow_mixing.mix_sources(docs, F.array("source")).collect()}
+    finally:
+        flow_mixing.PATTERNS = old
+    want = flow_mixing.capped_targets([*sizes, 3], [(3, 1, 2)[i % 3] for i in range(3001)], Fraction(3, 2), 2)
+    for i, (n, t) in enumerate(zip([*sizes, 3], want, strict=True)):
+        assert got[i if i < 3000 else 9000] == (n, pytest.approx(float(t)))
+    free = spark.createDataFrame([(1, "a b", []), (2, "a b", None), (3, "a b", ["s"])], "doc_id long, text string, of array<string>")
+    assert {r.doc_id: r.taken for r in flow_mixing.mix_sources(free, F.col("of")).collect()} == {1: 0, 2: 0, 3: 4}
 
 
 # 8 shards

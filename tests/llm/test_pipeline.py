@@ -40,7 +40,7 @@ def brute_mixture(rows):
     times = Counter()
     for s, size, target in zip(names, sizes, targets, strict=True):
         rounds, rest = divmod(round(target), size) if size else (0, 0)
-        draw = lambda x: hashlib.md5(f"mix:{x[1].doc_id}".encode()).hexdigest()
+        draw = lambda x: hashlib.md5(f"mix:{x[1].doc_id}:{hashlib.md5((x[1].text or '').encode()).hexdigest()}:1".encode()).hexdigest()
         at = 0
         for n, r in sorted(mine[s], key=lambda x: (int(draw(x)[:8], 16) % 4096, draw(x))):
             if n:
