@@ -61,11 +61,12 @@ def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them: none, one or two rows."""
+    """Documents as often as the mix of sources takes them: none, one or two rows. Rows that are equal in doc_id, text and
+    source are kept alike, as often as they are taken on average."""
     times = free_name(docs, "_times")
     fed, key = keyed(docs)
-    taken = mix_sources(fed, F.array("source"), key_col=key).filter("taken > 0")
-    taken = taken.groupBy(key).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias(times))
+    taken = mix_sources(fed, F.array("source"), key_col=key).filter("size > 0")
+    taken = taken.groupBy(key).agg(F.round(F.sum(F.col("taken") / F.col("size")) / F.count("*")).cast("int").alias(times)).filter(F.col(times) > 0)
     out = fed.join(taken, key)
     return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
 
