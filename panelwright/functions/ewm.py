@@ -1,6 +1,6 @@
 """Exponentially weighted means and spreads: a recursion along each entity, all columns of a layer in one pass.
 
-``add_ewms`` brings an entity's rows together in one task. ``scan_ewms`` gives the same columns by a parallel prefix scan
+``add_along`` brings an entity's rows together in one task. ``scan_ewms`` gives the same columns by a parallel prefix scan
 over ranges of (entity, date), for entities too long for that: every range tells what it does to the state before it, the
 few numbers of each range are composed in order, and every range then goes on from the state that reaches it."""
 
@@ -21,6 +21,7 @@ from pyspark.taskcontext import TaskContext
 
 from ..plans.shared import shared_folder
 from .recursion import State, Stretch, along, joined, one_summary, passed
+from .sliding import Slide
 
 
 @dataclass(frozen=True)
@@ -34,21 +35,20 @@ class Ewm:
     least: int
     how: str = "mean"
 
+    def over(self, x: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Along each run of equal group numbers, all runs in one pass; NaN is missing."""
+        w = pd.Series(x).groupby(group, sort=False).ewm(alpha=self.alpha, adjust=self.adjust, ignore_na=False, min_periods=self.least)
+        return {"mean": w.mean, "var": w.var, "std": w.std}[self.how]().to_numpy()
+
     @classmethod
     def span(cls, column: str, span: float, adjust: bool, least: int) -> Ewm:
         return cls(column, 2.0 / (span + 1.0), adjust, least)
 
 
-def spread_over(x: np.ndarray, group: np.ndarray, spec: Ewm) -> np.ndarray:
-    """The spec's statistic along each run of equal group numbers, all runs in one pass."""
-    w = pd.Series(x).groupby(group, sort=False).ewm(alpha=spec.alpha, adjust=spec.adjust, ignore_na=False, min_periods=spec.least)
-    return {"mean": w.mean, "var": w.var, "std": w.std}[spec.how]().to_numpy()
-
-
-def add_ewms(df: DataFrame, specs: dict[str, Ewm], date: str, entity: str) -> DataFrame:
-    """``df`` with a column for each spec. An entity's rows meet in one task, as the recursion demands; entities are
-    taken as they come, many in one pass."""
-    distinct: dict[Ewm, list[str]] = {}
+def add_along(df: DataFrame, specs: dict[str, Ewm | Slide], date: str, entity: str) -> DataFrame:
+    """``df`` with a column for each spec, all in one pass. An entity's rows meet in one task; entities are taken as they
+    come, many at a time."""
+    distinct: dict[Ewm | Slide, list[str]] = {}
     for name, spec in specs.items():
         distinct.setdefault(spec, []).append(name)
 
@@ -61,7 +61,7 @@ def add_ewms(df: DataFrame, specs: dict[str, Ewm], date: str, entity: str) -> Da
         table = pa.concat_tables(parts)
         group = np.concatenate([[0], np.cumsum(change(table[entity]))])
         for spec, names in distinct.items():
-            y = spread_over(np.asarray(table[spec.column].to_numpy(), dtype=float), group, spec)
+            y = spec.over(np.asarray(table[spec.column].to_numpy(), dtype=float), group)
             made = pa.array(y, mask=np.isnan(y))
             for name in names:
                 table = table.append_column(name, made)
@@ -111,7 +111,7 @@ def _doubles(column: pa.Array) -> np.ndarray:
 
 
 def scan_ewms(df: DataFrame, specs: dict[str, Ewm], date: str, entity: str, parts: int | None = None) -> DataFrame:
-    """As ``add_ewms``, but an entity's rows may lie in any number of tasks. ``parts`` ranges are made, or as many as Spark
+    """As ``add_along``, but an entity's rows may lie in any number of tasks. ``parts`` ranges are made, or as many as Spark
     shuffles into; the driver composes one small row a range. Rows of one (entity, date) stay together."""
     distinct: dict[Ewm, list[str]] = {}
     for name, spec in specs.items():

@@ -58,38 +58,6 @@ class Frames:
             out = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max}[how](x).over(w)
         return F.when(seen >= min(least, n), out)
 
-    def full(self, x: Column, n: int) -> Column:
-        """The values of the last n rows, oldest first; NULL unless all n are there."""
-        return F.when(F.count(x).over(self.last(n)) == n, F.collect_list(x).over(self.last(n)))
-
-    def mad(self, x: Column, n: int) -> Column:
-        values, mean = self.full(x, n), F.avg(x).over(self.last(n))
-        return F.aggregate(values, F.lit(0.0), lambda a, v: a + F.abs(v - mean)) / n
-
-    def drawdown(self, x: Column, n: int, ulcer: bool) -> Column:
-        """Of falls from the running maximum inside the window: the largest, or the root of the mean squared percentage."""
-        start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(0.0).alias("out"))
-
-        def step(acc: Column, v: Column) -> Column:
-            top = F.greatest(acc["top"], v)
-            fall = F.lit(1.0) - F.try_divide(v, top)
-            return F.struct(top.alias("top"), (acc["out"] + (fall * 100) * (fall * 100) if ulcer else F.when(fall.isNotNull() & acc["out"].isNotNull(), F.greatest(acc["out"], fall))).alias("out"))
-
-        return F.aggregate(self.full(x, n), start, step, lambda a: F.sqrt(a["out"] / n) if ulcer else a["out"])
-
-    def since_extreme(self, x: Column, n: int, high: bool) -> Column:
-        """Rows since the latest maximum or minimum of a full window."""
-        values = F.reverse(self.full(x, n))
-        return F.array_position(values, F.array_max(values) if high else F.array_min(values)) - 1
-
-    def rank_in_window(self, x: Column, n: int, least: int, method: str) -> Column:
-        """Rank of the current value among the window's values, as a share of their number."""
-        values = F.collect_list(x).over(self.last(n))
-        below = F.size(F.filter(values, lambda v: v < x))
-        same = F.size(F.filter(values, lambda v: v == x))
-        rank = {"average": below + (same + 1) / 2, "min": below + 1, "max": below + same}[method]
-        return F.when(x.isNotNull() & (F.size(values) >= min(least, n)), rank / F.size(values))
-
     # per date
 
     def rank(self, x: Column, method: str = "average", ascending: bool = True, by: str = "raw") -> Column:

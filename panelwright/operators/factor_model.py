@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ewm import Ewm, add_ewms
+from ..functions.ewm import Ewm, add_along
 from ..functions.nulls import finite, sdiv
 from ..functions.windows import Frames
 from ..panel import Panel
@@ -288,7 +288,7 @@ def factor_forecast(factors: DataFrame, mode: str = "expanding_mean", alpha: flo
         if not 0 < alpha <= 1:
             raise ModelError("alpha must lie in (0, 1]")
         run = one.withColumn("_run", F.to_json(F.struct(*by, "k")))
-        run = add_ewms(run, {"_ewm": Ewm("f", alpha, False, 1)}, "date", "_run")
+        run = add_along(run, {"_ewm": Ewm("f", alpha, False, 1)}, "date", "_run")
         level = run.select(*by, "date", "k", F.lag("_ewm").over(Window.partitionBy("_run").orderBy("date")).alias("f"))
     else:
         raise ModelError(f"mode must be expanding_mean or ewma, not {mode!r}")

@@ -1,6 +1,6 @@
 """Featurizers: named recipes that add columns to a panel.
 
-A recipe is a generator of steps. A step is a dict of new columns, each a Column or an Ewm; it may read the inputs and
+A recipe is a generator of steps. A step is a dict of new columns, each a Column, an Ewm or a Slide; it may read the inputs and
 the columns of earlier steps. Inputs and outputs are told by the annotations of the recipe's parameters, so a pipeline
 knows its whole dependency graph before any job."""
 
@@ -14,10 +14,11 @@ from typing import Any
 from pyspark.sql import Column
 
 from ...functions.ewm import Ewm
+from ...functions.sliding import Slide
 from ...functions.windows import Frames
 
 Col, Cols, Out, Outs = "Col", "Cols", "Out", "Outs"
-Step = dict[str, "Column | Ewm"]
+Step = dict[str, "Column | Ewm | Slide"]
 
 
 class FeatureError(ValueError):

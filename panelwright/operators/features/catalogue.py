@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ...functions.ewm import Ewm
 from ...functions.nulls import expm1, log1p, nmax, nmin, sdiv, sign, slog, ssqrt
+from ...functions.sliding import Slide
 from ...functions.windows import REDUCERS
 from .base import Col, Cols, FeatureError, Out, Outs, Recipe, feature  # noqa: F401
 
@@ -151,7 +152,8 @@ def adx(c: Recipe, high_column: Col, low_column: Col, close_column: Col, period,
 @feature("aroon")
 def aroon(c: Recipe, high_column: Col, low_column: Col, window, output_names: Outs):
     up, down, gap = output_names
-    yield {o: 100.0 * (window - c.frames.since_extreme(col(x), window, high)) / window for o, x, high in ((up, high_column, True), (down, low_column, False))}
+    yield {c.tmp("up"): Slide(high_column, window, "since_max"), c.tmp("down"): Slide(low_column, window, "since_min")}
+    yield {o: 100.0 * (window - col(c.tmp(k))) / window for o, k in ((up, "up"), (down, "down"))}
     yield {gap: col(up) - col(down)}
 
 
@@ -255,12 +257,12 @@ def bollinger_bands(c: Recipe, close_column: Col, windows, pct_b_names: Outs, ba
 
 @feature("ulcer_index")
 def ulcer_index(c: Recipe, close_column: Col, windows, output_names: Outs):
-    yield {o: c.frames.drawdown(col(close_column), n, True) for n, o in zip(windows, output_names, strict=True)}
+    yield {o: Slide(close_column, n, "ulcer") for n, o in zip(windows, output_names, strict=True)}
 
 
 @feature("max_drawdown")
 def max_drawdown(c: Recipe, close_column: Col, windows, output_names: Outs):
-    yield {o: c.frames.drawdown(col(close_column), n, False) for n, o in zip(windows, output_names, strict=True)}
+    yield {o: Slide(close_column, n, "drawdown") for n, o in zip(windows, output_names, strict=True)}
 
 
 # liquidity
@@ -377,7 +379,8 @@ def _typical(high: str, low: str, close: str) -> Column:
 def cci(c: Recipe, high_column: Col, low_column: Col, close_column: Col, windows, output_names: Outs, constant):
     yield {c.tmp("tp"): _typical(high_column, low_column, close_column)}
     x = col(c.tmp("tp"))
-    yield {o: sdiv(x - c.frames.roll("mean", x, n, n), constant * c.frames.mad(x, n)) for n, o in zip(windows, output_names, strict=True)}
+    yield {c.tmp(f"mad{n}"): Slide(c.tmp("tp"), n, "mad") for n in windows}
+    yield {o: sdiv(x - c.frames.roll("mean", x, n, n), constant * col(c.tmp(f"mad{n}"))) for n, o in zip(windows, output_names, strict=True)}
 
 
 @feature("ultimate_oscillator")
@@ -516,14 +519,17 @@ def rolling_minmax(c: Recipe, input_column: Col, windows, output_names: Outs, mi
 
 @feature("rolling_rank")
 def rolling_rank(c: Recipe, input_column: Col, windows, output_names: Outs, min_periods, method):
-    yield {o: c.frames.rank_in_window(col(input_column), n, min_periods, method) for n, o in zip(windows, output_names, strict=True)}
+    yield {o: Slide(input_column, n, "rank", min_periods, method=method) for n, o in zip(windows, output_names, strict=True)}
 
 
 @feature("rolling_aggregation")
 def rolling_aggregation(c: Recipe, input_column: Col, windows, output_names: Outs, how, min_periods, ddof=1, quantile=None):
     if how not in REDUCERS or (how == "quantile") != (quantile is not None):
         raise FeatureError(f"how must be one of {REDUCERS}, with a quantile for quantile only")
-    yield {o: c.frames.roll(how, col(input_column), n, min_periods, ddof, quantile) for n, o in zip(windows, output_names, strict=True)}
+    if how in ("median", "quantile"):
+        yield {o: Slide(input_column, n, how, min_periods, 0.5 if quantile is None else quantile) for n, o in zip(windows, output_names, strict=True)}
+    else:
+        yield {o: c.frames.roll(how, col(input_column), n, min_periods, ddof) for n, o in zip(windows, output_names, strict=True)}
 
 
 @feature("temporal_shift")

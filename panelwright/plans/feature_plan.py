@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ewm import Ewm, add_ewms, scan_ewms
+from ..functions.ewm import Ewm, add_along, scan_ewms
 from ..functions.nulls import finite
 from ..functions.windows import Frames
 from ..operators.features import Feature, FeatureError
+from ..operators.features.base import Step
 from ..panel import Grain, Panel
 
 
@@ -63,9 +64,9 @@ class FeaturePipeline:
         object.__setattr__(self, "made", tuple(by))
         self.keep_features.of(self.made)
 
-    def layers(self, frames: Frames, given: Sequence[str]) -> list[dict[str, Column | Ewm]]:
+    def layers(self, frames: Frames, given: Sequence[str]) -> list[Step]:
         depth = dict.fromkeys(given, 0)
-        out: list[dict[str, Column | Ewm]] = []
+        out: list[Step] = []
         for f in self.features:
             at = max((depth[i] for i in f.inputs), default=0)
             for step in f.steps(frames):
@@ -96,10 +97,14 @@ class FeaturePipeline:
 
     def _run(self, df: DataFrame, frames: Frames, given: list[str]) -> DataFrame:
         for layer in self.layers(frames, given):
-            if plain := {k: v for k, v in layer.items() if not isinstance(v, Ewm)}:
+            if plain := {k: v for k, v in layer.items() if isinstance(v, Column)}:
                 df = df.withColumns(plain)
-            if ewms := {k: v for k, v in layer.items() if isinstance(v, Ewm)}:
-                df = (scan_ewms if self.long_entities else add_ewms)(df, ewms, frames.date, frames.entity)
+            passes = {k: v for k, v in layer.items() if not isinstance(v, Column)}
+            if self.long_entities and (ewms := {k: v for k, v in passes.items() if isinstance(v, Ewm)}):
+                df = scan_ewms(df, ewms, frames.date, frames.entity)
+                passes = {k: v for k, v in passes.items() if k not in ewms}
+            if passes:
+                df = add_along(df, passes, frames.date, frames.entity)
         return df
 
     @staticmethod

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..functions.ewm import Ewm, add_ewms
+from ..functions.ewm import Ewm, add_along
 from ..functions.nulls import finite, sdiv, slog
 from ..functions.recursion import State, along
 from ..functions.windows import REDUCERS, Frames
@@ -79,7 +79,7 @@ def batch_features(panel: Panel, specs: dict[str, Spec]) -> DataFrame:
         elif isinstance(s, Lag):
             x, before = col(s.column), frames.lag(col(s.column), s.rows)
             plain[name] = {"value": before, "difference": x - before, "simple": sdiv(x, before) - 1, "log": slog(x) - slog(before)}[s.how]
-    df = add_ewms(df.withColumns(plain), {n: s for n, s in specs.items() if isinstance(s, Ewm)}, panel.date, panel.entity)
+    df = add_along(df.withColumns(plain), {n: s for n, s in specs.items() if isinstance(s, Ewm)}, panel.date, panel.entity)
     return df.select(*panel.keys, *specs)
 
 

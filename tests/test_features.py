@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from panelwright.feature_queries import CASES
-from panelwright.functions.ewm import Ewm, add_ewms
+from panelwright.functions.ewm import Ewm, add_along
 from panelwright.operators.features import REGISTRY, Feature, FeatureError
 from panelwright.panel import Panel
 from panelwright.plans.feature_plan import FeaturePipeline, Selection, add_features
@@ -79,7 +79,7 @@ def test_ewm_matches_pandas(spark, adjust):
     try:
         rows = [(e, k, None if rng.random() < 0.3 else float(rng.normal())) for e, n in enumerate((1, 5, 60, 300, 2, 3, 120)) for k in range(n)] + [(None, 0, 1.0), (None, 1, 3.0)]
         specs = {f"{how}{least}": Ewm("x", 0.3, adjust, least, how) for how in ("mean", "var", "std") for least in (1, 4)}
-        got = add_ewms(spark.createDataFrame(rows, "e int, k int, x double").repartition(3), specs, "k", "e").toPandas().sort_values(["e", "k"])
+        got = add_along(spark.createDataFrame(rows, "e int, k int, x double").repartition(3), specs, "k", "e").toPandas().sort_values(["e", "k"])
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) == len(rows)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.functions import ranges
-from panelwright.functions.ewm import Ewm, add_ewms, in_ranges, scan_ewms
+from panelwright.functions.ewm import Ewm, add_along, in_ranges, scan_ewms
 from panelwright.functions.windows import Frames
 from panelwright.operators.alignment import broadcast_time
 from panelwright.panel import Panel
@@ -113,7 +113,7 @@ def test_scanned_weights_match_whole_entities(spark, parts):
     specs = {f"{how}{least}{adjust}": Ewm("x", 0.1, adjust, least, how) for how in ("mean", "var", "std") for least in (1, 4) for adjust in (True, False)}
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
     try:
-        got, want = (f.toPandas().sort_values("k") for f in (scan_ewms(df, specs, "k", "e", parts=parts), add_ewms(df, specs, "k", "e")))
+        got, want = (f.toPandas().sort_values("k") for f in (scan_ewms(df, specs, "k", "e", parts=parts), add_along(df, specs, "k", "e")))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     for c in specs:
