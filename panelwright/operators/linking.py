@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.ranges import numbered
+from ..functions.ranges import carried_forward, numbered
 from ..panel import Panel, PanelError, require_comparable
+from ..plans.shared import settled
+from .sweep_line import disjoint_pieces
 
 ALWAYS, OPEN = "1678-01-01", "9999-12-31"
 
@@ -92,19 +95,12 @@ class LinkTable:
             return cls(steps.select(*keys, F.col("_t").alias(target), F.col("_a").alias("valid_from"), F.col("_b").alias("valid_to")), tuple(keys), target, True)
         if back := some.filter("_b < _a").limit(5).collect():
             raise LinkError(f"windows that end before they start, e.g. {[tuple(r[k] for k in keys) for r in back]}")
-        # elementary pieces between all starts and ends of a key, each with the rows that cover it
-        edges = some.select(*keys, F.explode(F.array("_a", F.col("_b") + tick())).alias("_a")).distinct()
-        pieces = edges.withColumn("_e", F.lead("_a").over(Window.partitionBy(*keys).orderBy("_a"))).dropna(subset=["_e"])
-        held = pieces.alias("p").join(some.alias("s"), [F.col(f"p.{k}") == F.col(f"s.{k}") for k in keys] + [F.col("s._a") <= F.col("p._a"), F.col("p._a") <= F.col("s._b")])
-        pick = F.max_by if on_ambiguous == "last" else F.min_by
-        won = held.groupBy(*(F.col(f"p.{k}").alias(k) for k in keys), F.col("p._a").alias("_a"), F.col("p._e").alias("_e")).agg(pick("s._t", "s._o").alias("_t"), F.count_distinct("s._t").alias("_n"))
-        cls._refuse(won.filter("_n > 1"), keys, on_ambiguous)
-        # touching pieces of one target become one window again
-        w = Window.partitionBy(*keys).orderBy("_a")
-        new = (F.lag("_e").over(w).eqNullSafe(F.col("_a")) & F.lag("_t").over(w).eqNullSafe(F.col("_t"))).cast("int")
-        runs = won.withColumn("_new", 1 - new).withColumn("_run", F.sum("_new").over(w))
-        table = runs.groupBy(*keys, "_run").agg(F.min("_t").alias(target), F.min("_a").alias("valid_from"), (F.max("_e") - tick()).alias("valid_to")).drop("_run")
-        return cls(table, tuple(keys), target, True)
+        # preference among windows that hold at once: their order, else their place in it from the end
+        order = [F.col("_o"), F.col("_t")] if on_ambiguous != "last" else [F.col("_o").desc(), F.col("_t").desc()]
+        ranked = some.withColumn("_p", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).withColumnRenamed("_t", target)
+        pieces = settled(disjoint_pieces(ranked, keys, target), "links")
+        cls._refuse(pieces.filter("clash"), keys, on_ambiguous)
+        return cls(pieces.drop("clash"), tuple(keys), target, True)
 
     @staticmethod
     def _refuse(bad: DataFrame, keys: list[str], on_ambiguous: str) -> None:
@@ -129,12 +125,21 @@ class LinkTable:
         """``df`` with the target as ``out``: NULL where a key part is NULL or no window holds the date."""
         for a, b in zip(source_keys, self.keys, strict=True):
             require_comparable(df.schema[a].dataType, self.df.schema[b].dataType, f"{a} and {b}")
-        link = self.df.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)), F.col(self.target).alias(out), *(["valid_from", "valid_to"] if self.windowed else []))
-        on = [df[a] == link[f"_k{i}"] for i, a in enumerate(source_keys)]
-        if self.windowed:
-            at = df[date].cast("timestamp_ntz")
-            on += [link["valid_from"] <= at, at <= link["valid_to"]]
-        return df.join(link, on, "left").drop(*(f"_k{i}" for i in range(len(self.keys))), "valid_from", "valid_to")
+        places = [f"_k{i}" for i in range(len(self.keys))]
+        named = [F.col(k).alias(p) for k, p in zip(self.keys, places, strict=True)]
+        if not self.windowed:
+            link = self.df.select(*named, F.col(self.target).alias(out))
+            return df.join(link, [df[a] == link[p] for a, p in zip(source_keys, places, strict=True)], "left").drop(*places)
+        # pieces and the asked moments run through one order of (keys, time), dealt by ranges: linear in both
+        hit = F.struct(*(F.col(p) for p in places), F.col(self.target).alias("to"), "valid_to")
+        pieces = self.df.select(*named, F.col("valid_from").alias("_at"), F.lit(0).alias("_side"), self.target, "valid_to").select(*places, "_at", "_side", hit.alias("hit"))
+        asked = df.select(*(F.col(a).alias(p) for a, p in zip(source_keys, places, strict=True)), F.col(date).cast("timestamp_ntz").alias("_at")).dropna().distinct()
+        asked = asked.select(*places, "_at", F.lit(1).alias("_side"), F.lit(None).cast(pieces.schema["hit"].dataType).alias("hit"))
+        found = carried_forward(pieces.unionByName(asked), [*places, "_at", "_side"], "hit").filter("_side = 1")
+        holds = reduce(lambda x, y: x & y, (F.col(f"hit.{p}") == F.col(p) for p in places)) & (F.col("_at") <= F.col("hit.valid_to"))
+        link = found.filter(holds).select(*places, "_at", F.col("hit.to").alias(out))
+        on = [df[a] == link[p] for a, p in zip(source_keys, places, strict=True)] + [df[date].cast("timestamp_ntz") == link["_at"]]
+        return df.join(link, on, "left").drop(*places, "_at")
 
 
 def relink(panel: Panel, table: LinkTable, source_keys: Sequence[str], target: str, on_unmatched: str = "drop", on_collision: str = "error", normalize: dict[str, Normalization] | None = None) -> Panel:

@@ -148,6 +148,21 @@ def test_overlapping_windows_match_a_loop(spark, policy):
     assert all(a.key != b.key or a.valid_to < b.valid_from for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_many_windows_of_one_key(spark):
+    """Nested, chained and equal windows of one key: linear, and as a loop has it where it is asked."""
+    rng = random.Random(2)
+    n = 20_000
+    moment = lambda s: dt.datetime(2020, 1, 1) + dt.timedelta(seconds=s)
+    windows = [(1, rng.randint(0, 3), moment(i * 10), moment(i * 10 + rng.choice([5, 9, 12, 40, 100_000])), i) for i in range(n)]
+    table = LinkTable.over_time(spark.createDataFrame(windows, "key int, target int, a timestamp_ntz, b timestamp_ntz, o int"), ["key"], "target", "a", "b", "last", ["o"])
+    asks = [(i, 1, moment(rng.randint(-50, n * 10 + 200_000))) for i in range(300)]
+    got = {r.i: r.to for r in table.resolve(spark.createDataFrame(asks, "i int, key int, date timestamp_ntz"), ["key"], "date", "to").collect()}
+    for i, _, at in asks:
+        assert got[i] == next((w[1] for w in reversed(windows) if w[2] <= at <= w[3]), None)
+    spans = table.df.orderBy("valid_from").collect()
+    assert all(a.valid_to < b.valid_from and (a.target != b.target or a.valid_to + dt.timedelta(microseconds=1) < b.valid_from) for a, b in zip(spans, spans[1:], strict=False))
+
+
 def test_link_errors_and_collisions(spark):
     with pytest.raises(LinkError, match="overlap"):
         LinkTable.over_time(spark.createDataFrame([(1, 5, DAY(0), DAY(9)), (1, 6, DAY(5), DAY(12))], "k int, t int, a timestamp_ntz, b timestamp_ntz"), ["k"], "t", "a", "b")
