@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .feature_queries import PRICES_SQL, E, div, ewm_sql, lag, roll
-from .operators.factor_model import Network, Training, characteristic_importance, characteristic_sensitivity, cross_sections, dot, factor_diagnostics, factor_forecast, fit_folds, importance_summary, managed_portfolios, per_period_errors, pooled_r_squared, score_rows
+from .operators.factor_model import Network, Training, characteristic_importance, characteristic_sensitivity, cross_sections, dot, factor_diagnostics, factor_forecast, fit_folds, importance_summary, managed_portfolios, per_period_errors, pooled_r_squared, portfolio_importance, score_rows
 from .operators.residuals import gather, per_date_loss, pooled_loss, residual_panel, window_ends, windows_of
+from .operators.runs import RunTable, resume_sweep
 from .operators.tuning import aggregate_convergence, aggregate_spread, compare, failed_gates, noise_floor
 from .panel import Panel
 from .plans.config import Adapter
 from .plans.feature_plan import Feature, FeaturePipeline, add_features
-from .plans.schedule import Bounds, Split, WalkForward, fold_members, panel_dates
+from .plans.schedule import Bounds, Split, WalkForward, fold_members, panel_dates, positions
+from .plans.shared import shared_path
 from .sources.derived import prices, table
 from .sources.tables import Schema, read_csv
 
@@ -99,6 +101,23 @@ def _portfolios(spark, sf) -> DataFrame:
     return managed_portfolios(_sections(spark, sf)).select("date", D(F.col("x")[0]).alias("x0"), D(F.col("x")[1]).alias("x1"))
 
 
+@query("factor_leave_one_out", CS + f"SELECT date, {d('br / nullif(bb, 0)')} AS hl_alone, {d('ar / nullif(aa, 0)')} AS lp_alone FROM m")
+def _leave_one_out(spark, sf) -> DataFrame:
+    """The portfolios solved again without either characteristic."""
+    solved = managed_portfolios(_sections(spark, sf), leave_out=True)
+    return solved.select("date", D(F.col("without")[0][1]).alias("hl_alone"), D(F.col("without")[1][0]).alias("lp_alone"))
+
+
+@query(
+    "factor_portfolio_importance",
+    CS + ", e AS (SELECT sum((r - lp * x0 - hl * x1) ** 2) AS whole, sum((r - hl * (br / bb)) ** 2) AS no_lp, sum((r - lp * (ar / aa)) ** 2) AS no_hl, sum(r * r) AS total FROM cs JOIN x USING (date) JOIN m USING (date)) "
+    f"SELECT 'lp' AS \"column\", {d('(no_lp - whole) / total', 6)} AS importance FROM e UNION ALL SELECT 'hl', {d('(no_hl - whole) / total', 6)} FROM e",
+)
+def _portfolio_importance(spark, sf) -> DataFrame:
+    out = portfolio_importance(managed_portfolios(_sections(spark, sf), leave_out=True), ("lp", "hl"))
+    return out.select("column", D("importance", 6).alias("importance"))
+
+
 @query("factor_forecast_expanding", CS + f"SELECT date, {d('avg(x0) OVER w')} AS f0, {d('avg(x1) OVER w')} AS f1 FROM x WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def _forecast(spark, sf) -> DataFrame:
     level = factor_forecast(managed_portfolios(_sections(spark, sf)).withColumnRenamed("x", "factor"))
@@ -280,7 +299,6 @@ def _importances(spark, sf) -> DataFrame:
 @query("source_csv", "SELECT s_suppkey, s_name, CAST(s_nationkey AS INTEGER) AS s_nationkey, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END AS s_acctbal, CAST(TIMESTAMP '1995-01-01' + to_days(CAST(s_suppkey % 1000 AS INTEGER)) AS TIMESTAMP) AS opened FROM supplier")
 def _csv(spark, sf) -> DataFrame:
     """Suppliers written as CSV with decimal commas, blanks and day-first dates, and read with a declared schema."""
-    from .plans.shared import shared_path
     from .sources.tables import CsvOptions
 
     path = shared_path(spark, "suppliers")
@@ -322,3 +340,45 @@ def adapter_config(sf: str) -> dict:
 def _adapter(spark, sf) -> DataFrame:
     return Adapter.of(adapter_config(sf)).build(spark).df.select("ts", "user_id", "balance", D("mean3").alias("mean3"))
 
+
+
+# runs that resume
+
+RESUMED = WalkForward(24, 6, 12)
+#: Squared moves of a month against its level, of the dates of each fold's test range.
+MOVES_SQL = (
+    PX + ", n AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM px)), k AS (SELECT count(*) AS n FROM n), "
+    "o AS (SELECT CAST(unnest(range(CAST((n - 42) // 12 + 1 AS BIGINT))) AS INT) AS fold FROM k), "
+    "e AS (SELECT fold, date, sum((close - open) ** 2) AS sse, sum(close ** 2) AS sst FROM px JOIN n USING (date) JOIN o ON pos >= fold * 12 + 30 AND pos < fold * 12 + 42 GROUP BY fold, date) "
+)
+
+
+def _resumed(spark, sf) -> tuple[RunTable, list[Bounds]]:
+    """A run stopped after two folds, and resumed."""
+    px = prices(spark, sf)
+    folds, at = Split("walk_forward", walk_forward=RESUMED).plan(panel_dates(px)), positions(px)
+
+    def body(f: Bounds, seed: int) -> DataFrame:
+        own = at.filter((F.col("pos") >= f.test[0]) & (F.col("pos") < f.test[1])).select("date")
+        square = lambda x: F.sum(x * x)
+        rows = px.df.join(own, "date").groupBy("date")
+        return rows.agg(square(F.col("close") - F.col("open")).alias("sse_total"), square(F.col("close")).alias("sst_total"), F.lit(0.0).alias("sse_pred"), F.lit(0.0).alias("sst_pred"))
+
+    root = shared_path(spark, "run")
+    resume_sweep(RunTable(spark, root, RESUMED), folds[:2], body)
+    table = RunTable(spark, root, RESUMED)
+    resume_sweep(table, folds, body)
+    return table, folds
+
+
+@query("sweep_resumed", MOVES_SQL + f"SELECT fold, {d('1 - sum(sse) / sum(sst)', 6)} AS total_r2, count(*) AS periods FROM e GROUP BY fold")
+def _sweep_resumed(spark, sf) -> DataFrame:
+    table, _ = _resumed(spark, sf)
+    return pooled_r_squared(table.periods(), ["fold"]).select("fold", D("total_r2", 6).alias("total_r2"), "periods")
+
+
+@query("sweep_audit", MOVES_SQL + "SELECT fold, 'whole' AS state, 1 AS commits, count(*) AS rows_told, count(*) AS rows_found FROM e GROUP BY fold UNION ALL SELECT max(fold) + 1, 'open', 0, 0, 0 FROM e")
+def _sweep_audit(spark, sf) -> DataFrame:
+    """Of the resumed run, against a plan with one fold more."""
+    table, folds = _resumed(spark, sf)
+    return table.audit([*folds, Bounds(len(folds), (0, 0), (0, 0), (0, 0))])

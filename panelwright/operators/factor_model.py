@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -70,30 +71,96 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return np.asarray(col.flatten()).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def managed_portfolios(sections: DataFrame) -> DataFrame:
-    """(date, x): least-squares weights of the portfolio inputs on the returns, of smallest norm where they aren't unique.
+#: Numbers of moments that a task holds before it sends them on.
+HELD = 1 << 22
+
+
+def _moments(sections: DataFrame) -> DataFrame:
+    """(date, g, s, q): sums P'P, P'r and r'r of each task's rows of a date; a task adds up its rows before it sends them, so
+    no date's cross-section is gathered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[object, list[np.ndarray]] = {}
 
-    Tasks send the sums P'P and P'r of their rows of a date, so no date's cross-section is gathered."""
+        def flushed() -> pa.RecordBatch:
+            g, s, q = zip(*held.values(), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(list(held), kind), *(pa.array([x.ravel() for x in v], pa.list_(pa.float64())) for v in (g, s)), pa.array([float(x) for x in q])], names=["date", "g", "s", "q"])
 
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
                 continue
+            kind = b.schema.field(0).type
             codes = b.column(0).dictionary_encode()
             p, r, at = _matrix(b.column(2)), np.asarray(b.column(1)), np.asarray(codes.indices)
-            k = len(codes.dictionary)
-            gram = [(p[at == i].T @ p[at == i]).ravel() for i in range(k)]
-            side = [p[at == i].T @ r[at == i] for i in range(k)]
-            yield pa.RecordBatch.from_arrays([codes.dictionary, pa.array(gram, pa.list_(pa.float64())), pa.array(side, pa.list_(pa.float64()))], names=["date", "g", "s"])
+            order = np.argsort(at, kind="stable")
+            cuts = np.append(np.flatnonzero(np.diff(at[order], prepend=-1)), len(at))
+            for lo, hi in pairwise(cuts.tolist()):
+                own = order[lo:hi]
+                made = [p[own].T @ p[own], p[own].T @ r[own], r[own] @ r[own]]
+                key = codes.dictionary[int(at[own[0]])]
+                held[key] = [x + y for x, y in zip(held[key], made, strict=True)] if key in held else made
+            if len(held) * p.shape[1] ** 2 > HELD:
+                yield flushed()
+                held.clear()
+        if held:
+            yield flushed()
+
+    kind = sections.schema["date"].dataType.simpleString()
+    return sections.select("date", "r", "p").mapInArrow(run, f"date {kind}, g array<double>, s array<double>, q double")
+
+
+def _solved(g: np.ndarray, s: np.ndarray) -> np.ndarray:
+    return np.linalg.pinv(g, rcond=1e-10, hermitian=True) @ s
+
+
+def left_out(g: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Row k: the least-squares weights without column k, 0 at its place. Where P'P has an inverse all rows come from it by
+    one downdate each; else each is solved for the smallest norm."""
+    k = len(s)
+    values = np.linalg.eigvalsh(g) if k else np.zeros(0)
+    if k and values[0] > 1e-10 * values[-1]:
+        inverse = np.linalg.inv(g)
+        out = (inverse @ s)[None] - (inverse * ((inverse @ s) / np.diag(inverse))[None]).T
+        np.fill_diagonal(out, 0.0)
+        return out
+    out = np.zeros((k, k))
+    for i in range(k):
+        rest = np.delete(np.arange(k), i)
+        out[i, rest] = _solved(g[np.ix_(rest, rest)], s[rest])
+    return out
+
+
+def managed_portfolios(sections: DataFrame, leave_out: bool = False) -> DataFrame:
+    """(date, x): least-squares weights of the portfolio inputs on the returns, of smallest norm where they aren't unique.
+    With ``leave_out`` also ``without``: for each portfolio column the weights solved again as if it were 0, and ``explained``
+    and ``explained_without``, what each solution explains of the returns' square sum ``total``. All of it comes from the same
+    sums, in one pass over the rows."""
 
     def solve(t: pa.Table) -> pa.Table:
         g, s = np.sum(t["g"].to_pylist(), axis=0), np.sum(t["s"].to_pylist(), axis=0)
-        x = np.linalg.pinv(g.reshape(len(s), len(s)), rcond=1e-10, hermitian=True) @ s
-        return pa.table({"date": t["date"].slice(0, 1), "x": pa.array([x], pa.list_(pa.float64()))})
+        g = g.reshape(len(s), len(s))
+        x = _solved(g, s)
+        made = {"date": t["date"].slice(0, 1), "x": pa.array([x], pa.list_(pa.float64()))}
+        if leave_out:
+            others = left_out(g, s)
+            one = lambda w: float(2 * (w @ s) - w @ g @ w)
+            made["without"] = pa.array([others.tolist()], pa.list_(pa.list_(pa.float64())))
+            made["total"] = pa.array([float(np.sum(t["q"].to_numpy()))])
+            made["explained"] = pa.array([one(x)])
+            made["explained_without"] = pa.array([[one(w) for w in others]], pa.list_(pa.float64()))
+        return pa.table(made)
 
     kind = sections.schema["date"].dataType.simpleString()
-    parts = sections.select("date", "r", "p").mapInArrow(moments, f"date {kind}, g array<double>, s array<double>")
-    return parts.groupBy("date").applyInArrow(solve, f"date {kind}, x array<double>")
+    more = ", without array<array<double>>, total double, explained double, explained_without array<double>" if leave_out else ""
+    return _moments(sections).groupBy("date").applyInArrow(solve, f"date {kind}, x array<double>{more}")
+
+
+def portfolio_importance(solved: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, importance): the pooled R2 that the regression portfolios lose when one of their characteristics is 0 and
+    they are solved again; ``solved`` is ``managed_portfolios(..., leave_out=True)``."""
+    each = solved.select("total", "explained", F.posexplode("explained_without").alias("k", "rest"))
+    names = F.array(*map(F.lit, columns))
+    return each.groupBy(F.element_at(names, F.col("k") + 1).alias("column")).agg(sdiv(F.sum(F.col("explained") - F.col("rest")), F.sum("total")).alias("importance"))
 
 
 @dataclass(frozen=True)
@@ -347,13 +414,16 @@ def characteristic_sensitivity(rows: DataFrame, net: Network, fit: Fit, columns:
     return parts.groupBy("fold", "column").agg((F.sum("total") / F.sum("n")).alias("importance"))
 
 
-def characteristic_importance(rows: DataFrame, net: Network, fit: Fit, columns: Sequence[str]) -> DataFrame:
-    """(fold, column, importance): the R2 that each fold's test rows lose with one characteristic set to 0."""
+def characteristic_importance(rows: DataFrame, net: Network, fit: Fit, columns: Sequence[str], portfolio_columns: Sequence[str] = ()) -> DataFrame:
+    """(fold, column, importance): the R2 that each fold's test rows lose with one characteristic set to 0. A characteristic
+    that is among the ``portfolio_columns`` is 0 in the portfolios, too: ``rows`` then have ``without``, the portfolios solved
+    again without each of these columns."""
     number = len(columns)
     zeroed = lambda k: F.concat(F.slice("z", 1, k), F.array(F.lit(0.0)), F.slice("z", k + 2, number - k - 1))
-    copies = [F.struct(F.lit(None).cast("string").alias("column"), F.col("z").alias("z"))]
-    copies += [F.struct(F.lit(c).alias("column"), zeroed(k).alias("z")) for k, c in enumerate(columns)]
-    many = rows.filter("part = 'test'").select("fold", "r", "x", F.inline(F.array(*copies)))
+    again = {c: F.element_at("without", i + 1) for i, c in enumerate(portfolio_columns)}
+    copies = [F.struct(F.lit(None).cast("string").alias("column"), F.col("z").alias("z"), F.col("x").alias("x"))]
+    copies += [F.struct(F.lit(c).alias("column"), zeroed(k).alias("z"), again.get(c, F.col("x")).alias("x")) for k, c in enumerate(columns)]
+    many = rows.filter("part = 'test'").select("fold", "r", F.inline(F.array(*copies)))
     scored = score_rows(many, net, fit, ("fold", "r", "column"))
     e = F.col("r") - dot(F.col("beta"), F.col("factor"))
     r2 = scored.groupBy("fold", "column").agg((1 - sdiv(F.sum(e * e), F.sum(F.col("r") * F.col("r")))).alias("r2"))

@@ -45,11 +45,26 @@ def windows_of(residuals: DataFrame, folds: Sequence[Bounds], seq_len: int, stri
     return out.select("fold", "part", "entity", "date", "pos", *(["target"] if horizon is not None else []))
 
 
-def gather(residuals: DataFrame, ends: DataFrame, seq_len: int) -> DataFrame:
-    """``ends`` with ``seq``, the last ``seq_len`` residuals, oldest first; made only for the windows asked for."""
+def series_blocks(residuals: DataFrame, size: int = 256) -> DataFrame:
+    """(entity, block, values, before): each entity's series once, in arrays of ``size`` periods with NULL for gaps, and
+    beside each the array of the block before it."""
     rows = with_positions(residuals.filter("u is not null and not isnan(u)"))
-    w = Window.partitionBy("entity").orderBy("pos").rowsBetween(-(seq_len - 1), 0)
-    return ends.join(rows.select("entity", "pos", F.collect_list("u").over(w).alias("seq")), ["entity", "pos"])
+    cells = rows.groupBy("entity", F.floor(F.col("pos") / size).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("pos") % size).cast("int").alias("i"), "u"))).alias("at"))
+    whole = cells.select("entity", "block", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.try_element_at("at", i)).alias("values"))
+    w = Window.partitionBy("entity").orderBy("block")
+    before = F.when(F.lag("block").over(w) == F.col("block") - 1, F.lag("values").over(w))
+    return whole.withColumn("before", F.coalesce(before, F.array_repeat(F.lit(None).cast("double"), size)))
+
+
+def gather(residuals: DataFrame, ends: DataFrame, seq_len: int) -> DataFrame:
+    """``ends`` (of ``window_ends``, so without gaps) with ``seq``, the last ``seq_len`` residuals, oldest first. A window is
+    its entity and its end; its values are cut from one or two neighbouring blocks of the series when they are asked for, so
+    what is kept doesn't grow with ``seq_len``."""
+    size = max(seq_len, 256)
+    blocks = series_blocks(residuals, size)
+    asked = ends.withColumn("block", F.floor(F.col("pos") / size))
+    last = (size + F.col("pos") % size + 1).cast("int")
+    return asked.join(blocks, ["entity", "block"]).withColumn("seq", F.slice(F.concat("before", "values"), last - seq_len + 1, F.lit(seq_len))).drop("block", "before", "values")
 
 
 def per_date_loss(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -254,6 +254,98 @@ def test_importance_is_the_r2_lost(spark):
     assert score_rows(rows, net, fit, ("fold",)).count() == 60
 
 
+@pytest.mark.parametrize("singular", [False, True])
+def test_portfolios_without_each_column(spark, singular):
+    from panelwright.operators.factor_model import Fit, characteristic_importance, portfolio_importance
+
+    rng = np.random.default_rng(4)
+    made = []
+    for day in range(4):
+        p = rng.normal(size=(30, 4))
+        if singular:
+            p[:, 3] = p[:, 1] + (p[:, 2] if day % 2 else 0)
+        made += [(DAY(day), i, float(rng.normal() + row[0]), row.tolist(), row.tolist()) for i, row in enumerate(p)]
+    sections = spark.createDataFrame(made, "date timestamp_ntz, entity int, r double, z array<double>, p array<double>").repartition(5)
+    solved = {r.date: r for r in managed_portfolios(sections, leave_out=True).collect()}
+    lost, total = np.zeros(4), 0.0
+    for day in range(4):
+        p, r = (np.array([m[k] for m in made if m[0] == DAY(day)]) for k in (4, 2))
+        got = solved[DAY(day)]
+        fit = lambda p: np.linalg.lstsq(p, r, rcond=1e-8)[0]  # noqa: B023, E731
+        assert got.x == pytest.approx(fit(p), abs=1e-7)
+        total += r @ r
+        for k in range(4):
+            q = p.copy()
+            q[:, k] = 0
+            assert got.without[k] == pytest.approx(fit(q), abs=1e-7)
+            lost[k] += ((r - q @ fit(q)) ** 2).sum() - ((r - p @ fit(p)) ** 2).sum()
+    found = {r.column: r.importance for r in portfolio_importance(managed_portfolios(sections, leave_out=True), "abcd").collect()}
+    assert [found[c] for c in "abcd"] == pytest.approx(lost / total, abs=1e-8)
+
+    net = Network(4, 4, 2, (3,))
+    theta = {0: rng.normal(size=net.size)}
+    rows = sections.join(managed_portfolios(sections, leave_out=True).select("date", "x", "without"), "date").select(F.lit(0).alias("fold"), F.lit("test").alias("part"), "r", "z", "x", "without")
+    for r in characteristic_importance(rows, net, Fit(theta), "abcd", "abcd").collect():
+        k = "abcd".index(r.column)
+        score = {}
+        for zero in (None, k):
+            sse = sst = 0.0
+            for m in made:
+                z = np.array([[0.0 if i == zero else v for i, v in enumerate(m[3])]])
+                x = solved[m[0]].x if zero is None else solved[m[0]].without[k]
+                beta, factor, _ = net.forward(theta[0], z, np.array([x]))
+                sse, sst = sse + (m[2] - (beta * factor).sum()) ** 2, sst + m[2] ** 2
+            score[zero] = 1 - sse / sst
+        assert r.importance == pytest.approx(score[None] - score[k])
+
+
+def test_windows_are_cut_from_blocks(spark):
+    from panelwright.operators.residuals import gather, series_blocks, window_ends
+
+    rng = random.Random(5)
+    rows = [(DAY(t), e, rng.random()) for e in range(3) for t in range(700) if rng.random() < 0.98]
+    u = spark.createDataFrame(rows, "date timestamp_ntz, entity int, u double")
+    value = {(d, e): x for d, e, x in rows}
+    for seq in (1, 7, 40, 300):
+        got = gather(u, window_ends(u, seq).select("entity", "date", "pos"), seq).collect()
+        assert len(got) == sum(all((DAY(t - k), e) in value for k in range(seq)) for e in range(3) for t in range(700))
+        assert all(r.seq == [value[r.date - dt.timedelta(days=k), r.entity] for k in range(seq - 1, -1, -1)] for r in got)
+    sizes = [r.n for r in series_blocks(u).groupBy("entity").agg(F.sum(F.size("values")).alias("n")).collect()]
+    assert max(sizes) <= 700 + 256
+
+
+def test_runs_resume_where_they_stopped(spark, tmp_path):
+    from panelwright.operators.runs import RunError, RunTable, resume_sweep
+
+    folds, ran = [Bounds(k, (0, 1), (1, 2), (2, 3)) for k in range(4)], []
+
+    def body(f, seed):
+        ran.append(f.fold)
+        if f.fold == 2 and ran.count(2) == 1:
+            raise ValueError("killed")
+        return spark.createDataFrame([(DAY(f.fold), 1.0 + f.fold, 4.0, 0.0, 0.0)], "date timestamp_ntz, sse_total double, sst_total double, sse_pred double, sst_pred double")
+
+    root = str(tmp_path / "run")
+    with pytest.raises(RunError, match="no committed"):
+        RunTable(spark, root, {"a": 1}).periods()
+    with pytest.raises(ValueError, match="killed"):
+        resume_sweep(RunTable(spark, root, {"a": 1}), folds, body)
+    # half-written data without a record are never read
+    spark.createDataFrame([(9,)], "fold int").write.parquet(f"{root}/data/2-half")
+    table = RunTable(spark, root, {"a": 1})
+    assert {r.fold: r.state for r in table.audit(folds).collect()} == {0: "whole", 1: "whole", 2: "open", 3: "open"}
+    out = resume_sweep(table, folds, body)
+    assert ran == [0, 1, 2, 2, 3]
+    assert {r.fold: r.status for r in out.summary.collect()} == {0: "kept", 1: "kept", 2: "completed", 3: "completed"}
+    assert out.pooled().first().total_r2 == pytest.approx(1 - 10 / 16)
+    resume_sweep(RunTable(spark, root, {"a": 1}), folds, body)
+    assert ran == [0, 1, 2, 2, 3]
+    with pytest.raises(RunError, match="another configuration"):
+        RunTable(spark, root, {"a": 2})
+    spark.createDataFrame([(DAY(7), 1.0, 1.0, 0.0, 0.0, 0)], "date timestamp_ntz, sse_total double, sst_total double, sse_pred double, sst_pred double, fold int").write.mode("append").parquet(table.folds().filter("fold = 0").first().data)
+    assert {r.fold: r.state for r in table.audit(folds[:3]).collect()} == {0: "short", 1: "whole", 2: "whole", 3: "unplanned"}
+
+
 def test_parquet_sources_hold_to_their_schema(spark, tmp_path):
     from panelwright.panel import PanelError
     from panelwright.sources.tables import MissingColumns, Schema, read_parquet
