@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.taskcontext import TaskContext
 
-from ..plans.shared import shared_folder
+from ..plans.shared import kept_partitions
 from .recursion import State, Stretch, along, joined, one_summary, passed
 from .sliding import Slide
 
@@ -91,12 +91,9 @@ def add_along(df: DataFrame, specs: dict[str, Ewm | Slide], date: str, entity: s
 
 def in_ranges(df: DataFrame, *order: str, parts: int | None = None) -> DataFrame:
     """``df`` dealt and sorted by ranges of ``order`` and kept so: the same rows are in the same partitions at every use."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
     keys = [F.col(f"`{c}`") for c in order]
     dealt = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
-    return dealt.sortWithinPartitions(*keys).checkpoint()
+    return kept_partitions(dealt.sortWithinPartitions(*keys))
 
 
 def _runs(column: pa.ChunkedArray | pa.Array) -> np.ndarray:

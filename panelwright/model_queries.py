@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .feature_queries import PRICES_SQL, E, div, ewm_sql, lag, roll
-from .operators.factor_model import Network, Training, characteristic_importance, characteristic_sensitivity, cross_sections, dot, factor_diagnostics, factor_forecast, fit_folds, importance_summary, managed_portfolios, per_period_errors, pooled_r_squared, portfolio_importance, score_rows
+from .operators.factor_model import Network, Training, characteristic_importance, characteristic_sensitivity, cross_sections, dot, factor_diagnostics, factor_forecast, fit_batches, fit_folds, importance_summary, managed_portfolios, per_period_errors, pooled_r_squared, portfolio_importance, score_rows
 from .operators.residuals import gather, per_date_loss, pooled_loss, residual_panel, window_ends, windows_of
 from .operators.runs import RunTable, resume_sweep
 from .operators.tuning import aggregate_convergence, aggregate_spread, compare, failed_gates, noise_floor
@@ -189,6 +189,15 @@ def _sweep(spark, sf) -> DataFrame:
     return pooled_r_squared(per_period_errors(scored, ["fold"]), ["fold"]).select("fold", "total_r2", "pred_r2", "periods")
 
 
+@query("factor_batch_training")
+def _batches(spark, sf) -> DataFrame:
+    """The best validation R2 of every fold, trained in batches of periods, and the pass that gave it."""
+    rows = fold_rows(spark, sf).filter("part <> 'test'")
+    fit = fit_batches(rows, Network(3, 2, 2, (4,)), Training(epochs=4))
+    history = spark.createDataFrame([(h["fold"], h["epoch"], float(h["score"])) for h in fit.history], "fold int, pass int, score double")
+    return history.groupBy("fold").agg(D(F.max("score"), 3).alias("score"), F.count("*").alias("passes"))
+
+
 @query("factor_characteristic_importance")
 def _importance(spark, sf) -> DataFrame:
     return characteristic_importance(*_trained(spark, sf), ("lp", "hl", "cp"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import pairwise
+from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,7 @@ from ..functions.ewm import Ewm, add_along
 from ..functions.nulls import finite, sdiv
 from ..functions.windows import Frames
 from ..panel import Panel
+from ..plans.shared import kept_partitions
 
 
 class ModelError(ValueError):
@@ -247,6 +248,17 @@ class Training:
     seed: int = 42
     seed_per_fold: bool = False
 
+    def step(self, net: Network, theta: np.ndarray, m: np.ndarray, v: np.ndarray, g: np.ndarray, number: int, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Parameters and moments after the Adam step of that number (from 1)."""
+        if self.l1_mode == "subgradient":
+            g = g + self.l1 * np.sign(theta) * net.weights()
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        move = rate * (m / (1 - 0.9**number)) / (np.sqrt(v / (1 - 0.999**number)) + 1e-8)
+        new = theta * (1 - rate * self.decay) - move
+        if self.l1_mode == "proximal" and self.l1:
+            new = np.where(net.weights(), np.sign(new) * np.maximum(np.abs(new) - rate * self.l1, 0), new)
+        return new, m, v
+
 
 @dataclass
 class Fit:
@@ -306,19 +318,107 @@ def fit_folds(rows: DataFrame, net: Network, how: Training = Training()) -> Fit:
                 open_.discard(f)
                 continue
             g = grad[:-3] / n
-            if how.l1_mode == "subgradient":
-                g = g + how.l1 * np.sign(theta[f]) * net.weights()
-            m[f], v[f] = 0.9 * m[f] + 0.1 * g, 0.999 * v[f] + 0.001 * g * g
-            rate = how.rate * how.gamma ** (epoch - 1)
-            step = rate * (m[f] / (1 - 0.9**epoch)) / (np.sqrt(v[f] / (1 - 0.999**epoch)) + 1e-8)
-            new = theta[f] * (1 - rate * how.decay) - step
-            if how.l1_mode == "proximal" and how.l1:
-                new = np.where(net.weights(), np.sign(new) * np.maximum(np.abs(new) - rate * how.l1, 0), new)
-            theta[f] = new
+            theta[f], m[f], v[f] = how.step(net, theta[f], m[f], v[f], g, epoch, how.rate * how.gamma ** (epoch - 1))
     fit.theta, fit.best_epoch = {f: best[f][1] for f in folds}, best_at
     return fit
 
 
+def fit_batches(rows: DataFrame, net: Network, how: Training = Training(), batch_periods: int = 4, lanes: int = 4) -> Fit:
+    """As ``fit_folds``, in steps on batches of whole periods: ``rows`` are (fold, part, date, entity, r, z, x).
+
+    A fold's periods are dealt to ``lanes`` by a hash of the date and stay there. In every pass each lane starts from the
+    fold's parameters and moments, goes through its periods in an order drawn from seed and epoch, takes a step a
+    ``batch_periods``, and the lanes' results are averaged by their rows. A lane's rows stream through its task; it holds one
+    batch of periods. What comes back is a few vectors a lane, added up in the lanes' order, so reruns agree whatever the
+    partitioning."""
+    if how.l1_mode not in ("proximal", "subgradient") or batch_periods < 1 or lanes < 1:
+        raise ModelError("l1_mode must be proximal or subgradient; batches and lanes are at least one")
+    day = F.xxhash64(F.lit(how.seed), F.col("date").cast("string")).alias("day")
+    slim = rows.select("fold", (F.col("part") == "train").alias("train"), day, "entity", "r", "z", "x")
+    lane = F.pmod(F.col("day"), F.lit(lanes)).cast("int")
+    dealt = kept_partitions(slim.withColumn("lane", lane).repartition("fold", "lane"))
+    folds = [r["fold"] for r in dealt.select("fold").distinct().orderBy("fold").collect()]
+    theta = {f: net.start(how.seed + (f if how.seed_per_fold else 0)) for f in folds}
+    best, best_at = {f: (-np.inf, theta[f]) for f in folds}, dict.fromkeys(folds, 0)
+    m, v, steps = {f: np.zeros(net.size) for f in folds}, {f: np.zeros(net.size) for f in folds}, dict.fromkeys(folds, 0)
+    fit, open_ = Fit({}), set(folds)
+    for epoch in range(1, how.epochs + 1):
+        if not open_:
+            break
+        sent = rows.sparkSession.sparkContext.broadcast({f: (theta[f], m[f], v[f], steps[f]) for f in open_})
+        rate = how.rate * how.gamma ** (epoch - 1)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:
+            for (f, lane), parts in groupby(_periods(batches), key=lambda p: p[0]):
+                if f not in sent.value:
+                    continue
+                start, m1, v1, done = sent.value[f]
+                now, k = start, done
+                errors, held = np.zeros((2, 3)), []  # of train and validation rows, as in fit_folds
+
+                def stepped() -> None:
+                    nonlocal now, m1, v1, k
+                    r, z, x = (np.concatenate(c) for c in zip(*held, strict=True))
+                    g, _ = net.gradient(now, z, x, r)
+                    k += 1
+                    now, m1, v1 = how.step(net, now, m1, v1, g / len(r), k, rate)
+                    held.clear()
+
+                for _, train, r, z, x in parts:
+                    _, sse = net.gradient(start, z, x, r)
+                    errors[0 if train else 1] += sse, r @ r, len(r)
+                    if train:
+                        held.append((r, z, x))
+                        if len(held) == batch_periods:
+                            stepped()
+                if held:
+                    stepped()
+                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([lane], pa.int32()), pa.array([k - done], pa.int32()), pa.array([errors.ravel()], pa.list_(pa.float64())), *(pa.array([a], pa.list_(pa.float64())) for a in (now, m1, v1))], names=["fold", "lane", "steps", "errors", "theta", "m", "v"])
+
+        order = ["fold", "lane", F.xxhash64(F.lit(epoch), "day"), "day", "train", "entity"]
+        parts = dealt.sortWithinPartitions(*order).mapInArrow(run, "fold int, lane int, steps int, errors array<double>, theta array<double>, m array<double>, v array<double>")
+        back = sorted(parts.collect(), key=lambda r: (r["fold"], r["lane"]))  # a row a fold and lane
+        sent.unpersist()
+        for f in sorted(open_):
+            own = [r for r in back if r["fold"] == f]
+            (sse, sst, _), (val_sse, val_sst, _) = np.sum([r["errors"] for r in own], axis=0).reshape(2, 3)
+            score = 1 - (val_sse / val_sst if val_sst > 0 else sse / sst)
+            fit.history.append({"fold": f, "epoch": epoch, "train_r2": 1 - sse / sst, "score": score})
+            if score > best[f][0] + how.min_delta:
+                best[f], best_at[f] = (score, theta[f].copy()), epoch
+            elif epoch - best_at[f] >= how.patience:
+                open_.discard(f)
+                continue
+            share = np.array([r["errors"][2] for r in own])
+            share = share / share.sum()
+            theta[f], m[f], v[f] = (sum(w * np.array(r[c]) for w, r in zip(share, own, strict=True)) for c in ("theta", "m", "v"))
+            steps[f] += max(r["steps"] for r in own)
+    fit.theta, fit.best_epoch = {f: best[f][1] for f in folds}, best_at
+    return fit
+
+
+def _periods(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """((fold, lane), train, r, z, x) of each period's rows, in the order they come."""
+    held: list[tuple] = []
+    last = None
+    for b in batches:
+        if not len(b):
+            continue
+        fold, train, r, lane = (np.asarray(b.column(i).to_numpy(zero_copy_only=False)) for i in (0, 1, 4, 7))
+        date = np.asarray(b.column(2))
+        z, x = _matrix(b.column(5)), _matrix(b.column(6))
+        change = (np.diff(fold) != 0) | (np.diff(lane) != 0) | (np.diff(date) != 0) | (train[1:] != train[:-1])
+        for lo, hi in pairwise([0, *(np.flatnonzero(change) + 1).tolist(), len(b)]):
+            key = (int(fold[lo]), int(lane[lo]), int(date[lo]), bool(train[lo]))
+            if held and key != last:
+                yield last[:2], last[3], *(np.concatenate(c) for c in zip(*held, strict=True))
+                held = []
+            held.append((r[lo:hi], z[lo:hi], x[lo:hi]))
+            last = key
+    if held:
+        yield last[:2], last[3], *(np.concatenate(c) for c in zip(*held, strict=True))
+
+
 def score_rows(rows: DataFrame, net: Network, fit: Fit, keep: Sequence[str] = ("fold", "part", "date", "entity", "r")) -> DataFrame:
     """``keep`` and, from each row's fold, beta and factor."""
     sent = rows.sparkSession.sparkContext.broadcast(fit.theta)

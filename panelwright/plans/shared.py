@@ -29,3 +29,11 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept_partitions(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder: the same rows are in the same partitions at every use."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

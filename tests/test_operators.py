@@ -438,6 +438,28 @@ def test_autoencoder_gradient_and_fit(spark):
         fit_folds(df, one, Training(l1_mode="other"))
 
 
+def test_batches_of_periods_learn_in_fewer_passes(spark):
+    from panelwright.operators.factor_model import fit_batches
+
+    rng = np.random.default_rng(7)
+    rows = []
+    for day in range(80):
+        f = rng.normal()
+        for e in range(12):
+            z = rng.normal(size=3)
+            rows.append((day % 2, "train" if day < 60 else "val", DAY(day), e, float((z[0] - 0.5 * z[1]) * f + 0.1 * rng.normal()), z.tolist(), [f, f * f]))
+    df = spark.createDataFrame(rows, "fold int, part string, date timestamp_ntz, entity int, r double, z array<double>, x array<double>")
+    net = Network(3, 2, 1)
+    best = lambda fit: [max(h["score"] for h in fit.history if h["fold"] == f) for f in (0, 1)]
+    whole = best(fit_folds(df.persist(), net, Training(epochs=60, rate=0.1, patience=60)))
+    fit = fit_batches(df.repartition(3), net, Training(epochs=12, rate=0.1, patience=12), batch_periods=1, lanes=2)
+    assert all(a > b - 0.02 for a, b in zip(best(fit), whole, strict=True)), (best(fit), whole)
+    again = fit_batches(df.repartition(7), net, Training(epochs=12, rate=0.1, patience=12), batch_periods=1, lanes=2)
+    assert all(np.array_equal(fit.theta[f], again.theta[f]) for f in (0, 1))
+    with pytest.raises(ModelError):
+        fit_batches(df, net, lanes=0)
+
+
 def test_column_sets(spark):
     panel = Panel(spark.createDataFrame([], "date timestamp_ntz, entity long, b double, r double, a double, later double"), "date", "entity")
     assert column_sets(panel, "r", ["later"]) == (["b", "a"], ["b", "a"])
