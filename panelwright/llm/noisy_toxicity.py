@@ -7,8 +7,9 @@ the words of the text. Compatibility forms (full-width, mathematical and circled
 characters dropped beforehand.
 
 Decoded are tokens and stretches that look disguised (look-alikes or several marks among letters, long runs, stretches of
-single characters), and pieces of words with one mark or blank between them that spell a lexicon word if it is left out:
-there the decoder decides whether they are one word or several. Each distinct candidate is decoded once a pass.
+single characters), pieces of words with marks or blanks between them that spell a lexicon word if these are left out, and
+words with repeated letters that are a lexicon word but for the repeats: there the decoder decides whether they are one word
+or several, and which. Each distinct candidate is decoded once a pass.
 
 Lexicon and score are learned from at most ``max_train`` labelled rows, picked by a hash of the id, each distinct text
 once: the lexicon are words far more frequent in toxic texts, and a logistic model of lexicon evidence gives the score.
@@ -16,7 +17,8 @@ The language model counts the words of all texts, without labels, in a hashed ta
 up).
 
 Null and empty texts have no evidence and get the score of a text without lexicon words. Rows are scored one by one, so
-repeated rows get equal scores; without any label all scores are 0.
+repeated rows get equal scores; without any label all scores are 0. Other columns take no part. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -62,8 +64,6 @@ BLANKS = str.maketrans("\t\n\v\f\r", "     ")
 #: First bytes of the scripts whose letters may be look-alikes.
 FOREIGN = np.zeros(256, dtype=bool)
 FOREIGN[[0xCE, 0xCF, 0xD0, 0xD1]] = True
-#: Bytes of the longest word that the lexicon learns, and most pieces that one is put together from.
-LONGEST, PIECES = 24, 4
 #: Cells of each of the two rows of the language model's table, and parts of its whole-number weights.
 CELLS, PARTS = 1 << 21, 1024
 GOLD, MASK = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
@@ -197,9 +197,14 @@ def folded(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return LOWER[buf], offs
 
 
-def pieced(low: np.ndarray, offs: np.ndarray, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end) of up to PIECES runs of letters, one mark or blank between two, that spell a lexicon word and are
-    not bound to more letters by a mark."""
+def known(lexicon: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes a sorted array holds."""
+    return lexicon[np.minimum(np.searchsorted(lexicon, h), len(lexicon) - 1)] == h if len(lexicon) else np.zeros(len(h), dtype=bool)
+
+
+def pieced(low: np.ndarray, offs: np.ndarray, lexicon: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of two or more runs of letters, anything but letters and digits between two, that spell a word of the
+    lexicon (of ``longest`` bytes at most) and are not bound to more letters by a mark."""
     starts, ends, before = spans(low, offs, LETTER)
     rows = word_rows(before)
     none = np.zeros(0, dtype=np.int64)
@@ -208,18 +213,43 @@ def pieced(low: np.ndarray, offs: np.ndarray, lexicon: np.ndarray) -> tuple[np.n
     letters = low[LETTER[low]]
     stop = np.cumsum(ends - starts)
     begin = stop - (ends - starts)
-    near = (starts[1:] - ends[:-1] == 1) & GAP[low[ends[:-1]]] & (rows[1:] == rows[:-1])
+    digits = np.concatenate([[0], np.cumsum((low >= 48) & (low <= 57), dtype=np.int32)])
+    near = (digits[starts[1:]] == digits[ends[:-1]]) & (rows[1:] == rows[:-1])
     bound = np.concatenate([[False], near & BINDING[low[ends[:-1]]], [False]])  # to the run before
     first, found = np.flatnonzero(near & ~bound[:-2]), [(none, none, none)]
-    for k in range(1, PIECES):
+    k = 0
+    while len(first):  # until every stretch is longer than the longest word
+        k += 1
         first = first[first + k < len(starts)]
-        first = first[near[first + k - 1] & (stop[first + k] - begin[first] <= LONGEST)]
-        h = hashes(letters, begin[first], stop[first + k])
-        hit = first[~bound[first + k + 1] & (lexicon[np.minimum(np.searchsorted(lexicon, h), len(lexicon) - 1)] == h)]
+        first = first[near[first + k - 1] & (stop[first + k] - begin[first] <= longest)]
+        hit = first[~bound[first + k + 1]]
+        hit = hit[known(lexicon, hashes(letters, begin[hit], stop[hit + k]))]
         found.append((rows[hit], starts[hit], ends[hit + k]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def single_letters(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words that repeat an ASCII letter, and the hash of each with every run of one letter as one letter."""
+    again = np.zeros(len(low), dtype=bool)
+    if len(low) > 1:
+        again[1:] = (low[1:] == low[:-1]) & (low[1:] >= 97) & (low[1:] <= 122)
+    again[starts] = False
+    tally = np.concatenate([[0], np.cumsum(again, dtype=np.int64)])
+    some = np.flatnonzero(tally[ends] > tally[starts])
+    once = low[~again]
+    return some, hashes(once, starts[some] - tally[starts[some]], ends[some] - tally[ends[some]])
+
+
+def repeated(low: np.ndarray, offs: np.ndarray, lexicon: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of runs of letters with repeats that aren't in the lexicon but are a word of it but for repeats;
+    ``plain`` are the sorted hashes of its words with every run of one letter as one letter."""
+    starts, ends, before = spans(low, offs, LETTER)
+    some, h = single_letters(low, starts, ends)
+    some = some[known(plain, h)]
+    some = some[~known(lexicon, hashes(low, starts[some], ends[some]))]
+    return word_rows(before)[some], starts[some], ends[some]
+
+
 def disguised(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end) of what may hide a word: tokens with look-alikes or marks among letters or with long runs, and
     stretches of single characters."""
@@ -262,6 +292,9 @@ class Machine:
     table: np.ndarray = field(default_factory=lambda: np.zeros(2 * CELLS, dtype=np.float32))
     beta: np.ndarray = field(default_factory=lambda: np.array([-50.0, 0.0, 0.0, 0.0]))
 
+    plain: np.ndarray | None = None
+    longest: int = 0
+
     def __getstate__(self):
         return {**self.__dict__, "model": None}
 
@@ -277,7 +310,11 @@ class Machine:
         starts, ends, before = spans(low, offs, ALNUM)
         rows, words = word_rows(before), np.diff(before)
         h = hashes(low, starts, ends)
-        row, start, end = (np.concatenate(x) for x in zip(disguised(low, offs), pieced(low, offs, self.lexicon), strict=True))
+        if self.plain is None:
+            self.plain = np.unique(bag([re.sub(r"([a-z])\1+", r"\1", w) for w in self.names]))
+            self.longest = max((len(w.encode()) for w in self.names), default=0)
+        spelled = pieced(low, offs, self.lexicon, self.longest), repeated(low, offs, self.lexicon, self.plain)
+        row, start, end = (np.concatenate(x) for x in zip(disguised(low, offs), *spelled, strict=True))
         if len(row):
             _, some, which = np.unique(hashes(low, start, end), return_index=True, return_inverse=True)
             clean = self.restored([low[start[i] : end[i]].tobytes().decode("utf-8", "replace") for i in some])
@@ -300,7 +337,7 @@ class Machine:
 
 
 def _word_sets(rows: DataFrame) -> DataFrame:
-    """(y, word) once for each row and word of letters of at most LONGEST bytes."""
+    """(y, word) once for each row and word of letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,8 +346,6 @@ def _word_sets(rows: DataFrame) -> DataFrame:
                 low, offs = folded(buf, offs)
                 starts, ends, before = spans(low, offs, LETTER)
                 row = word_rows(before)
-                short = ends - starts <= LONGEST
-                starts, ends, row = starts[short], ends[short], row[short]
                 key = np.stack([row.astype(np.uint64), hashes(low, starts, ends)])
                 _, some = np.unique(key, axis=1, return_index=True)
                 words = pa.array([low[starts[i] : ends[i]].tobytes().decode("utf-8", "replace") for i in some], pa.string())

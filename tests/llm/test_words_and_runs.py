@@ -277,3 +277,62 @@ def test_query_matches_sql(spark, name):
     assert cols == sorted(sql.columns)
     rows = lambda r: sorted(map(repr, r))
     assert rows(tuple(r) for r in df.select(*cols).collect()) == rows(sql.select(*(f'"{c}"' for c in cols)).fetchall())
+
+
+# candidates of disguised words
+
+
+def test_candidates_match_brute_force():
+    from panelwright.llm import noisy_toxicity as nt
+
+    rng = random.Random(3)
+    names = ["moron", "stupid", "looser", "aab", "é" * 3 + "b"]
+    lexicon = np.sort(nt.bag(names))
+    plain = np.unique(nt.bag([re.sub(r"([a-z])\1+", r"\1", w) for w in names]))
+    parts = ["mo", "ron", "m", "o", "r", "n", "stu", "pid", "s", "tupid", "loo", "ser", "lo", "sser", "aa", "b", "ab", "x", "é", "éé", "mor", "on", "7"]
+    gaps = [" ", "  ", ".", "..", "-", "--", "#", "[", "", " 7 ", "\n", "'", ", "]
+    texts = ["".join(rng.choice(parts) + rng.choice(gaps) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    raw = [t.encode() for t in texts]
+    low, offs = np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)])
+    got = Counter(zip(*(x.tolist() for x in nt.pieced(low, offs, lexicon, max(len(w.encode()) for w in names))), strict=True))
+    want = Counter()
+    for i, t in enumerate(texts):
+        runs = [(m.start(), m.end()) for m in re.finditer("[a-zé]+", t)]
+        at = lambda k: len(t[:k].encode()) + int(offs[i])  # noqa: B023, E731
+        joined = lambda a, b: re.fullmatch("[^0-9]*", t[runs[a][1] : runs[b][0]]) is not None  # noqa: B023, E731
+        bound = lambda a: 0 <= a < len(runs) - 1 and joined(a, a + 1) and t[runs[a][1]] in "-_'`*~^"  # noqa: B023, E731
+        for a in range(len(runs)):
+            for b in range(a + 1, len(runs)):
+                if all(joined(k, k + 1) for k in range(a, b)) and "".join(t[x:y] for x, y in runs[a : b + 1]) in names and not bound(a - 1) and not bound(b):
+                    want[i, at(runs[a][0]), at(runs[b][1])] += 1
+    assert got == want and len(want) > 20
+    got = Counter(zip(*(x.tolist() for x in nt.repeated(low, offs, lexicon, plain)), strict=True))
+    once = lambda w: re.sub(r"([a-z])\1+", r"\1", w)
+    want = Counter()
+    for i, t in enumerate(texts):
+        for m in re.finditer("[a-zé]+", t):
+            if once(m[0]) != m[0] and m[0] not in names and once(m[0]) in map(once, names):
+                want[i, len(t[: m.start()].encode()) + int(offs[i]), len(t[: m.end()].encode()) + int(offs[i])] += 1
+    assert got == want and len(want) > 3
+
+
+@pytest.fixture(scope="module")
+def abuse(spark):
+    from panelwright.llm import noisy_toxicity as nt
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    return nt.train_toxicity(docs, labels, nt.toxic_fold())
+
+
+def test_disguises_score_like_the_plain_word(spark, abuse):
+    from panelwright.llm.noisy_toxicity import score_toxicity
+
+    frame = "the and of {} in the and that was there with of and to"
+    hidden = ["stuupid", "stupiid", "looser", "iidiot", "idiott", "trassh", "st  upid", "s..tupid", "stu--pid", "mor  on", "s t up i d", "pa th e t ic", "s&t&u&p&i&d", "mor#on", "mo[ro]n", "s%tupid"]
+    clean = ["idiom", "looses", "patent", "more on", "mortal", "trace", "stupor", "was"]
+    rows = spark.createDataFrame([(i, frame.format(w)) for i, w in enumerate(["stupid", *hidden, *clean])] + [(90, None), (91, ""), (92, frame.format("stupid"))], "doc_id long, text string")
+    got = {r.doc_id: r.toxic_score for r in score_toxicity(rows, abuse).collect()}
+    assert got[0] > 0.9 and all(got[i] == pytest.approx(got[0], abs=0.05) for i in range(1, 1 + len(hidden)))
+    assert all(got[i] < 0.5 for i in range(1 + len(hidden), 1 + len(hidden) + len(clean)))
+    assert got[90] == got[91] and got[92] == got[0]
