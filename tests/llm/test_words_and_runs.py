@@ -289,7 +289,7 @@ def test_candidates_match_brute_force():
     names = ["moron", "stupid", "looser", "aab", "é" * 3 + "b"]
     lexicon = np.sort(nt.bag(names))
     plain = np.unique(nt.bag([re.sub(r"([a-z])\1+", r"\1", w) for w in names]))
-    parts = ["mo", "ron", "m", "o", "r", "n", "stu", "pid", "s", "tupid", "loo", "ser", "lo", "sser", "aa", "b", "ab", "x", "é", "éé", "mor", "on", "7"]
+    parts = ["mo", "ron", "m", "o", "r", "n", "stu", "pid", "s", "tupid", "loo", "ser", "lo", "sser", "aa", "b", "ab", "x", "é", "éé", "mor", "on", "7", "aabb", "stuupid", "moronn", "lloser"]
     gaps = [" ", "  ", ".", "..", "-", "--", "#", "[", "", " 7 ", "\n", "'", ", "]
     texts = ["".join(rng.choice(parts) + rng.choice(gaps) for _ in range(rng.randint(0, 30))) for _ in range(300)]
     raw = [t.encode() for t in texts]
