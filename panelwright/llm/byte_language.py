@@ -26,8 +26,8 @@ from pyspark.sql.window import Window
 from .words import LOWER, passes, text_column
 
 LENGTH, WIDTHS, FILTERS, WINDOWS = 192, (2, 3, 4), 16, 4
-#: Windows that go through the tables at a time.
-CHUNK = 64
+#: Windows that go through the tables at a time; parts that a language's labelled ids are ranked in first.
+CHUNK, SALTS = 64, 64
 LETTER = np.zeros(256, dtype=bool)
 LETTER[97:123] = LETTER[128:] = True
 
@@ -175,9 +175,12 @@ def train_language(docs: DataFrame, held_out: Column, max_train: int = 4000, id_
         return ByteNet()
     draw = F.xxhash64(F.lit("cnn"), F.col("id"), F.col("y"))
     # the draw needs no text: the rows of the smallest draws of each language, at most max_train in all
-    ids = fed.select("id", "y", draw.alias("k")).distinct()
-    rank = F.row_number().over(Window.partitionBy("y").orderBy("k", "id"))
-    picked = ids.withColumn("rank", rank).filter(F.col("rank") <= max(1, max_train // len(langs))).select("id", "y")
+    ids = fed.select("id", "y", draw.alias("k")).distinct().withColumn("salt", F.pmod("k", F.lit(SALTS)))
+    share = max(1, max_train // len(langs))
+    for keys in (["y", "salt"], ["y"]):  # a language's share in every salt first: no task gets more than SALTS shares
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("k", "id"))
+        ids = ids.withColumn("rank", rank).filter(F.col("rank") <= share).drop("rank")
+    picked = ids.select("id", "y")
     rows = fed.join(F.broadcast(picked), ["id", "y"]).groupBy("id", "y").agg(F.min("t").alias("t"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
