@@ -26,8 +26,8 @@ from pyspark.sql.window import Window
 from .words import LOWER, passes, text_column
 
 LENGTH, WIDTHS, FILTERS, WINDOWS = 192, (2, 3, 4), 16, 4
-#: Windows that go through the tables at a time; parts that a language's labelled ids are ranked in first.
-CHUNK, SALTS = 64, 64
+#: Windows that go through the tables at a time.
+CHUNK = 64
 LETTER = np.zeros(256, dtype=bool)
 LETTER[97:123] = LETTER[128:] = True
 
@@ -170,17 +170,17 @@ def train_language(docs: DataFrame, held_out: Column, max_train: int = 4000, id_
     """``held_out`` is a condition on the id; its rows are never learned from, nor rows without id, text or label. Of
     several texts of one id the smallest is learned from. Languages in code-point order."""
     fed = docs.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("y"), F.col(text_col).alias("t"), held_out.alias("held")).dropna().filter("not held and y <> 'und'")
-    langs = [r["y"] for r in fed.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(max_train).collect()]
-    if not langs:
+    counts = fed.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(max_train).collect()
+    if not counts:
         return ByteNet()
+    # the rows of the smallest draws of each language, at most max_train in all; of many rows only draws below four times
+    # the share that is wanted are ranked at all, so what meets by language doesn't grow
+    share = max(1, max_train // len(counts))
     draw = F.xxhash64(F.lit("cnn"), F.col("id"), F.col("y"))
-    # the draw needs no text: the rows of the smallest draws of each language, at most max_train in all
-    ids = fed.select("id", "y", draw.alias("k")).distinct().withColumn("salt", F.pmod("k", F.lit(SALTS)))
-    share = max(1, max_train // len(langs))
-    for keys in (["y", "salt"], ["y"]):  # a language's share in every salt first: no task gets more than SALTS shares
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("k", "id"))
-        ids = ids.withColumn("rank", rank).filter(F.col("rank") <= share).drop("rank")
-    picked = ids.select("id", "y")
+    below = docs.sparkSession.createDataFrame([(r["y"], min(2**63 - 1, int(4 * share / r["n"] * 2**63))) for r in counts], "y string, below long")
+    ids = fed.select("id", "y", draw.alias("k")).join(F.broadcast(below), "y").filter(F.shiftrightunsigned("k", 1) <= F.col("below"))
+    rank = F.row_number().over(Window.partitionBy("y").orderBy("k", "id"))
+    picked = ids.select("id", "y", "k").distinct().withColumn("rank", rank).filter(F.col("rank") <= share).select("id", "y")
     rows = fed.join(F.broadcast(picked), ["id", "y"]).groupBy("id", "y").agg(F.min("t").alias("t"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
