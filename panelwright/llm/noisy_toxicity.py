@@ -228,6 +228,15 @@ def pieced(low: np.ndarray, offs: np.ndarray, lexicon: np.ndarray, longest: int)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def outside(some: tuple[np.ndarray, ...], whole: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """The spans (row, start, end) that lie in none of the disjoint spans ``whole``, which are decoded anyway."""
+    order = np.argsort(whole[1])
+    starts, ends = np.append(whole[1][order], np.iinfo(np.int64).max), np.append(whole[2][order], 0)
+    at = np.searchsorted(starts, some[1], "right") - 1
+    free = (at < 0) | (ends[at] < some[2])
+    return tuple(x[free] for x in some)
+
+
 def single_letters(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words that repeat an ASCII letter, and the hash of each with every run of one letter as one letter."""
     again = np.zeros(len(low), dtype=bool)
@@ -313,8 +322,9 @@ class Machine:
         if self.plain is None:
             self.plain = np.unique(bag([re.sub(r"([a-z])\1+", r"\1", w) for w in self.names]))
             self.longest = max((len(w.encode()) for w in self.names), default=0)
+        whole = disguised(low, offs)
         spelled = pieced(low, offs, self.lexicon, self.longest), repeated(low, offs, self.lexicon, self.plain)
-        row, start, end = (np.concatenate(x) for x in zip(disguised(low, offs), *spelled, strict=True))
+        row, start, end = (np.concatenate(x) for x in zip(whole, *(outside(s, whole) for s in spelled), strict=True))
         if len(row):
             _, some, which = np.unique(hashes(low, start, end), return_index=True, return_inverse=True)
             clean = self.restored([low[start[i] : end[i]].tobytes().decode("utf-8", "replace") for i in some])
