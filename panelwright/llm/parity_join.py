@@ -12,9 +12,13 @@ so passages that many documents share bring few together. Documents with too few
 more key. Equal slices are candidates, and verified on whole sets:
 
 1. each document against the centre of its slice (one pair a document, not all pairs);
-2. what links leave apart inside a slice, by Hamming distance of one-bit-a-shingle parity sketches, in blocks of bounded
-   size; of the documents that stay close to another, sets are fetched and compared until what is linked spans them: a
-   block of documents that are all alike gives one link a document and not one a pair.
+2. slices that links leave apart (a passage that many otherwise different documents hold), with more than ``MANY`` blocks
+   outside of their largest component, move to the end of the order, and slices are filed anew. The argument holds for any common order, so nothing is lost,
+   and only documents that are little else but such slices still file them. This goes on while it halves such rows;
+3. what links leave apart inside a slice, by Hamming distance of one-bit-a-shingle parity sketches, in blocks of bounded
+   size; members of the slice's largest component aren't compared with each other. Of the documents that stay close to
+   another, sets are fetched and compared until what is linked spans them: a block of documents that are all alike gives
+   one link a document and not one a pair.
 
 So every link is found but those between documents that are joined already: components are exact. Exact copies are one
 class throughout (128-bit fingerprints of the set; 64-bit ids of classes in the search).
@@ -47,6 +51,9 @@ BANDS = np.array(BANDS, dtype=np.int64)
 OFTEN, COMMON = 0.004, 1 << 16
 #: Documents of one slice that are compared in one block, and about how many shingles these have at most.
 BLOCK, SHINGLES = 4096, 1 << 20
+#: Slices with more blocks than these outside of their largest component are filed anew before they are compared; in those
+#: with fewer, a document's sketch is copied 2 * MANY times on average at most.
+MANY = 4
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,8 +80,8 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarr
     return row, code
 
 
-def filed_slices(row: np.ndarray, code: np.ndarray, n: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the slices that each row files, over its one or two bands."""
+def filed_slices(row: np.ndarray, code: np.ndarray, n: int, common: np.ndarray, late: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the slices that each row files, over its one or two bands; keys in the bitmap ``late`` rank last."""
     sizes = np.bincount(row, minlength=n)[:n]
     rare = ~np.isin(code, common)
     home = np.searchsorted(BANDS, np.maximum(sizes, 1), "right") - 1
@@ -99,7 +106,8 @@ def filed_slices(row: np.ndarray, code: np.ndarray, n: int, common: np.ndarray)
         slice_row = r[first]
         key = np.bitwise_xor.reduceat(mix(c), first) ^ mix(band[slice_row].astype(np.uint64) + GOLD)
         weight = np.add.reduceat(good.astype(np.int64), first)
-        order = np.lexsort((key, -weight, slice_row))
+        behind = np.zeros(len(key), dtype=bool) if late is None else _in_bitmap(late, key)
+        order = np.lexsort((key, -weight, behind, slice_row))
         slice_row, key = slice_row[order], key[order]
         filled = np.bincount(slice_row, minlength=n)[:n]
         nth = np.arange(len(slice_row)) - np.repeat(np.cumsum(filled) - filled, filled)
@@ -250,14 +258,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _links_left(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between classes that a slice leaves in several components; ``placed`` is (key, c, centre, comp)."""
-    sized = placed.join(sets.select("c", "n", "sketch"), "c")
-    apart = sized.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows"), F.sum("n").alias("all"))
-    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("all") / SHINGLES)).cast("int").alias("blocks")
-    open_ = sized.join(apart.filter("x < y and rows > 2").select("key", blocks), "key")
-    open_ = open_.withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _apart(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """The slices that links leave in several components: key, rows, main (their largest component), and the blocks of
+    main's rows and of the others. Counted by component first, so a slice meets as its components only."""
+    sized = placed.join(sets.select("c", "n"), "c")
+    parts = sized.groupBy("key", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("all"))
+    first = F.max(F.struct("rows", "comp", "all"))
+    slices = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("rows").alias("rows"), F.sum("all").alias("all"), first.alias("main"))
+
+    def blocks(rows, shingles):
+        return F.greatest(F.ceil(rows / BLOCK), F.ceil(shingles / SHINGLES)).cast("int")
+
+    rest = blocks(F.col("rows") - F.col("main.rows"), F.col("all") - F.col("main.all"))
+    slices = slices.filter("parts > 1 and rows > 2")
+    return slices.select("key", "rows", F.col("main.comp").alias("main"), rest.alias("rest_blocks"), blocks(F.col("main.rows"), F.col("main.all")).alias("main_blocks"))
+
+
+def _links_left(placed: DataFrame, sets: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes that a slice leaves in several components; ``placed`` is (key, c, centre, comp).
+
+    Blocks 0 to rest_blocks - 1 are of the smaller components and the others of the largest, which need not meet."""
+    open_ = placed.join(apart, "key").join(sets.select("c", "n", "sketch"), "c")
+    at, rest, all_ = F.xxhash64("c"), F.col("rest_blocks"), F.col("rest_blocks") + F.col("main_blocks")
+    open_ = open_.withColumn("own", F.when(F.col("comp") == F.col("main"), rest + F.pmod(at, F.col("main_blocks"))).otherwise(F.pmod(at, rest)).cast("int"))
+    others = F.when(F.col("own") < rest, all_).otherwise(rest)
+    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
     open_ = open_.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "pivot": F.col("c") == F.col("centre")})
     cells = open_.groupBy("key", "i", "j").agg(F.collect_list(F.struct("own", "c", "n", "comp", "pivot", "sketch")).alias("m"))  # at most two blocks
 
@@ -297,31 +322,36 @@ def jaccard_components(docs: DataFrame, size: int = 5, id_col: str = "doc_id", t
     marked = settle(_sets_of(fed, size, f"id {kind}, n long, c long, c2 long", prints), "jaccard-classes")
     common = spark.sparkContext.broadcast(_common_shingles(fed, size))
 
-    def filing(wanted):
+    def filing(late, wanted):
         def file(ids, row, code, n):
             c, _ = fingerprints(row, code, n)
-            r, key = filed_slices(row, code, n, common.value)
+            r, key = filed_slices(row, code, n, common.value, late and late.value)
             if wanted is not None:
                 r, key = (x[_in_bitmap(wanted.value, key)] for x in (r, key))
             return [_signed(key), _signed(c[r])]
 
         return _sets_of(fed, size, "key long, c long", file)
 
-    shared = filing(None).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    shared = settle(shared, "jaccard-shared")
-    # most slices are one document's alone and need not be dealt out again
-    wanted = spark.sparkContext.broadcast(_bitmap(shared))
-    members = settle(filing(wanted).join(shared, "key").distinct(), "jaccard-members")
-    # a slice's centre is its member that shares most slices: in a group of copies, one with few changes of its own
-    ranked = members.join(members.groupBy("c").agg(F.count("*").alias("shares")), "c")
-    centre = ranked.groupBy("key").agg(F.max_by("c", F.struct("shares", "c")).alias("centre"))
-    members = settle(members.join(centre, "key"), "jaccard-centred")
-    ends = members.filter("c <> centre").select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b"))
-    pairs = settle(ends.distinct(), "jaccard-pairs")
-    # sets are fetched by their own fingerprints, whatever the ids; the bitmap lets a few more classes pass
-    sought = spark.sparkContext.broadcast(_bitmap(settle(members.select(F.col("c").alias("key")).distinct(), "jaccard-sought")))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def met(late) -> DataFrame:
+        """(key, c, centre) of the slices that several classes file."""
+        shared = filing(late, None).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+        shared = settle(shared, "jaccard-shared")
+        # most slices are one document's alone and need not be dealt out again
+        wanted = spark.sparkContext.broadcast(_bitmap(shared))
+        members = settle(filing(late, wanted).join(shared, "key").distinct(), "jaccard-members")
+        # a slice's centre is its member that shares most slices: in a group of copies, one with few changes of its own
+        ranked = members.join(members.groupBy("c").agg(F.count("*").alias("shares")), "c")
+        centre = ranked.groupBy("key").agg(F.max_by("c", F.struct("shares", "c")).alias("centre"))
+        return settle(members.join(centre, "key"), "jaccard-centred")
+
+    def sets_of(members: DataFrame) -> DataFrame:
+        """n, shingles and sketch of the members' classes."""
+        # sets are fetched by their own fingerprints, whatever the ids; the bitmap lets a few more classes pass
+        sought = spark.sparkContext.broadcast(_bitmap(settle(members.select(F.col("c").alias("key")).distinct(), "jaccard-sought")))
+        got = fed.select("t").mapInArrow(lambda batches: whole(batches, sought), "c long, n long, shingles array<long>, sketch binary")
+        return settle(got.dropDuplicates(["c"]), "jaccard-sets")
+
+    def whole(batches: Iterator[pa.RecordBatch], sought) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # each class once a task
         for batch in batches:
             for lo, hi, buf, offs in passes(text_column(batch, "t")):
@@ -341,12 +371,25 @@ def jaccard_components(docs: DataFrame, size: int = 5, id_col: str = "doc_id", t
                 bits = [parity_bits(code[cut[i] : cut[i + 1]]) for i in at]
                 yield pa.RecordBatch.from_arrays([_signed(c[at]), pa.array(n), lists, pa.array(bits, pa.binary())], names=["c", "n", "shingles", "sketch"])
 
-    sets = settle(fed.select("t").mapInArrow(whole, "c long, n long, shingles array<long>, sketch binary").dropDuplicates(["c"]), "jaccard-sets")
-    links = settle(_verified(pairs, sets, percent), "jaccard-links")
-
-    roots = settle(components(links, "a", "b"), "jaccard-roots")
-    placed = members.join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "centre", F.coalesce("root", "c").alias("comp"))
-    more = _links_left(placed, sets, percent)
+    late, links, crowd, behind = None, None, None, None
+    while True:
+        members = met(late)
+        ends = members.filter("c <> centre").select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b"))
+        pairs = settle(ends.distinct(), "jaccard-pairs")
+        sets = sets_of(members)
+        more = settle(_verified(pairs, sets, percent), "jaccard-links")
+        links = more if links is None else links.unionByName(more)
+        roots = settle(components(links, "a", "b"), "jaccard-roots")
+        placed = members.join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "centre", F.coalesce("root", "c").alias("comp"))
+        apart = settle(_apart(placed, sets), "jaccard-apart")
+        crowded = apart.filter(F.col("rest_blocks") > MANY)
+        before, crowd = crowd, crowded.agg(F.sum("rows")).first()[0] or 0
+        if not crowd or (before is not None and 2 * crowd > before):
+            break
+        behind = crowded.select("key") if behind is None else behind.unionByName(crowded.select("key"))
+        late = spark.sparkContext.broadcast(_bitmap(behind.distinct()))
+
+    more = _links_left(placed, sets, apart, percent)
     if not more.isEmpty():
         roots = settle(components(links.unionByName(more), "a", "b"), "jaccard-roots")
 

@@ -228,6 +228,31 @@ def test_jaccard_components_match_brute_force(spark, monkeypatch):
         assert got == want
 
 
+def test_slices_that_many_distant_documents_file_are_filed_anew(spark, monkeypatch):
+    rng = random.Random(21)
+    passage = prose(rng, 14)
+    texts = []
+    for k in range(320):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(56)]
+        at = rng.randrange(57)
+        texts.append(" ".join([*words[:at], passage, *words[at:]]))
+        texts += [texts[-1] + " more"] * (k % 8 == 0)
+    texts += [edited(rng, texts[0].split(), 2) for _ in range(90)]  # and a component within the same slices
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = {i: w for i, w in enumerate(brute_groups(texts))}
+    compare, seen = parity_join._links_left, []
+    monkeypatch.setattr(parity_join, "_links_left", lambda placed, sets, apart, percent: seen.append(apart.collect()) or compare(placed, sets, apart, percent))
+    monkeypatch.setattr(parity_join, "COMMON", 0)  # the passage isn't known to be common
+    monkeypatch.setattr(parity_join, "BLOCK", 16)
+    for many in (1 << 20, 4):
+        monkeypatch.setattr(parity_join, "MANY", many)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in parity_join.jaccard_components(docs).collect()}
+        assert got == want
+    crowded, dealt = seen
+    assert max(r.rest_blocks for r in crowded) > 10
+    assert max((r.rest_blocks for r in dealt), default=0) <= 4
+
+
 def test_jaccard_links_depend_on_texts_and_not_on_ids(spark):
     rng = random.Random(12)
     texts = []
