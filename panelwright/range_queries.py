@@ -12,7 +12,7 @@ from .functions.ewm import Ewm
 from .functions.ranges import clip_quantiles, numbered, section_bucket, section_quantiles, section_rank, section_winsorize
 from .operators.features import Feature
 from .plans.feature_plan import FeaturePipeline
-from .plans.shared import shared_path
+from .plans.shared import settled, shared_path
 from .sources.derived import prices, table
 from .streaming.append import stream_rows
 from .streaming.features import Lag, Roll, settle_features
@@ -105,14 +105,16 @@ STREAMED = {"mean6": Roll("close", 6, "mean", 2), "median5": Roll("close", 5, "m
     "FROM w JOIN r_a r ON w.entity = r.entity AND w.date = r.date",
 )
 def _streamed(spark, sf) -> DataFrame:
-    """The price panel written year by year into a folder, read as a stream of two files a micro-batch, features settled as
-    their rows come."""
+    """The price panel written year by year into a folder, read as a stream of about two years a micro-batch, features settled
+    as their rows come."""
     folder = shared_path(spark, "streamed")
     panel = prices(spark, sf).df.select(F.col("date").cast("timestamp").alias("date"), "entity", "close", "gappy")
+    panel = settled(panel, "panel")
     years = [r["y"] for r in panel.select(F.year("date").alias("y")).distinct().orderBy("y").collect()]  # a few
+    files = spark.sparkContext.defaultParallelism  # of a year, dealt by entity
     for y in years:
-        panel.filter(F.year("date") == y).coalesce(1).write.parquet(f"{folder}/in/{y}")
-    rows = stream_rows(spark, f"{folder}/in/*", panel.schema, maxFilesPerTrigger=2)
+        panel.filter(F.year("date") == y).repartition(files, "entity").write.parquet(f"{folder}/in/{y}")
+    rows = stream_rows(spark, f"{folder}/in/*", panel.schema, maxFilesPerTrigger=2 * files)
     settle_features(rows, STREAMED, f"{folder}/out", f"{folder}/state").awaitTermination()
     out = spark.read.parquet(f"{folder}/out")
     return out.select(F.col("date").cast("timestamp_ntz").alias("date"), "entity", *(floored(c, 4) for c in STREAMED))

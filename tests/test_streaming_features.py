@@ -88,3 +88,50 @@ def test_specs_are_checked():
     for make in (lambda: Roll("x", 0, "mean", 1), lambda: Roll("x", 3, "mode", 1), lambda: Roll("x", 3, "quantile", 1), lambda: Lag("x", 0), lambda: Lag("x", 1, "cube")):
         with pytest.raises(PanelError):
             make()
+
+
+def test_one_read_and_one_write_of_state_a_bucket():
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from panelwright.functions.recursion import along
+    from panelwright.streaming.features import BucketFeatures
+
+    calls = []
+
+    class Kept:
+        row = None
+
+        def exists(self):
+            return self.row is not None
+
+        def get(self):
+            calls.append("get")
+            return self.row
+
+        def update(self, row):
+            calls.append("update")
+            self.row = row
+
+    class Handle:
+        getValueState = staticmethod(lambda name, schema: Kept())  # noqa: N815
+
+    class Timers:
+        getCurrentWatermarkInMs = staticmethod(lambda: 0)  # noqa: N815
+
+    specs = {"mean": Roll("x", 3, "mean", 1), "lag": Lag("x", 2), "ema": Ewm("x", 0.3, False, 1)}
+    worker = BucketFeatures("date", T.StructField("entity", T.LongType()), specs, False)
+    worker.init(Handle())
+    rng = np.random.default_rng(3)
+    # entity e has e % 7 rows in each micro-batch, so the series differ in length
+    parts = [pd.DataFrame([(e, pd.Timestamp(2024, 1, 1) + pd.Timedelta(days=10 * k + i), rng.normal() if rng.random() < 0.8 else None) for e in range(500) for i in range(e % 7)], columns=["entity", "date", "x"]) for k in range(3)]
+    out = pd.concat([o for p in parts for o in worker.handleInputRows((0,), iter([p.sample(frac=1, random_state=1)]), Timers)])
+    assert calls.count("get") <= 3 and calls.count("update") == 3  # not once an entity
+    want = pd.concat(parts).sort_values(["entity", "date"]).astype({"x": float})
+    by = want.groupby("entity")["x"]
+    got = out.sort_values(["entity", "date"])
+    assert got["entity"].tolist() == want["entity"].tolist()
+    np.testing.assert_allclose(got["mean"], by.rolling(3, min_periods=1).mean(), atol=1e-12)
+    np.testing.assert_allclose(got["lag"], by.shift(2))
+    np.testing.assert_allclose(got["ema"], along(want["x"].to_numpy(), want["entity"].to_numpy(), 0.3, False, "mean", 1)[0], atol=1e-12)
