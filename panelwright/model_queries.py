@@ -14,7 +14,7 @@ from .panel import Panel
 from .plans.config import Adapter
 from .plans.feature_plan import Feature, FeaturePipeline, add_features
 from .plans.schedule import Bounds, Split, WalkForward, fold_members, panel_dates, positions
-from .plans.shared import shared_path
+from .plans.shared import settled, shared_path
 from .sources.derived import prices, table
 from .sources.tables import Schema, read_csv
 
@@ -161,27 +161,33 @@ def _diagnostics(spark, sf) -> DataFrame:
     return factor_diagnostics(_scored(spark, sf), 2).select(D("effective", 6).alias("effective"), D("max_abs_correlation", 6).alias("max_abs_correlation"))
 
 
-def fold_rows(spark, sf, walk: WalkForward = WALK) -> DataFrame:
-    """(fold, part, date, entity, r, z, x) of all folds."""
-    s = _sections(spark, sf)
+def fold_periods(spark, sf, walk: WalkForward = WALK) -> tuple[DataFrame, DataFrame]:
+    """The sections and (fold, part, date, x) of all folds' periods, both written once."""
+    s = settled(_sections(spark, sf), "sections")
     panel = Panel(s)
     members = fold_members(panel, Split("walk_forward", walk_forward=walk).plan(panel_dates(panel)))
-    return s.join(managed_portfolios(s), "date").join(members, "date").select("fold", "part", "date", "entity", "r", "z", "x")
+    return s, settled(managed_portfolios(s).join(members, "date").select("fold", "part", "date", "x"), "periods")
+
+
+def _joined(s: DataFrame, periods: DataFrame) -> DataFrame:
+    return s.join(periods, "date").select("fold", "part", "date", "entity", "r", "z", "x")
+
+
+def fold_rows(spark, sf, walk: WalkForward = WALK) -> DataFrame:
+    """(fold, part, date, entity, r, z, x) of all folds."""
+    return _joined(*fold_periods(spark, sf, walk))
 
 
-def _trained(spark, sf):
+def _trained(rows: DataFrame):
     """All walk-forward folds of a conditional autoencoder, trained at once: rows, network, fit."""
-    rows, net = fold_rows(spark, sf).persist(), Network(3, 2, 2, (4,))
-    try:
-        return rows, net, fit_folds(rows.filter("part <> 'test'"), net, Training(epochs=12))
-    finally:
-        rows.unpersist()  # a pass an epoch is over
+    net = Network(3, 2, 2, (4,))
+    return rows, net, fit_folds(rows.filter("part <> 'test'"), net, Training(epochs=12))
 
 
 @query("factor_autoencoder_sweep")
 def _sweep(spark, sf) -> DataFrame:
     """Total and predictive R2 of every fold's test dates; a date's forecast is the mean of the fold's factors before it."""
-    rows, net, fit = _trained(spark, sf)
+    rows, net, fit = _trained(fold_rows(spark, sf))
     scored = score_rows(rows, net, fit, ("fold", "part", "date", "entity", "r"))
     level = factor_forecast(scored.groupBy("fold", "date").agg(F.first("factor").alias("factor")), by=["fold"])
     scored = scored.filter("part = 'test'").join(level, ["fold", "date"])
@@ -200,12 +206,12 @@ def _batches(spark, sf) -> DataFrame:
 
 @query("factor_characteristic_importance")
 def _importance(spark, sf) -> DataFrame:
-    return characteristic_importance(*_trained(spark, sf), ("lp", "hl", "cp"))
+    return characteristic_importance(*_trained(fold_rows(spark, sf)), ("lp", "hl", "cp"))
 
 
 @query("factor_characteristic_sensitivity")
 def _sensitivity(spark, sf) -> DataFrame:
-    return characteristic_sensitivity(*_trained(spark, sf), ("lp", "hl", "cp"))
+    return characteristic_sensitivity(*_trained(fold_rows(spark, sf)), ("lp", "hl", "cp"))
 
 
 @query("residual_panel", CS + f"SELECT cs.date, cs.entity, {d('r - (lp * x0 + hl * x1)')} AS u FROM cs JOIN x USING (date)")

@@ -20,7 +20,7 @@ from ..functions.ewm import Ewm, add_along
 from ..functions.nulls import finite, sdiv
 from ..functions.windows import Frames
 from ..panel import Panel
-from ..plans.shared import kept_partitions
+from ..plans.shared import kept_partitions, settled
 
 
 class ModelError(ValueError):
@@ -267,20 +267,57 @@ class Fit:
     best_epoch: dict[int, int] = field(default_factory=dict)
 
 
+#: Rows of a block.
+BLOCK = 1 << 13
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(fold, train, r, z, x): the same rows in blocks of one fold and part, their numbers as bytes, written once: a pass of
+    the training reads them without laying out a list a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, bool], list[tuple]] = {}
+        waiting: dict[tuple[int, bool], int] = {}
+
+        def packed(key: tuple[int, bool]) -> pa.RecordBatch:
+            cols = [np.concatenate(c) for c in zip(*held.pop(key), strict=True)]
+            waiting.pop(key)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]]), *(pa.array([c.astype(float).tobytes()], pa.binary()) for c in cols)], names=["fold", "train", "r", "z", "x"])
+
+        for b in batches:
+            if not len(b):
+                continue
+            fold, train = (np.asarray(b.column(i).to_numpy(zero_copy_only=False)) for i in (0, 1))
+            r, z, x = np.asarray(b.column(2)), _matrix(b.column(3)), _matrix(b.column(4))
+            for f in np.unique(fold).tolist():
+                for part in (True, False):
+                    on = (fold == f) & (train == part)
+                    if on.any():
+                        held.setdefault((f, part), []).append((r[on], z[on], x[on]))
+                        waiting[f, part] = waiting.get((f, part), 0) + int(on.sum())
+                        if waiting[f, part] >= BLOCK:
+                            yield packed((f, part))
+        for key in list(held):
+            yield packed(key)
+
+    slim = rows.select("fold", (F.col("part") == "train").alias("train"), "r", "z", "x")
+    return settled(slim.mapInArrow(run, "fold int, train boolean, r binary, z binary, x binary"), "blocks")
+
+
 def fit_folds(rows: DataFrame, net: Network, how: Training = Training()) -> Fit:
-    """Train all folds at once. ``rows`` are (fold, part, r, z, x) with part train or val; keep them persisted.
+    """Train all folds at once. ``rows`` are (fold, part, r, z, x) with part train or val; they are read once.
 
     Each epoch is one pass: tasks sum gradients and errors of their rows by fold, Adam steps on the sums, L1 shrinks
     weights after the step (``l1_mode`` proximal) or joins the gradient (subgradient), and a fold stops once its
     validation R2 has not gained for ``patience`` epochs; its best parameters count."""
     if how.l1_mode not in ("proximal", "subgradient"):
         raise ModelError(f"l1_mode must be proximal or subgradient, not {how.l1_mode!r}")
-    folds = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]
+    blocks = _blocks(rows)
+    folds = [r["fold"] for r in blocks.select("fold").distinct().orderBy("fold").collect()]
     theta = {f: net.start(how.seed + (f if how.seed_per_fold else 0)) for f in folds}
     best, best_at = {f: (-np.inf, theta[f]) for f in folds}, dict.fromkeys(folds, 0)
     m, v = {f: np.zeros(net.size) for f in folds}, {f: np.zeros(net.size) for f in folds}
     fit, open_ = Fit({}), set(folds)
-    slim = rows.select("fold", (F.col("part") == "train").alias("train"), "r", "z", "x")
     for epoch in range(1, how.epochs + 1):
         if not open_:
             break
@@ -289,21 +326,18 @@ def fit_folds(rows: DataFrame, net: Network, how: Training = Training()) -> Fit:
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             sums: dict[tuple[int, bool], np.ndarray] = {}
             for b in batches:
-                fold, train = np.asarray(b.column(0)), np.asarray(b.column(1).to_numpy(zero_copy_only=False))
-                r, z, x = np.asarray(b.column(2)), _matrix(b.column(3)), _matrix(b.column(4))
-                for f, t in sent.value.items():
-                    for part in (True, False):
-                        on = (fold == f) & (train == part)
-                        if on.any():
-                            g, sse = net.gradient(t, z[on], x[on], r[on])
-                            row = np.concatenate([g if part else np.zeros(0), [sse, float(r[on] @ r[on]), on.sum()]])
-                            sums[f, part] = sums.get((f, part), 0) + row
+                for f, part, *cols in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if f in sent.value:
+                        r, z, x = (np.frombuffer(c) for c in cols)
+                        g, sse = net.gradient(sent.value[f], z.reshape(len(r), -1), x.reshape(len(r), -1), r)
+                        row = np.concatenate([g if part else np.zeros(0), [sse, float(r @ r), len(r)]])
+                        sums[f, part] = sums.get((f, part), 0) + row
             if sums:
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums]), pa.array([list(s) for s in sums.values()], pa.list_(pa.float64()))], names=["fold", "train", "s"])
 
-        parts = slim.mapInArrow(run, "fold int, train boolean, s array<double>")
+        parts = blocks.mapInArrow(run, "fold int, train boolean, s array<double>")
         total: dict[tuple[int, bool], np.ndarray] = {}
-        for r in parts.toLocalIterator():  # a partial sum of fixed size from each task
+        for r in parts.collect():  # a partial sum of fixed size from each task, all tasks at once
             key = (r["fold"], r["train"])
             total[key] = total.get(key, 0) + np.array(r["s"])
         sent.unpersist()
@@ -433,7 +467,8 @@ def score_rows(rows: DataFrame, net: Network, fit: Fit, keep: Sequence[str] = ("
             for f in np.unique(fold):
                 on = fold == f
                 beta[on], factor[on], _ = net.forward(sent.value[int(f)], z[on], x[on])
-            cols = [pa.array(list(a), pa.list_(pa.float64())) for a in (beta, factor)]
+            ends = pa.array(np.arange(n + 1) * net.factors, pa.int32())
+            cols = [pa.ListArray.from_arrays(ends, pa.array(a.ravel())) for a in (beta, factor)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *cols], names=[*keep, "beta", "factor"])
 
     return rows.select(*keep, "z", "x").mapInArrow(run, f"{kinds}, beta array<double>, factor array<double>")

@@ -518,3 +518,27 @@ def test_exchange_sessions():
 def test_duplicates_skip_nan(spark):
     p = panel(spark, [(0, 1, 1.0), (0, 1, float("nan")), (1, 1, float("nan"))])
     assert rows_of(clean(p, [("deduplicate", {})]), "x") == sorted([(1.0,), (None,)], key=repr)
+
+
+def test_an_epoch_is_one_job(spark):
+    rng = np.random.default_rng(8)
+    made = [(k % 2, ("train", "val", "test")[k % 3], float(rng.normal()), rng.normal(size=2).tolist(), [float(rng.normal())]) for k in range(240)]
+    df = spark.createDataFrame(made, "fold int, part string, r double, z array<double>, x array<double>").repartition(16).persist()
+    df.count()
+    net, how = Network(2, 1, 1), Training(epochs=4, patience=4, rate=0.05)
+    spark.sparkContext.setJobGroup("fit", "fit")
+    try:
+        fit = fit_folds(df.filter("part <> 'test'"), net, how)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("fit")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) < 16  # not one a partition and epoch
+    for f in (0, 1):  # the same steps on all rows at once
+        part = lambda p: [np.array([m[i] for m in made if m[0] == f and m[1] == p]) for i in (3, 4, 2)]  # noqa: B023, E731
+        theta, m, v, best = net.start(how.seed), np.zeros(net.size), np.zeros(net.size), (-np.inf, None)
+        for epoch in range(1, 5):
+            (z, x, r), (vz, vx, vr) = part("train"), part("val")
+            score = 1 - net.gradient(theta, vz, vx, vr)[1] / (vr @ vr)
+            best = (score, theta) if score > best[0] + how.min_delta else best
+            theta, m, v = how.step(net, theta, m, v, net.gradient(theta, z, x, r)[0] / len(r), epoch, how.rate * how.gamma ** (epoch - 1))
+        np.testing.assert_allclose(fit.theta[f], best[1], atol=1e-12)
