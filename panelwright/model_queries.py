@@ -187,10 +187,12 @@ def _trained(rows: DataFrame):
 @query("factor_autoencoder_sweep")
 def _sweep(spark, sf) -> DataFrame:
     """Total and predictive R2 of every fold's test dates; a date's forecast is the mean of the fold's factors before it."""
-    rows, net, fit = _trained(fold_rows(spark, sf))
-    scored = score_rows(rows, net, fit, ("fold", "part", "date", "entity", "r"))
-    level = factor_forecast(scored.groupBy("fold", "date").agg(F.first("factor").alias("factor")), by=["fold"])
-    scored = scored.filter("part = 'test'").join(level, ["fold", "date"])
+    s, periods = fold_periods(spark, sf)
+    rows, net, fit = _trained(_joined(s, periods))
+    # a factor is the date's alone, so one row a date gives it
+    factors = score_rows(periods.withColumn("z", F.array_repeat(F.lit(0.0), net.inputs)), net, fit, ("fold", "date"))
+    level = factor_forecast(factors.select("fold", "date", "factor"), by=["fold"])
+    scored = score_rows(rows.filter("part = 'test'"), net, fit, ("fold", "part", "date", "entity", "r")).join(level, ["fold", "date"])
     scored = scored.withColumns({"fitted": dot(F.col("beta"), F.col("factor")), "predicted": F.when(F.col("level").isNotNull(), dot(F.col("beta"), F.col("level")))})
     return pooled_r_squared(per_period_errors(scored, ["fold"]), ["fold"]).select("fold", "total_r2", "pred_r2", "periods")
 
