@@ -553,14 +553,31 @@ def characteristic_importance(rows: DataFrame, net: Network, fit: Fit, columns:
     """(fold, column, importance): the R2 that each fold's test rows lose with one characteristic set to 0. A characteristic
     that is among the ``portfolio_columns`` is 0 in the portfolios, too: ``rows`` then have ``without``, the portfolios solved
     again without each of these columns."""
-    number = len(columns)
-    zeroed = lambda k: F.concat(F.slice("z", 1, k), F.array(F.lit(0.0)), F.slice("z", k + 2, number - k - 1))
-    again = {c: F.element_at("without", i + 1) for i, c in enumerate(portfolio_columns)}
-    copies = [F.struct(F.lit(None).cast("string").alias("column"), F.col("z").alias("z"), F.col("x").alias("x"))]
-    copies += [F.struct(F.lit(c).alias("column"), zeroed(k).alias("z"), again.get(c, F.col("x")).alias("x")) for k, c in enumerate(columns)]
-    many = rows.filter("part = 'test'").select("fold", "r", F.inline(F.array(*copies)))
-    scored = score_rows(many, net, fit, ("fold", "r", "column"))
-    e = F.col("r") - dot(F.col("beta"), F.col("factor"))
-    r2 = scored.groupBy("fold", "column").agg((1 - sdiv(F.sum(e * e), F.sum(F.col("r") * F.col("r")))).alias("r2"))
+    sent = rows.sparkSession.sparkContext.broadcast(fit.theta)
+    again = {c: i for i, c in enumerate(portfolio_columns)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, str | None], np.ndarray] = {}
+        for b in batches:
+            if not len(b):
+                continue
+            fold, r, z, x = np.asarray(b.column(0)), np.asarray(b.column(1)), _matrix(b.column(2)), _matrix(b.column(3))
+            without = np.asarray(b.column(4).flatten().flatten()).reshape(len(b), len(again), -1) if again else None
+            for f in np.unique(fold).tolist():
+                on = fold == f
+                for k, c in enumerate([*columns, None]):
+                    zeroed = z[on]
+                    if c is not None:
+                        zeroed[:, k] = 0.0
+                    beta, factor, _ = net.forward(sent.value[f], zeroed, without[on, again[c]] if c in again else x[on])
+                    err = r[on] - (beta * factor).sum(axis=1)
+                    sums[f, c] = sums.get((f, c), 0) + np.array([err @ err, r[on] @ r[on]])
+        if sums:
+            sse, sst = np.array(list(sums.values())).T
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in sums], pa.int32()), pa.array([c for _, c in sums], pa.string()), pa.array(sse), pa.array(sst)], names=["fold", "column", "sse", "sst"])
+
+    test = rows.filter("part = 'test'").select("fold", "r", "z", "x", *(["without"] if again else []))
+    parts = test.mapInArrow(run, "fold int, column string, sse double, sst double")
+    r2 = parts.groupBy("fold", "column").agg((1 - sdiv(F.sum("sse"), F.sum("sst"))).alias("r2"))
     base = F.max(F.when(F.col("column").isNull(), F.col("r2"))).over(Window.partitionBy("fold"))
     return r2.withColumn("importance", base - F.col("r2")).filter("column is not null").select("fold", "column", "importance")

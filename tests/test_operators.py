@@ -520,7 +520,9 @@ def test_duplicates_skip_nan(spark):
     assert rows_of(clean(p, [("deduplicate", {})]), "x") == sorted([(1.0,), (None,)], key=repr)
 
 
-def test_an_epoch_is_one_job(spark):
+def test_an_epoch_is_one_job_and_importance_copies_no_row(spark):
+    from panelwright.operators.factor_model import Fit, characteristic_importance
+
     rng = np.random.default_rng(8)
     made = [(k % 2, ("train", "val", "test")[k % 3], float(rng.normal()), rng.normal(size=2).tolist(), [float(rng.normal())]) for k in range(240)]
     df = spark.createDataFrame(made, "fold int, part string, r double, z array<double>, x array<double>").repartition(16).persist()
@@ -542,3 +544,5 @@ def test_an_epoch_is_one_job(spark):
             best = (score, theta) if score > best[0] + how.min_delta else best
             theta, m, v = how.step(net, theta, m, v, net.gradient(theta, z, x, r)[0] / len(r), epoch, how.rate * how.gamma ** (epoch - 1))
         np.testing.assert_allclose(fit.theta[f], best[1], atol=1e-12)
+    plan = characteristic_importance(df, net, Fit(fit.theta), "ab")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
